@@ -315,3 +315,87 @@ def chain(*parts: str) -> str:
 
 STAGE1 = [FX_LINES, FX_SPANS, RAW_BLOCKS, MERGE, SPAN_STATS, BLOCKS]
 STAGE2 = STAGE1 + [S2, SCORED]
+
+
+# ---- stage 3 ------------------------------------------------------------
+TOK = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+
+
+def tokens(x: str) -> str:
+    return TOK.format(x=x)
+
+
+SEC_STRUCT = "{'p': {a}page, 'y': {a}first_y0, 's': {a}first_seq}"
+
+
+def sec(alias: str = "") -> str:
+    a = f"{alias}." if alias else ""
+    return SEC_STRUCT.replace("{a}", a)
+
+
+REQUESTS = FX_REQUESTS + f""",
+rd AS (
+SELECT request_id, filename, min(doc_pos) AS doc_pos, regexp_replace(filename, '(?i)\\.pdf', '', 'g') AS doc_key
+FROM fx_request_docs GROUP BY request_id, filename),
+jd AS (SELECT rd.*, d.doc_id FROM rd JOIN docs d ON CAST(d.doc_id AS VARCHAR) = rd.doc_key),
+secs AS (SELECT doc_id, page, first_y0, first_seq, text, len({tokens('text')}) AS dl FROM outline_rows),
+preq AS (SELECT j.request_id, count(*) AS n_sec, avg(s.dl) AS avgdl FROM jd j JOIN secs s USING (doc_id) GROUP BY j.request_id),
+rterms AS (SELECT DISTINCT request_id, unnest({tokens("concat_ws(' ', persona, task)")}) AS term FROM fx_requests),
+stok AS (SELECT doc_id, page, first_y0, first_seq, dl, unnest({tokens('text')}) AS term FROM secs),
+stf AS (SELECT doc_id, page, first_y0, first_seq, dl, term, count(*) AS tf FROM stok GROUP BY ALL),
+mt AS (SELECT j.request_id, s.* FROM jd j JOIN stf s USING (doc_id) JOIN rterms t ON t.request_id = j.request_id AND t.term = s.term),
+dfq AS (SELECT request_id, term, count(*) AS df FROM mt GROUP BY ALL),
+bm AS (
+SELECT m.request_id, m.doc_id, m.page, m.first_y0, m.first_seq,
+  round(sum(ln(1 + (p.n_sec - d.df + 0.5) / (d.df + 0.5)) * CAST(m.tf AS DOUBLE) * 2.2
+            / (CAST(m.tf AS DOUBLE) + 1.2 * (0.25 + 0.75 * m.dl / p.avgdl))), 9) AS score
+FROM mt m JOIN dfq d USING (request_id, term) JOIN preq p USING (request_id) GROUP BY ALL),
+top2 AS (
+SELECT * FROM (
+  SELECT b.*, s.text, CAST(row_number() OVER (PARTITION BY b.request_id, b.doc_id ORDER BY b.score DESC, b.page, b.first_y0, b.first_seq) AS INT) AS importance_rank
+  FROM bm b JOIN secs s USING (doc_id, page, first_y0, first_seq)) WHERE importance_rank <= 2),
+content AS (SELECT doc_id FROM outline_rows GROUP BY doc_id HAVING bool_or({strip('text')} <> '')),
+fb AS (
+SELECT j.request_id, j.doc_id, j.filename, j.doc_pos,
+  CASE WHEN contains(lower(j.filename), 'cities') THEN 'Major Cities Guide'
+       WHEN contains(lower(j.filename), 'things to do') THEN 'Activities and Attractions'
+       WHEN contains(lower(j.filename), 'cuisine') THEN 'Food and Dining'
+       WHEN contains(lower(j.filename), 'tips') THEN 'Travel Tips' ELSE 'General Information' END AS section_title,
+  CASE WHEN contains(lower(j.filename), 'cities') THEN 1 WHEN contains(lower(j.filename), 'things to do') THEN 2
+       WHEN contains(lower(j.filename), 'cuisine') THEN 3 WHEN contains(lower(j.filename), 'tips') THEN 4 ELSE 5 END AS importance_rank,
+  CASE WHEN contains(lower(j.filename), 'cities') THEN 1 WHEN contains(lower(j.filename), 'things to do') THEN 2 ELSE 1 END AS page_number
+FROM jd j JOIN content c USING (doc_id)
+WHERE NOT EXISTS (SELECT 1 FROM bm b WHERE b.request_id = j.request_id AND b.doc_id = j.doc_id)),
+cand AS (
+SELECT t.request_id, t.doc_id, j.filename, j.doc_pos, t.text AS section_title, t.importance_rank, t.page AS page_number,
+  t.importance_rank AS pos_in_doc, t.page, t.first_y0, t.first_seq, false AS is_fallback
+FROM top2 t JOIN jd j USING (request_id, doc_id)
+UNION ALL
+SELECT request_id, doc_id, filename, doc_pos, section_title, importance_rank, page_number, 1, NULL, NULL, NULL, true FROM fb),
+kept AS (
+SELECT * EXCLUDE (k), k AS importance_rank FROM (
+  SELECT * EXCLUDE (importance_rank), CAST(row_number() OVER (PARTITION BY request_id ORDER BY importance_rank, doc_pos, pos_in_doc) AS INT) AS k
+  FROM cand) WHERE k <= 5),
+gsec AS (
+SELECT g.doc_id, g.page, g.first_y0, g.first_seq, g.text,
+  (SELECT max({sec('h')}) FROM outline_rows h WHERE h.doc_id = g.doc_id AND {sec('h')} <= {sec('g')}) AS section
+FROM sc g),
+rtl AS (SELECT request_id, list(term) AS terms FROM rterms GROUP BY request_id),
+mem AS (
+SELECT k.request_id, k.doc_id, k.importance_rank, g.page, g.first_y0, g.first_seq, g.text,
+  len(list_distinct(list_intersect(list_distinct({tokens('g.text')}), coalesce(r.terms, [])))) AS overlap
+FROM kept k JOIN gsec g ON g.doc_id = k.doc_id AND g.section = {sec('k')}
+LEFT JOIN rtl r ON r.request_id = k.request_id
+WHERE NOT k.is_fallback),
+top3 AS (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, doc_id, importance_rank ORDER BY overlap DESC, page, first_y0, first_seq) AS q FROM mem) WHERE q <= 3),
+rtext AS (
+SELECT request_id, doc_id, importance_rank,
+  trim(regexp_replace(string_agg(text, ' ' ORDER BY page, first_y0, first_seq), '[\\s\\p{{Z}}]+', ' ', 'g')) AS refined_text
+FROM top3 GROUP BY ALL),
+kt AS (
+SELECT k.*, CASE WHEN coalesce(x.refined_text, '') = '' THEN 'This section from ' || k.filename || ' is relevant to the task: ' || r.task
+  ELSE x.refined_text END AS refined_text
+FROM kept k LEFT JOIN rtext x USING (request_id, doc_id, importance_rank) LEFT JOIN fx_requests r USING (request_id))"""
+
+STAGE3 = STAGE2 + [REQUESTS]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import blocks as B
 from ..operators import requests as R
 from ..operators import structure as S
+from ..session import cut_lineage
 from ..sources import fixtures
 
 
@@ -26,13 +27,19 @@ class Corpus:
     def __init__(self, spans: DataFrame, toc_lines: DataFrame | None = None,
                  language_profiles: DataFrame | None = None,
                  requests: DataFrame | None = None, request_docs: DataFrame | None = None,
-                 cluster_columns: bool = False):
+                 cluster_columns: bool = False, materialize: bool = True):
         self.spans = spans
         self.toc_lines = toc_lines
         self.language_profiles = language_profiles
         self.requests = requests
         self.request_docs = request_docs
         self.cluster_columns = cluster_columns
+        self.materialize = materialize
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Stage boundary: reliable checkpoint in the shared folder (the
+        reference writes a file per document at the same points)."""
+        return cut_lineage(df) if self.materialize else df
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, with_toc: bool = False,
@@ -48,19 +55,23 @@ class Corpus:
     @cached_property
     def blocks(self) -> DataFrame:
         """D2 block records."""
-        return B.blocks_from_spans(self.spans, toc_lines=self.toc_lines,
-                                   language_profiles=self.language_profiles,
-                                   cluster_columns=self.cluster_columns)
+        return self._cut(B.blocks_from_spans(self.spans, toc_lines=self.toc_lines,
+                                             language_profiles=self.language_profiles,
+                                             cluster_columns=self.cluster_columns))
 
     @cached_property
     def docs(self) -> DataFrame:
         """Every document of the input (also those without a block)."""
-        return self.spans.select("doc_id").distinct().withColumn("doc_key", F.col("doc_id").cast("string"))
+        return self._cut(self.spans.select("doc_id").distinct().withColumn(
+            "doc_key", F.col("doc_id").cast("string")))
 
     # ---- stage 2 -------------------------------------------------------
     @cached_property
     def structure(self) -> dict[str, DataFrame]:
-        return S.structure(self.blocks)
+        st = S.structure(self.blocks)
+        st["scored"] = self._cut(st["scored"])
+        st["titles"] = S.best_titles(st["scored"])
+        return st
 
     @property
     def groups(self) -> DataFrame:

@@ -530,3 +530,157 @@ def q_u3(spark, sf):
 
     lab = M.weak_labels(_corpus(spark, sf, with_requests=False).scored)
     return lab.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"), F.count("heading_label").alias("n_labels"))
+
+
+# ---------------------------------------------------------------- stage 3
+
+S3 = O.chain(*O.STAGE3)
+
+
+@register("j1_requested_outlines", S3 + """SELECT j.request_id, CAST(j.doc_pos AS BIGINT) AS doc_pos, j.doc_id, t.title,
+  CAST((SELECT count(*) FROM outline_rows o WHERE o.doc_id = j.doc_id) AS BIGINT) AS n_headings
+FROM jd j JOIN titles t USING (doc_id)""")
+def q_j1(spark, sf):
+    c = _corpus(spark, sf)
+    j = R.join_outlines(c.request_docs, c.docs)
+    n = c.headings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return j.join(c.titles.select("doc_id", "title"), "doc_id").join(n, "doc_id", "left").select(
+        "request_id", F.col("doc_pos").cast("long").alias("doc_pos"), "doc_id", "title",
+        F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_headings"))
+
+
+@register("j2_missing_documents", S3 + "SELECT request_id, filename FROM rd WHERE doc_key NOT IN (SELECT doc_key FROM jd)")
+def q_j2(spark, sf):
+    c = _corpus(spark, sf)
+    return R.missing_documents(c.request_docs, c.docs).select("request_id", "filename")
+
+
+@register("a12_text_content", S2 + "SELECT doc_id, string_agg(text, chr(10) ORDER BY page, first_y0, first_seq) AS content FROM outline_rows GROUP BY doc_id")
+def q_a12(spark, sf):
+    return R.text_content(_corpus(spark, sf, with_requests=False).headings)
+
+
+@register("p20_content_filter", S2 + f"SELECT doc_id, bool_or({O.strip('text')} <> '') AS has_content FROM outline_rows GROUP BY doc_id")
+def q_p20(spark, sf):
+    return R.has_content(_corpus(spark, sf, with_requests=False).headings)
+
+
+@register("ml12_section_scores", S3 + f"SELECT request_id, doc_id, page, first_seq, {sr6('score')} AS score FROM bm")
+def q_ml12(spark, sf):
+    c = _corpus(spark, sf)
+    rd = R.join_outlines(c.request_docs, c.docs)
+    s = R.bm25_sections(c.requests, rd, c.headings)
+    return s.select("request_id", "doc_id", "page", "first_seq", r6("score").alias("score"))
+
+
+@register("o4_top2_per_doc", S3 + "SELECT request_id, doc_id, importance_rank, section_title, page_number FROM cand WHERE NOT is_fallback")
+def q_o4(spark, sf):
+    c = _corpus(spark, sf)
+    return c.candidates.filter(~F.col("is_fallback")).select(
+        "request_id", "doc_id", F.col("importance_rank").cast("int").alias("importance_rank"), "section_title",
+        F.col("page_number").cast("int").alias("page_number"))
+
+
+@register("f6_fallback_sections", S3 + "SELECT request_id, doc_id, section_title, importance_rank, page_number FROM fb")
+def q_f6(spark, sf):
+    c = _corpus(spark, sf)
+    return c.candidates.filter("is_fallback").select(
+        "request_id", "doc_id", "section_title", F.col("importance_rank").cast("int").alias("importance_rank"),
+        F.col("page_number").cast("int").alias("page_number"))
+
+
+@register("o3_w6_top_sections", S3 + "SELECT request_id, importance_rank, section_title, CAST(page_number AS INT) AS page_number, filename AS document FROM kept")
+def q_o3(spark, sf):
+    k = _corpus(spark, sf).kept
+    return k.select("request_id", F.col("importance_rank").cast("int").alias("importance_rank"), "section_title",
+                    F.col("page_number").cast("int").alias("page_number"), F.col("filename").alias("document"))
+
+
+@register("j7_ml13_refined_text", S3 + "SELECT request_id, importance_rank, filename AS document, refined_text FROM kt")
+def q_j7(spark, sf):
+    k = _corpus(spark, sf).kept_with_text
+    return k.select("request_id", F.col("importance_rank").cast("int").alias("importance_rank"),
+                    F.col("filename").alias("document"), "refined_text")
+
+
+@register("f7_fallback_text", S3 + "SELECT request_id, filename AS document, refined_text FROM kt WHERE is_fallback")
+def q_f7(spark, sf):
+    k = _corpus(spark, sf).kept_with_text.filter("is_fallback")
+    return k.select("request_id", F.col("filename").alias("document"), "refined_text")
+
+
+@register("f4_ws_collapse", r"""SELECT doc_id, CAST(length(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS BIGINT) AS n_collapsed,
+  CAST(len(string_split(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ')) AS BIGINT) AS n_pieces FROM documents""")
+def q_f4(spark, sf):
+    from ..sources.tables import table
+
+    d = table(spark, sf, "documents").select("doc_id", collapse_ws(F.col("text")).alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_collapsed"),
+                    F.size(F.split("t", " ")).cast("long").alias("n_pieces"))
+
+
+@register("f8_prompts", S3 + """, ctext AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, first_y0, first_seq) AS content FROM outline_rows GROUP BY doc_id)
+SELECT j.request_id, j.doc_id,
+  'You are a ' || r.persona || '. Your task is: ' || r.task || chr(10) || chr(10) || 'Find in the document "' || j.filename
+  || '" the 1-2 sections most relevant to the task.' || chr(10) || chr(10) || 'Document content:' || chr(10) || c.content || chr(10) || chr(10)
+  || 'Answer with a JSON array of objects with section_title, importance_rank, page_number.' AS prompt
+FROM jd j JOIN ctext c USING (doc_id) JOIN fx_requests r USING (request_id)
+WHERE """ + O.strip("c.content") + " <> ''")
+def q_f8(spark, sf):
+    c = _corpus(spark, sf)
+    return R.prompts(c.requests, c.request_docs, c.docs, c.headings).select("request_id", "doc_id", "prompt")
+
+
+@register("ml14_answers", S3 + """SELECT r.request_id, CAST(count(k.request_id) AS BIGINT) AS n_sections,
+  coalesce(string_agg(CAST(k.importance_rank AS VARCHAR) || '|' || k.section_title || '|' || CAST(k.page_number AS VARCHAR) || '|' || k.filename || '|' || k.refined_text, chr(10) ORDER BY k.importance_rank), '') AS sections
+FROM fx_requests r LEFT JOIN kt k USING (request_id) GROUP BY r.request_id""")
+def q_ml14(spark, sf):
+    a = _corpus(spark, sf).answers()
+    line = lambda x, y: F.concat_ws("|", x["importance_rank"].cast("string"), x["section_title"],
+                                    x["page_number"].cast("string"), x["document"], y["refined_text"])
+    return a.select(
+        "request_id", F.size("extracted_sections").cast("long").alias("n_sections"),
+        F.array_join(F.zip_with("extracted_sections", "subsection_analysis", line), "\n").alias("sections"))
+
+
+@register("snk3_answer_metadata", S3 + """SELECT r.request_id,
+  (SELECT string_agg(filename, chr(10) ORDER BY doc_pos) FROM fx_request_docs d WHERE d.request_id = r.request_id) AS input_documents,
+  r.persona, r.task AS job_to_be_done,
+  CAST((SELECT count(*) FROM kt k WHERE k.request_id = r.request_id) AS BIGINT) AS n_extracted
+FROM fx_requests r""")
+def q_snk3(spark, sf):
+    a = _corpus(spark, sf).answers()
+    return a.select("request_id", F.array_join("metadata.input_documents", "\n").alias("input_documents"),
+                    F.col("metadata.persona").alias("persona"), F.col("metadata.job_to_be_done").alias("job_to_be_done"),
+                    F.size("extracted_sections").cast("long").alias("n_extracted"))
+
+
+@register("snk6_summary", S3 + "SELECT request_id, CAST(importance_rank AS VARCHAR) || '. ' || section_title || ' (' || filename || ')' AS line FROM kept")
+def q_snk6(spark, sf):
+    k = _corpus(spark, sf).kept
+    return k.select("request_id", F.format_string("%d. %s (%s)", F.col("importance_rank").cast("int"),
+                                                  F.col("section_title"), F.col("filename")).alias("line"))
+
+
+@register("ml7_train_accuracy")
+def q_ml7(spark, sf):
+    """ML2-ML7 + A11 (rows only). Tree counts here are smaller than the
+    reference defaults (200) to keep the check short; the API defaults
+    keep the reference values."""
+    from ..operators import model as M
+
+    lab = M.weak_labels(_corpus(spark, sf, with_requests=False).scored)
+    model, test = M.fit_structure_model(lab, title_params=dict(maxIter=10, maxDepth=4),
+                                        heading_params=dict(numTrees=10, maxDepth=6))
+    return M.accuracy(model, test)
+
+
+@register("ml8_model_headings")
+def q_ml8(spark, sf):
+    from ..operators import model as M
+
+    c = _corpus(spark, sf, with_requests=False)
+    lab = M.weak_labels(c.scored)
+    model, _ = M.fit_structure_model(lab, title_params=dict(maxIter=10, maxDepth=4),
+                                     heading_params=dict(numTrees=10, maxDepth=6))
+    return M.predict_headings(model, c.scored, c.titles).select("doc_id", "page", "first_seq", "text", "level")
