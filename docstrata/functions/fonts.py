@@ -33,10 +33,11 @@ def bit(flags: Column, mask: int) -> Column:
     return F.coalesce(flags, F.lit(0)).bitwiseAND(mask) != 0
 
 
-def font_styles(font: Column, flags: Column) -> dict[str, Column]:
+def font_styles(font: Column, flags: Column, lowered: bool = False) -> dict[str, Column]:
     """Style flags of one span; mutual exclusions applied (light clears
-    regular, black clears bold, oblique clears italic)."""
-    name = F.lower(F.coalesce(font, F.lit("")))
+    regular, black clears bold, oblique clears italic). ``lowered``: the
+    font column is already lower-case (computed once per row)."""
+    name = font if lowered else F.lower(F.coalesce(font, F.lit("")))
     light = _any(name, LIGHT)
     black = _any(name, BLACK)
     oblique = name.contains("oblique")

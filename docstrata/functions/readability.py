@@ -11,19 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import words
+from .text import word_count
 
 VOWEL_RUN = r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ]+"
 SENTENCE_END = r"[.!?]+"
 
 
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"
+# A whole word (white-space token) without any vowel: one syllable.
+NO_VOWEL_WORD = rf"(?<![^\s\p{{Z}}])[^\s\p{{Z}}{VOWELS}]+(?![^\s\p{{Z}}])"
+# A whole word with at least three vowel runs (possessive, so one run is
+# never split into several).
+POLY_WORD = rf"(?<![^\s\p{{Z}}])(?:[^\s\p{{Z}}{VOWELS}]*+[{VOWELS}]++){{3}}[^\s\p{{Z}}]*"
+
+
 def readability(text: Column) -> dict[str, Column]:
-    ws = words(text)
-    n_words = F.greatest(F.size(ws), F.lit(1)).cast("double")
+    """Counts by whole-text regular expressions (no per-word lambdas):
+    syllables = vowel runs + words without a vowel (each word counts at
+    least one); vowel runs never cross a word since blanks are no vowels."""
+    low = F.lower(text)
+    n_words = F.greatest(word_count(text), F.lit(1)).cast("double")
     n_sent = F.greatest(F.regexp_count(text, F.lit(SENTENCE_END)), F.lit(1)).cast("double")
-    syl = F.transform(ws, lambda w: F.greatest(F.regexp_count(F.lower(w), F.lit(VOWEL_RUN)), F.lit(1)))
-    n_syl = F.aggregate(syl, F.lit(0), lambda a, b: a + b).cast("double")
-    n_poly = F.size(F.filter(syl, lambda s: s >= 3)).cast("double")
+    n_syl = (F.regexp_count(low, F.lit(VOWEL_RUN)) + F.regexp_count(low, F.lit(NO_VOWEL_WORD))).cast("double")
+    n_poly = F.regexp_count(low, F.lit(POLY_WORD)).cast("double")
     n_letters = F.length(F.regexp_replace(text, r"[^\p{L}]", "")).cast("double")
     flesch = F.lit(206.835) - F.lit(1.015) * (n_words / n_sent) - F.lit(84.6) * (n_syl / n_words)
     smog = F.when(n_sent >= 3, F.lit(1.043) * F.sqrt(n_poly * 30 / n_sent) + F.lit(3.1291)).otherwise(F.lit(0.0))

@@ -47,7 +47,8 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    """Number of maximal non-white-space runs (= ``len(text.split())``)."""
+    return F.regexp_count(c, F.lit(r"[^\s\p{Z}]+"))
 
 
 def caps_ratio(c: Column) -> Column:
@@ -63,27 +64,32 @@ def starts_with_bullet(stripped: Column) -> Column:
     return F.substring(stripped, 1, 1).isin(BULLETS)
 
 
+def _title_case_violation() -> str:
+    """One regex that finds a word breaking the title-case rule.
+
+    A word's core is the word without leading non-letter/digit characters.
+    The first and the last word break the rule when their core starts
+    with a lower-case letter; a middle word breaks it when its core is
+    not exactly one of the small words and either starts lower-case or is
+    a small word in another case ("Of")."""
+    small = "|".join(w.replace(".", r"\.") for w in TITLE_SMALL_WORDS)
+    ws, lead, low = r"[\s\p{Z}]", r"[^\p{L}\p{N}\s\p{Z}]*", r"[\p{Ll}\p{Lt}]"
+    first = rf"^{lead}{low}"
+    last = rf"{ws}{lead}{low}[^\s\p{{Z}}]*$"
+    exact_small = rf"(?!(?:{small}){ws})"
+    middle_low = rf"{ws}{lead}{exact_small}{low}[^\s\p{{Z}}]*(?={ws})"
+    middle_small = rf"{ws}{lead}{exact_small}(?i:{small})(?={ws})"
+    return "|".join(f"(?:{p})" for p in (first, last, middle_low, middle_small))
+
+
+TITLE_CASE_VIOLATION = _title_case_violation()
+
+
 def is_title_case(stripped: Column) -> Column:
     """Every word starts upper-case, except small words that are neither
-    first nor last, which must be lower-case. Words that start with no
-    letter are ignored."""
-    ws = words(stripped)
-    n = F.size(ws)
-    small = F.array(*[F.lit(w) for w in TITLE_SMALL_WORDS])
-
-    def word_ok(w, i):
-        core = F.regexp_replace(w, r"^[^\p{L}\p{N}]+", "")
-        first = F.substring(core, 1, 1)
-        middle = (i > 0) & (i < n - 1)
-        is_small = F.array_contains(small, F.lower(core)) & middle
-        return (
-            (core == "")
-            | ~first.rlike(r"^\p{L}")
-            | (is_small & (core == F.lower(core)))
-            | (~is_small & (first == F.upper(first)))
-        )
-
-    return F.forall(F.transform(ws, word_ok), lambda b: b)
+    first nor last, which must be lower-case. Words whose core starts
+    with no letter are ignored. Input: the stripped text."""
+    return ~stripped.rlike(TITLE_CASE_VIOLATION)
 
 
 def count_char(c: Column, ch: str) -> Column:

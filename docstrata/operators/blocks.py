@@ -47,12 +47,12 @@ def span_doc_stats(spans: DataFrame) -> DataFrame:
 def assemble_blocks(spans: DataFrame) -> DataFrame:
     """A1 + P1: one row per non-blank block; spans are ordered by
     (line_seq, span_seq). Output is hash-partitioned by (doc_id, page)."""
-    styles = fonts.font_styles(F.col("font"), F.col("flags"))
+    styles = fonts.font_styles(F.col("font_lc"), F.col("flags"), lowered=True)
     s = spans.select(
         "doc_id", "page", "block_seq", "line_seq", "span_seq", "text", "font", "size",
         "flags", "color", "bx0", "by0", "bx1", "by1", "page_width", "page_height",
-        *[styles[c].alias(c) for c in schemas.STYLE_COLUMNS],
-    ).repartition("doc_id", "page")
+    ).repartition("doc_id", "page").withColumn("font_lc", F.lower(F.coalesce("font", F.lit(""))))
+    s = s.select("*", *[styles[c].alias(c) for c in schemas.STYLE_COLUMNS])
     ordk = F.struct("line_seq", "span_seq")
     raw = s.groupBy("doc_id", "page", "block_seq").agg(
         F.concat(

@@ -68,7 +68,11 @@ def feature_columns() -> dict[str, Column]:
     }
 
 
+FEATURE_COLS = [f"f_{k}" for k in FEATURES]
+
+
 def numeric_features() -> list[Column]:
-    """Every feature as a double, NULL -> 0, in the fixed order."""
+    """Every feature as a double, NULL -> 0, in the fixed order
+    (columns ``f_<name>``)."""
     fc = feature_columns()
-    return [F.coalesce(fc[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES]
+    return [F.coalesce(fc[k].cast("double"), F.lit(0.0)).alias(f"f_{k}") for k in FEATURES]

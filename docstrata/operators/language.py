@@ -40,8 +40,10 @@ def fit_profiles(documents: DataFrame, lang_col: str = "lang", text_col: str = "
     """Profile rows (lang, gram, logp, dflt): add-one smoothed log
     probability of a gram in a language and the log probability of an
     unseen gram."""
-    counts = gram_counts(documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")),
-                         ["lang"])
+    from ..sources.tables import spread
+
+    docs = spread(documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+    counts = gram_counts(docs, ["lang"])
     # Add-one smoothing over the language's own gram vocabulary.
     tv = counts.groupBy("lang").agg(
         (F.sum("cnt") + F.count(F.lit(1))).cast("double").alias("den"))

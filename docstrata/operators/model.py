@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import structure as S
-from .features import FEATURES, numeric_features
+from .features import FEATURE_COLS, FEATURES, numeric_features
 
 # Fixed values (reference defaults).
 TEST_FRACTION = 0.2
@@ -116,7 +116,7 @@ def fit_structure_model(labelled: DataFrame, title_params: dict | None = None,
         raise ValueError("title labels have a single class; the title classifier needs two")
     weights = class_weights(train, "heading_label").select("heading_label", F.col("weight").alias("w"))
     train_w = train.join(F.broadcast(weights), "heading_label")  # one row per class
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw_features")
+    assembler = VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features")
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     indexer = StringIndexer(inputCol="heading_label", outputCol="label_idx", stringOrderType="alphabetAsc")
     gbt = GBTClassifier(featuresCol="features", labelCol="title_label", seed=seed, **tp)

@@ -96,5 +96,6 @@ def add_toc_flags(blocks: DataFrame, toc_lines: DataFrame, threshold: float = TO
     matches = toc_matches(blocks, toc_entries(toc_lines, max_pages), threshold)
     flags = matches.select("doc_id", "page", "block_seq",
                            (F.col("best_ratio") >= threshold).alias("in_TOC_flag"))
-    return blocks.join(flags, ["doc_id", "page", "block_seq"], "left").withColumn(
+    base = blocks.drop("in_TOC_flag")
+    return base.join(flags, ["doc_id", "page", "block_seq"], "left").withColumn(
         "in_TOC_flag", F.coalesce(F.col("in_TOC_flag"), F.lit(False)))

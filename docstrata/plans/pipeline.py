@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..operators import blocks as B
 from ..operators import requests as R
 from ..operators import structure as S
-from ..session import cut_lineage
 from ..sources import fixtures
 
 
@@ -37,9 +36,10 @@ class Corpus:
         self.materialize = materialize
 
     def _cut(self, df: DataFrame) -> DataFrame:
-        """Stage boundary: reliable checkpoint in the shared folder (the
-        reference writes a file per document at the same points)."""
-        return cut_lineage(df) if self.materialize else df
+        """Stage boundary: the stage output is written once as a Parquet
+        table in the shared checkpoint folder and read back (the reference
+        writes a file per document at the same points)."""
+        return write_stage(df) if self.materialize else df
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str, with_toc: bool = False,
@@ -127,13 +127,15 @@ class Corpus:
         return R.answers(self.requests, self.request_docs, self.kept_with_text, timestamp)
 
 
-def write_stage(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
+def write_stage(df: DataFrame, name: str | None = None, mode: str = "overwrite") -> DataFrame:
     """Write a stage output as Parquet in the shared checkpoint folder and
-    read it back (cuts lineage; survives executor loss)."""
+    read it back (cuts lineage; survives executor loss; one computation)."""
+    import uuid
+
     from ..session import ensure_checkpoint_dir
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/stages/{name}"
+    path = f"{base}/stages/{name or uuid.uuid4().hex}"
     df.write.mode(mode).parquet(path)
     return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 # Fixed values of the fixture rule set (FIXTURES.md V0, V2).
 LINES_PER_PAGE = 12
@@ -28,7 +28,7 @@ def _mod(n: Column, k: int) -> Column:
 
 def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V0: each non-blank line of a document is one layout block."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     lines = docs.select(
         "doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     ).filter(F.length(F.trim("line")) > 0)
@@ -86,7 +86,7 @@ def fx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_html_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: markup re-aimed as layout; the tag plays the role of the font."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     pat = F.lit(HTML_SPAN_PATTERN)
     arrs = pages.select(
         "page_id",

@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-spread an input that arrives in fewer partitions than the
+    cluster has cores (e.g. one small Parquet row group); inputs that are
+    already split (the large-scale case) are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *cols) if cols else df.repartition(cores)
+
+
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     """SRC1: files of a folder whose lower-case name ends in ``.pdf``.
 
