@@ -50,7 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (local tests) a fresh scratch folder is taken.
     """
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (Connect): the conf is all there is
+        if conf_dir:
+            return conf_dir
+        local = tempfile.mkdtemp(prefix="docstrata-ckpt-")
+        spark.conf.set(CHECKPOINT_CONF, local)
+        return local
     if conf_dir:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)

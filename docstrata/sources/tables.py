@@ -24,8 +24,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-spread an input that arrives in fewer partitions than the
     cluster has cores (e.g. one small Parquet row group); inputs that are
     already split (the large-scale case) are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session): leave as is
         return df
     return df.repartition(cores, *cols) if cols else df.repartition(cores)
 
