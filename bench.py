@@ -20,8 +20,8 @@ from pyspark.sql import functions as F  # noqa: E402
 from docstrata.operators import language as L  # noqa: E402
 from docstrata.operators import model as M  # noqa: E402
 from docstrata.operators import toc as TOC  # noqa: E402
-from docstrata.plans.pipeline import Corpus  # noqa: E402
-from docstrata.session import cut_lineage, get_spark  # noqa: E402
+from docstrata.plans.pipeline import Corpus, write_stage  # noqa: E402
+from docstrata.session import get_spark  # noqa: E402
 from docstrata.sources import fixtures  # noqa: E402
 from docstrata.sources.tables import table  # noqa: E402
 
@@ -42,7 +42,7 @@ def main() -> None:
     c = Corpus.from_fixtures(spark, sf_dir)
     _, q["blocks_stage1"] = timed(lambda: c.blocks.count())
     _, q["groups_scored_stage2"] = timed(lambda: c.scored.count())
-    _, q["titles_outline"] = timed(lambda: cut_lineage(c.headings).count() + c.titles.count())
+    _, q["titles_outline"] = timed(lambda: write_stage(c.headings).count() + c.titles.count())
     _, q["answers_stage3"] = timed(lambda: c.answers().count())
 
     def toc_job():
@@ -52,7 +52,7 @@ def main() -> None:
     _, q["toc_flags"] = timed(toc_job)
 
     def lang_job():
-        prof = cut_lineage(L.fit_profiles(table(spark, sf_dir, "documents")))
+        prof = write_stage(L.fit_profiles(table(spark, sf_dir, "documents")))
         texts = c.blocks.select("doc_id", "page", "block_seq", "text")
         return L.detect_language(texts, prof, ["doc_id", "page", "block_seq"]).groupBy("language").count().collect()
 

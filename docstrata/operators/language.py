@@ -39,7 +39,9 @@ def gram_counts(df: DataFrame, key: list[str], text_col: str = "text") -> DataFr
 def fit_profiles(documents: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Profile rows (lang, gram, logp, dflt): add-one smoothed log
     probability of a gram in a language and the log probability of an
-    unseen gram."""
+    unseen gram. The result is a model table: write it once
+    (``plans.pipeline.write_stage``) before scoring, which reads it three
+    times (size check, defaults, join)."""
     from ..sources.tables import spread
 
     docs = spread(documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))

@@ -252,12 +252,49 @@ def q_j3(spark, sf):
     return blk.select("doc_id", "page", "block_seq", "in_TOC_flag")
 
 
-@register("f2_language")
+def _gram_rows_sql(key: str, text: str, src: str) -> str:
+    """All 3-grams of ' ' + w1 + ' ' + ... + wk + ' ' (w = letter runs,
+    lower-case) as rows, in linear time: grams inside each padded word,
+    plus one gram across each pair of neighbouring words."""
+    ws = rf"list_filter(string_split(regexp_replace(lower({text}), '[^\p{{L}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return f"""SELECT {key}, unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS gram
+  FROM (SELECT {key}, unnest(ws) AS w FROM (SELECT {key}, {ws} AS ws FROM {src}))
+  UNION ALL
+  SELECT {key}, unnest(list_transform(range(1, len(ws)), lambda i: substr(ws[i], length(ws[i]), 1) || ' ' || substr(ws[i + 1], 1, 1))) AS gram
+  FROM (SELECT {key}, {ws} AS ws FROM {src})"""
+
+
+_F2 = S1.rstrip("\n") + f""",
+dg AS ({_gram_rows_sql('lang', 'text', 'documents')}),
+pc AS (SELECT lang, gram, count(*) AS cnt FROM dg WHERE gram <> '   ' GROUP BY lang, gram),
+pden AS (SELECT lang, CAST(sum(cnt) + count(*) AS DOUBLE) AS den FROM pc GROUP BY lang),
+prof AS (SELECT p.lang, p.gram, ln(CAST(p.cnt + 1 AS DOUBLE) / d.den) AS logp, ln(1.0 / d.den) AS dflt FROM pc p JOIN pden d USING (lang)),
+dfl AS (SELECT DISTINCT lang, dflt FROM prof),
+fbl AS (SELECT lang, dflt FROM dfl ORDER BY dflt DESC, lang LIMIT 1),
+bg AS ({_gram_rows_sql('doc_id, page, block_seq', 'anchor_text', 'blk')}),
+bc AS (SELECT doc_id, page, block_seq, gram, count(*) AS cnt FROM bg WHERE gram <> '   ' GROUP BY ALL),
+bn AS (SELECT doc_id, page, block_seq, sum(cnt) AS n FROM bc GROUP BY ALL),
+gain AS (SELECT b.doc_id, b.page, b.block_seq, p.lang, sum(b.cnt * (p.logp - p.dflt)) AS g
+         FROM bc b JOIN prof p USING (gram) GROUP BY ALL),
+sc2 AS (
+  SELECT g.doc_id, g.page, g.block_seq, g.lang, n.n * d.dflt + g.g AS score
+  FROM gain g JOIN dfl d USING (lang) JOIN bn n USING (doc_id, page, block_seq)
+  UNION ALL
+  SELECT n.doc_id, n.page, n.block_seq, f.lang, n.n * f.dflt FROM bn n, fbl f),
+bestl AS (SELECT doc_id, page, block_seq, arg_max(lang, {{'s': score, 'l': lang}}) AS language FROM sc2 GROUP BY ALL)
+SELECT k.doc_id, k.page, k.block_seq,
+  CASE WHEN regexp_matches(k.anchor_text, '\p{{L}}') THEN coalesce(b.language, 'unknown') ELSE 'unknown' END AS language
+FROM blk k LEFT JOIN bestl b USING (doc_id, page, block_seq)"""
+
+
+@register("f2_language", _F2)
 def q_f2(spark, sf):
     from ..operators import language as L
     from ..sources.tables import table
 
-    prof = L.fit_profiles(table(spark, sf, "documents"))
+    from .pipeline import write_stage
+
+    prof = write_stage(L.fit_profiles(table(spark, sf, "documents")))  # fitted model table
     c = Corpus(fixtures.fx_spans(spark, sf), language_profiles=prof)
     return c.blocks.select("doc_id", "page", "block_seq", "language")
 
