@@ -57,7 +57,12 @@ def fit_profiles(documents: DataFrame, lang_col: str = "lang", text_col: str = "
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., language) for every row of ``texts`` (key..., text)."""
+    """(key..., language) for every row of ``texts`` (key..., text).
+
+    ``texts`` is read once: one aggregation gives the gram counts of every
+    text (a text without letters keeps one row with a NULL gram); sizes,
+    profile matches and the key list all derive from that aggregate, whose
+    exchange Spark reuses."""
     defaults = profiles.select("lang", "dflt").distinct()
     # Bounded by the number of languages: read on the driver to pick the
     # language that wins when no gram of the text is in any profile.
@@ -69,16 +74,17 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: list[str]) -> Da
     prof = profiles.select("gram", "lang", (F.col("logp") - F.col("dflt")).alias("gain"))
     if n_profile <= BROADCAST_MAX_ROWS:
         prof = F.broadcast(prof)
-    counts = gram_counts(texts, key)
-    sizes = counts.groupBy(*key).agg(F.sum("cnt").alias("n"))
-    matched = counts.join(prof, "gram").groupBy(*key, "lang").agg(
+    g = texts.select(*key, F.explode_outer(grams(F.col("text"))).alias("gram"))
+    g = g.withColumn("gram", F.when(F.col("gram") != "   ", F.col("gram")))
+    counts = g.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    sizes = counts.groupBy(*key).agg(F.sum(F.when(F.col("gram").isNotNull(), F.col("cnt")).otherwise(0)).alias("n"))
+    matched = counts.filter(F.col("gram").isNotNull()).join(prof, "gram").groupBy(*key, "lang").agg(
         F.sum(F.col("cnt") * F.col("gain")).alias("gain"))
-    dflt = F.broadcast(defaults)
-    scored = matched.join(dflt, "lang").join(sizes, key).select(
+    scored = matched.join(F.broadcast(defaults), "lang").join(sizes, key).select(
         *key, "lang", (F.col("n") * F.col("dflt") + F.col("gain")).alias("score"))
-    fallback = sizes.select(*key, F.lit(fb_lang).alias("lang"), (F.col("n") * F.lit(fb_dflt)).alias("score"))
+    fallback = sizes.filter(F.col("n") > 0).select(
+        *key, F.lit(fb_lang).alias("lang"), (F.col("n") * F.lit(fb_dflt)).alias("score"))
     best = scored.unionByName(fallback).groupBy(*key).agg(
         F.max_by("lang", F.struct("score", F.col("lang"))).alias("language"))
-    has_letter = texts.select(*key, F.col("text").rlike(r"\p{L}").alias("has_letter"))
-    return has_letter.join(best, key, "left").select(
-        *key, F.when(F.col("has_letter"), F.coalesce("language", F.lit(UNKNOWN))).otherwise(F.lit(UNKNOWN)).alias("language"))
+    return sizes.join(best, key, "left").select(
+        *key, F.when(F.col("n") > 0, F.coalesce("language", F.lit(UNKNOWN))).otherwise(F.lit(UNKNOWN)).alias("language"))
