@@ -128,14 +128,15 @@ def raw_blocks(spans: DataFrame) -> DataFrame:
 
 def blocks_from_spans(spans: DataFrame, toc_lines: DataFrame | None = None,
                       language_profiles: DataFrame | None = None,
-                      cluster_columns: bool = False) -> DataFrame:
+                      cluster_columns: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """D2 block records (plus doc_id, block_seq, y0) from D1 spans.
+    ``keep`` names extra engine columns to keep (e.g. ``anchor_text``, the
+    merged block's own first text, which language detection reads).
 
     ``toc_lines`` (doc_id, page, line_no, line) adds in_TOC_flag (J3);
     ``language_profiles`` (from ``language.fit_profiles``) adds language
     (F2); ``cluster_columns`` fills column_group by the per-page 1-D
     2-means (F15) instead of the constant 0 the reference writes."""
-    from . import language as lang_ops
     from . import toc as toc_ops
 
     raw = raw_blocks(spans)
@@ -155,16 +156,25 @@ def blocks_from_spans(spans: DataFrame, toc_lines: DataFrame | None = None,
     else:
         out = out.withColumn("column_group", F.lit(0))
     if language_profiles is not None:
-        langs = lang_ops.detect_language(out.select("doc_id", "page", "block_seq", F.col("anchor_text").alias("text")),
-                                         language_profiles, ["doc_id", "page", "block_seq"])
-        out = out.join(langs, ["doc_id", "page", "block_seq"], "left")
+        out = add_language(out.withColumn("text_for_lang", F.col("anchor_text")), language_profiles)
     else:
         out = out.withColumn("language", F.lit(None).cast("string"))
     if toc_lines is not None:
         out = toc_ops.add_toc_flags(out, toc_lines)
     else:
         out = out.withColumn("in_TOC_flag", F.lit(False))
-    return out.select("doc_id", "block_seq", "y0", *schemas.BLOCK_COLUMNS)
+    return out.select("doc_id", "block_seq", "y0", *schemas.BLOCK_COLUMNS, *keep)
+
+
+def add_language(blocks: DataFrame, profiles: DataFrame) -> DataFrame:
+    """F2 on the block (anchor) text; replaces ``language``. Best run on a
+    materialized block table (see ``Corpus``)."""
+    from . import language as lang_ops
+
+    text = next(c for c in ("text_for_lang", "anchor_text", "text") if c in blocks.columns)
+    langs = lang_ops.detect_language(blocks.select("doc_id", "page", "block_seq", F.col(text).alias("text")),
+                                     profiles, ["doc_id", "page", "block_seq"])
+    return blocks.drop("language").join(langs, ["doc_id", "page", "block_seq"], "left").drop("text_for_lang")
 
 
 def number_blocks(blocks: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -59,10 +59,8 @@ def fit_profiles(documents: DataFrame, lang_col: str = "lang", text_col: str = "
 def detect_language(texts: DataFrame, profiles: DataFrame, key: list[str]) -> DataFrame:
     """(key..., language) for every row of ``texts`` (key..., text).
 
-    ``texts`` is read once: one aggregation gives the gram counts of every
-    text (a text without letters keeps one row with a NULL gram); sizes,
-    profile matches and the key list all derive from that aggregate, whose
-    exchange Spark reuses."""
+    ``texts`` should be a materialized table (it is read twice: grams, and
+    the gram count per text, which is length(normalized) - 2)."""
     defaults = profiles.select("lang", "dflt").distinct()
     # Bounded by the number of languages: read on the driver to pick the
     # language that wins when no gram of the text is in any profile.
@@ -74,11 +72,10 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: list[str]) -> Da
     prof = profiles.select("gram", "lang", (F.col("logp") - F.col("dflt")).alias("gain"))
     if n_profile <= BROADCAST_MAX_ROWS:
         prof = F.broadcast(prof)
-    g = texts.select(*key, F.explode_outer(grams(F.col("text"))).alias("gram"))
-    g = g.withColumn("gram", F.when(F.col("gram") != "   ", F.col("gram")))
-    counts = g.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
-    sizes = counts.groupBy(*key).agg(F.sum(F.when(F.col("gram").isNotNull(), F.col("cnt")).otherwise(0)).alias("n"))
-    matched = counts.filter(F.col("gram").isNotNull()).join(prof, "gram").groupBy(*key, "lang").agg(
+    counts = gram_counts(texts, key)
+    # Number of grams of a text = length of the normalized text - 2.
+    sizes = texts.select(*key, F.greatest(F.length(normalize(F.col("text"))) - (GRAM - 1), F.lit(0)).alias("n"))
+    matched = counts.join(prof, "gram").groupBy(*key, "lang").agg(
         F.sum(F.col("cnt") * F.col("gain")).alias("gain"))
     scored = matched.join(F.broadcast(defaults), "lang").join(sizes, key).select(
         *key, "lang", (F.col("n") * F.col("dflt") + F.col("gain")).alias("score"))

@@ -55,9 +55,15 @@ class Corpus:
     @cached_property
     def blocks(self) -> DataFrame:
         """D2 block records."""
-        return self._cut(B.blocks_from_spans(self.spans, toc_lines=self.toc_lines,
-                                             language_profiles=self.language_profiles,
-                                             cluster_columns=self.cluster_columns))
+        if self.language_profiles is None:
+            return self._cut(B.blocks_from_spans(self.spans, toc_lines=self.toc_lines,
+                                                 cluster_columns=self.cluster_columns))
+        # F2 reads the written block table (cheap to read twice); a merged
+        # block keeps the language of its anchor's own text.
+        base = self._cut(B.blocks_from_spans(self.spans, toc_lines=self.toc_lines,
+                                             cluster_columns=self.cluster_columns, keep=("anchor_text",)))
+        cols = [c for c in base.columns if c != "anchor_text"]
+        return self._cut(B.add_language(base, self.language_profiles).select(*cols))
 
     @cached_property
     def docs(self) -> DataFrame:
