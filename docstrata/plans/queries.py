@@ -721,3 +721,20 @@ def q_ml8(spark, sf):
     model, _ = M.fit_structure_model(lab, title_params=dict(maxIter=10, maxDepth=4),
                                      heading_params=dict(numTrees=10, maxDepth=6))
     return M.predict_headings(model, c.scored, c.titles).select("doc_id", "page", "first_seq", "text", "level")
+
+
+_J3_EXACT = S1.rstrip("\n") + ",\n" + O.FX_TOC_LINES + f""",
+toc_e AS (
+SELECT DISTINCT doc_id, {O.strip("regexp_extract(" + O.strip("line") + f", '{_TOC_PAT}', 1)")} AS entry
+FROM fx_toc_lines WHERE page <= 3 AND regexp_matches({O.strip("line")}, '{_TOC_PAT}'))
+SELECT DISTINCT b.doc_id, b.page, b.block_seq FROM blk b JOIN toc_e e ON e.doc_id = b.doc_id AND e.entry = {O.strip("b.text")}"""
+
+
+@register("j3_exact_toc_matches", _J3_EXACT)
+def q_j3_exact(spark, sf):
+    """J3, exact-equal subset (ratio 1): blocks whose text equals a TOC
+    entry of their document, through the same length-band candidate join."""
+    blk = _corpus(spark, sf, with_requests=False).blocks
+    entries = TOC.toc_entries(fixtures.fx_toc_lines(spark, sf))
+    m = TOC.toc_matches(blk, entries)
+    return m.filter(F.col("best_ratio") >= 1.0).select("doc_id", "page", "block_seq")
