@@ -283,7 +283,7 @@ sc2 AS (
   SELECT n.doc_id, n.page, n.block_seq, f.lang, n.n * f.dflt FROM bn n, fbl f),
 bestl AS (SELECT doc_id, page, block_seq, arg_max(lang, {{'s': score, 'l': lang}}) AS language FROM sc2 GROUP BY ALL)
 SELECT k.doc_id, k.page, k.block_seq,
-  CASE WHEN regexp_matches(k.anchor_text, '\p{{L}}') THEN coalesce(b.language, 'unknown') ELSE 'unknown' END AS language
+  CASE WHEN regexp_matches(k.anchor_text, '\\p{{L}}') THEN coalesce(b.language, 'unknown') ELSE 'unknown' END AS language
 FROM blk k LEFT JOIN bestl b USING (doc_id, page, block_seq)"""
 
 
