@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.llm import mixing, packing, pii, urls
+from docstrata.llm import exact, mixing, packing, pii, urls
 from docstrata.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.packed(documents(spark, sf_dir)))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir), file_backed=True).drop("at")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -30,9 +34,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_exact_dedup": op5_exact_dedup,
     "op7_url_filter": op7_url_filter,
 }
 SQL: dict[str, str] = {
     "op3_mix_sources": mixing.MIX_SQL,
+    "op5_exact_dedup": exact.EXACT_SQL,
     "op7_url_filter": urls.URLS_SQL,
 }
