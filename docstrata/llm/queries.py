@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.llm import exact, langid, mixing, packing, pii, substrings, suffixes, urls
+from docstrata.llm import exact, langid, mixing, packing, pii, substrings, suffixes, urls, vectors
 from docstrata.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language": op9_language,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
