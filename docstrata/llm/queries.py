@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.llm import exact, langid, mixing, packing, pii, substrings, suffixes, urls, vectors
+from docstrata.llm import exact, langid, minhash, mixing, packing, pii, substrings, suffixes, urls, vectors
 from docstrata.llm.common import documents
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_documents(documents(spark, sf_dir)).drop("dk", "rid")
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_personal_data": op2_personal_data,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_sequences": op4_pack_sequences,
