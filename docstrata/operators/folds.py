@@ -81,26 +81,27 @@ def merge_runs(blocks: DataFrame, payload: list[str],
           END,
           acc -> acc.gids)
     """)
-    merged = packed.select("doc_id", "page", F.arrays_zip("rows", fold.alias("gids")).alias("z"))
-    merged = merged.select(
-        "doc_id", "page",
-        F.expr("""
-          transform(filter(z, (e, i) -> i = 0 OR e.gids <> z[i - 1].gids), a ->
-            named_struct(
-              'row', a.rows,
-              'text', array_join(transform(filter(z, m -> m.gids = a.gids), m -> m.rows.text), ' '),
-              'spacing', array_min(transform(filter(z, m -> m.gids = a.gids), m -> m.rows.spacing_above)),
-              'n', size(filter(z, m -> m.gids = a.gids))))
-        """).alias("m"),
-    ).select("doc_id", "page", F.explode("m").alias("m"))
+    # The outer form: a plain explode makes the optimizer repeat the fold in a filter.
+    members = packed.select(
+        "doc_id", "page", "run_id", F.explode_outer(F.arrays_zip("rows", fold.alias("gids"))).alias("z"),
+    ).select("doc_id", "page", "run_id", F.col("z.gids").alias("gid"), F.col("z.rows").alias("row"))
+    # Grouped by a longer key than the rows are already dealt out by: no exchange.
+    key = F.struct("row.y0", "row.block_seq")
+    merged = members.groupBy("doc_id", "page", "run_id", "gid").agg(
+        F.min_by("row", key).alias("row"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row.y0", "row.block_seq", "row.text"))),
+                                 lambda m: m["text"]), " ").alias("text"),
+        F.min("row.spacing_above").alias("spacing"),
+        F.count(F.lit(1)).cast("int").alias("n"),
+    )
     keep = [c for c in fields if c not in ("text", "spacing_above")]
     return merged.select(
         "doc_id", "page",
-        *[F.col(f"m.row.{c}").alias(c) for c in keep],
-        F.col("m.row.text").alias("anchor_text"),
-        F.col("m.text").alias("text"),
-        F.col("m.spacing").alias("spacing_above"),
-        F.col("m.n").alias("n_merged"),
+        *[F.col(f"row.{c}").alias(c) for c in keep],
+        F.col("row.text").alias("anchor_text"),
+        "text",
+        F.col("spacing").alias("spacing_above"),
+        F.col("n").alias("n_merged"),
     )
 
 
@@ -163,7 +164,7 @@ def group_runs(blocks: DataFrame, max_items: int = GROUP_MAX_ITEMS,
     """)
     out = packed.select(
         "doc_id", "page", "run_id",
-        F.posexplode(F.arrays_zip("rows", fold.alias("gids"))).alias("pos", "z"),
+        F.posexplode_outer(F.arrays_zip("rows", fold.alias("gids"))).alias("pos", "z"),
     )
     return out.select(
         "doc_id", "page", "run_id",

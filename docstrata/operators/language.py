@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 GRAM = 3
 UNKNOWN = "unknown"
-# Profiles above this many rows are joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def normalize(text: Column) -> Column:
@@ -40,8 +38,8 @@ def fit_profiles(documents: DataFrame, lang_col: str = "lang", text_col: str = "
     """Profile rows (lang, gram, logp, dflt): add-one smoothed log
     probability of a gram in a language and the log probability of an
     unseen gram. The result is a model table: write it once
-    (``plans.pipeline.write_stage``) before scoring, which reads it three
-    times (size check, defaults, join)."""
+    (``plans.pipeline.write_stage``) before scoring, which reads it twice
+    (defaults, join)."""
     from ..sources.tables import spread
 
     docs = spread(documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
@@ -49,7 +47,7 @@ def fit_profiles(documents: DataFrame, lang_col: str = "lang", text_col: str = "
     # Add-one smoothing over the language's own gram vocabulary.
     tv = counts.groupBy("lang").agg(
         (F.sum("cnt") + F.count(F.lit(1))).cast("double").alias("den"))
-    return counts.join(F.broadcast(tv), "lang").select(
+    return counts.join(tv, "lang").select(
         "lang", "gram",
         F.log((F.col("cnt") + 1).cast("double") / F.col("den")).alias("logp"),
         F.log(1.0 / F.col("den")).alias("dflt"),
@@ -68,16 +66,15 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: list[str]) -> Da
     if not best_default:
         return texts.select(*key, F.lit(UNKNOWN).alias("language"))
     fb_lang, fb_dflt = best_default[0]["lang"], float(best_default[0]["dflt"])
-    n_profile = profiles.count()
     prof = profiles.select("gram", "lang", (F.col("logp") - F.col("dflt")).alias("gain"))
-    if n_profile <= BROADCAST_MAX_ROWS:
-        prof = F.broadcast(prof)
-    counts = gram_counts(texts, key)
+    # The score is a sum over the text's grams: grams meet the profile as they
+    # are, and a map-side sum leaves one row per (text, language) to shuffle
+    # where the profile is small enough to be sent to the tasks.
+    hits = texts.select(*key, F.explode(grams(F.col("text"))).alias("gram")).filter(F.col("gram") != " " * GRAM)
+    matched = hits.join(prof, "gram").groupBy(*key, "lang").agg(F.sum("gain").alias("gain"))
     # Number of grams of a text = length of the normalized text - 2.
     sizes = texts.select(*key, F.greatest(F.length(normalize(F.col("text"))) - (GRAM - 1), F.lit(0)).alias("n"))
-    matched = counts.join(prof, "gram").groupBy(*key, "lang").agg(
-        F.sum(F.col("cnt") * F.col("gain")).alias("gain"))
-    scored = matched.join(F.broadcast(defaults), "lang").join(sizes, key).select(
+    scored = matched.join(defaults, "lang").join(sizes, key).select(
         *key, "lang", (F.col("n") * F.col("dflt") + F.col("gain")).alias("score"))
     fallback = sizes.filter(F.col("n") > 0).select(
         *key, F.lit(fb_lang).alias("lang"), (F.col("n") * F.lit(fb_dflt)).alias("score"))

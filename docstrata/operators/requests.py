@@ -5,9 +5,10 @@ each document and a text on each. Here the default answerer is a Spark
 job: every heading of the named documents is scored against the request's
 persona + task with BM25 (statistics per request, by joins and groupBy),
 the best two per document are kept (O4), all requests are ranked at once
-(O3, W6), and the text on each kept section is extractive (the three
-groups of the section that share most terms with the request, in document
-order). A user batch function can replace the default (``model_hook``).
+(O3, W6), and the text on each kept section is extractive: every group of
+the section that shares a term with the request, in document order, or the
+whole section when none does. A user batch function can replace the
+section finder (``hook_sections``).
 
 Top-k steps use the salted two-phase ``top_k`` so that a request naming
 a third of all documents, or a document with a third of all headings, is
@@ -32,10 +33,9 @@ FALLBACK_RULES = [
     ("tips", "Travel Tips", 4, 1),
 ]
 FALLBACK_DEFAULT = ("General Information", 5, 1)
-# Relevance parameters (BM25) and extractive text size.
+# Relevance parameters (BM25).
 BM25_K1 = 1.2
 BM25_B = 0.75
-TEXT_GROUPS = 3
 SCORE_DIGITS = 9
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -93,11 +93,16 @@ def bm25_sections(requests: DataFrame, req_docs: DataFrame, headings: DataFrame,
     Output: request_id, doc_id, page, first_y0, first_seq, text, score (> 0)."""
     secs = headings.select("doc_id", *SEC_KEY, "text", F.size(tokens(F.col("text"))).alias("dl"))
     rd = req_docs.select("request_id", "doc_id")
-    per_req = rd.join(secs, "doc_id").groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_sec"), F.avg("dl").alias("avgdl"))
-    st = secs.select("doc_id", *SEC_KEY, "dl", F.explode(tokens(F.col("text"))).alias("term")).groupBy(
+    # Statistics of a document once, then one row per (request, document).
+    per_doc = secs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
+    per_req = rd.join(per_doc, "doc_id").groupBy("request_id").agg(
+        F.sum("n").alias("n_sec"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    # Only postings of terms that some request asks for meet the requests, by document and term.
+    asked = request_terms(requests)
+    st = secs.select("doc_id", *SEC_KEY, "dl", F.explode(tokens(F.col("text"))).alias("term"))
+    st = st.join(asked.select("term").distinct(), "term", "left_semi").groupBy(
         "doc_id", *SEC_KEY, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    matched = rd.join(st, "doc_id").join(request_terms(requests), ["request_id", "term"])
+    matched = rd.join(asked, "request_id").join(st, ["doc_id", "term"])
     dfreq = matched.groupBy("request_id", "term").agg(F.count(F.lit(1)).alias("df"))
     m = matched.join(dfreq, ["request_id", "term"]).join(per_req, "request_id")
     idf = F.log(1 + (F.col("n_sec") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -181,26 +186,24 @@ def assign_sections(classified: DataFrame) -> DataFrame:
     return g.drop("in_page", "carried")
 
 
-def refined_texts(kept: DataFrame, requests: DataFrame, sectioned: DataFrame,
-                  n_groups: int = TEXT_GROUPS) -> DataFrame:
-    """J7 + ML13 default: for each kept section, the ``n_groups`` groups of
-    the section sharing most request terms (then document order), joined
-    in document order with white space collapsed (F4); fallback sections
-    and empty texts get the F7 text."""
+def refined_texts(kept: DataFrame, requests: DataFrame, sectioned: DataFrame) -> DataFrame:
+    """J7 + ML13 default: for each kept section, its groups that share a
+    request term (all of its groups when none does), joined in document
+    order with white space collapsed (F4); fallback sections and empty
+    texts get the F7 text."""
     real = kept.filter(~F.col("is_fallback")).select(
         "request_id", "doc_id", F.struct(*SEC_KEY).alias("section"))
     members = real.join(sectioned.select("doc_id", "section", "first_y0", "first_seq", "page", "text"),
                         ["doc_id", "section"])
     terms = request_terms(requests).groupBy("request_id").agg(F.collect_set("term").alias("terms"))
     members = members.join(terms, "request_id", "left").withColumn(
-        "overlap", F.size(F.array_intersect(F.array_distinct(tokens(F.col("text"))),
-                                            F.coalesce(F.col("terms"), F.array().cast("array<string>")))))
-    order = [F.col("overlap").desc(), F.col("page"), F.col("first_y0"), F.col("first_seq")]
-    best = top_k(members, ["request_id", "doc_id", "section"], order, n_groups,
-                 ["request_id", "doc_id", "page", "first_y0", "first_seq"])
-    texts = best.groupBy("request_id", "doc_id", "section").agg(
-        collapse_ws(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "first_y0", "first_seq", "text"))),
-                                             lambda x: x["text"]), " ")).alias("refined_text"))
+        "shares", F.coalesce(F.arrays_overlap(tokens(F.col("text")), F.col("terms")), F.lit(False)))
+    ordered = lambda only: F.sort_array(F.collect_list(F.when(only, F.struct("page", "first_y0", "first_seq", "text"))))
+    texts = members.groupBy("request_id", "doc_id", "section").agg(
+        ordered(F.col("shares")).alias("sharing"), ordered(F.lit(True)).alias("all_groups"))
+    chosen = F.when(F.size("sharing") > 0, F.col("sharing")).otherwise(F.col("all_groups"))
+    texts = texts.select("request_id", "doc_id", "section",
+                         collapse_ws(F.array_join(F.transform(chosen, lambda x: x["text"]), " ")).alias("refined_text"))
     out = kept.withColumn("section", F.struct(*SEC_KEY)).join(texts, ["request_id", "doc_id", "section"], "left")
     out = out.join(requests.select("request_id", "task"), "request_id", "left")
     return out.withColumn(
@@ -255,19 +258,26 @@ def prompts(requests: DataFrame, request_docs: DataFrame, docs: DataFrame, headi
 
 def parse_model_sections(response: Column) -> Column:
     """F5 + P21: the first JSON array in a text (first '[' to first ']'),
-    parsed as section records; NULL when absent or invalid."""
+    its objects as section records; elements that are no objects are left
+    out, a rank or page given as text is read as a number. NULL when there
+    is no array or it is no valid JSON."""
     from .. import schemas
 
     arr = F.regexp_extract(response, r"(?s)\[.*?\]", 0)
-    return F.when(arr != "", F.from_json(arr, schemas.MODEL_SECTIONS))
+    elements = F.when(arr != "", F.from_json(arr, "array<string>"))
+    objects = F.filter(elements, lambda x: F.coalesce(x.startswith("{"), F.lit(False)))
+    return F.transform(objects, lambda x: F.from_json(x, schemas.MODEL_SECTION))
 
 
 def hook_sections(prompt_rows: DataFrame, model_fn) -> DataFrame:
     """UD1: run a user batch function (pandas Series of prompts -> Series
     of response texts, None on failure) with ``mapInPandas`` and turn the
-    answers into candidate sections (fallback F6 on a missing or invalid
-    answer; ``[]`` means no section)."""
-    schema = "request_id long, doc_id long, filename string, doc_pos int, response string"
+    answers into candidate sections, in the form of ``candidate_sections``
+    (fallback F6 on a missing or invalid answer; ``[]`` means no section).
+    A section that a model names has no place in the document, so its text
+    is the fallback text."""
+    doc_type = prompt_rows.schema["doc_id"].dataType.simpleString()
+    schema = f"request_id long, doc_id {doc_type}, filename string, doc_pos int, response string"
 
     def run(batches):
         for pdf in batches:
@@ -276,14 +286,21 @@ def hook_sections(prompt_rows: DataFrame, model_fn) -> DataFrame:
             yield pdf[["request_id", "doc_id", "filename", "doc_pos", "response"]]
 
     resp = prompt_rows.select("request_id", "doc_id", "filename", F.col("doc_pos").cast("int"), "prompt").mapInPandas(run, schema)
-    parsed = resp.withColumn("secs", parse_model_sections(F.col("response")))
-    ok = parsed.filter(F.col("secs").isNotNull()).select(
-        "request_id", "doc_id", "filename", "doc_pos", F.posexplode("secs").alias("pos_in_doc", "s")).select(
-        "request_id", "doc_id", "filename", "doc_pos", (F.col("pos_in_doc") + 1).alias("pos_in_doc"),
-        F.col("s.section_title").alias("section_title"), F.col("s.importance_rank").alias("importance_rank"),
-        F.col("s.page_number").alias("page_number"))
-    bad = parsed.filter(F.col("secs").isNull()).withColumn("f", fallback_section(F.col("filename"))).select(
-        "request_id", "doc_id", "filename", "doc_pos", F.lit(1).alias("pos_in_doc"),
-        F.col("f.section_title").alias("section_title"), F.col("f.importance_rank").alias("importance_rank"),
-        F.col("f.page_number").alias("page_number"))
-    return ok.unionByName(bad)
+    return parsed_sections(resp)
+
+
+def parsed_sections(responses: DataFrame) -> DataFrame:
+    """Candidate sections from (request_id, doc_id, filename, doc_pos, response)."""
+    parsed = responses.withColumn("secs", parse_model_sections(F.col("response")))
+    parsed = parsed.withColumn("from_model", F.col("secs").isNotNull())
+    f = fallback_section(F.col("filename"))
+    one = F.array(F.struct(f["section_title"].alias("section_title"), f["importance_rank"].alias("importance_rank"),
+                           f["page_number"].alias("page_number")))
+    secs = F.coalesce(F.col("secs"), one)
+    rows = parsed.select("request_id", "doc_id", "filename", "doc_pos", "from_model", F.posexplode(secs).alias("pos", "s"))
+    return rows.select(
+        "request_id", "doc_id", "filename", "doc_pos", F.col("s.section_title").alias("section_title"),
+        F.col("s.importance_rank").alias("importance_rank"), F.col("s.page_number").alias("page_number"),
+        (F.col("pos") + 1).alias("pos_in_doc"),
+        *[F.lit(None).cast(t).alias(c) for c, t in zip(SEC_KEY, ["int", "double", "int"])],
+        F.lit(True).alias("is_fallback"), "from_model")

@@ -61,7 +61,8 @@ def doc_stats(blocks: DataFrame) -> DataFrame:
 
     total_items, bold_ratio, center_ratio, avg_spacing (mean of positive
     spacings, 0 if none), font_p50/75/85/95 (linear interpolation),
-    most_common_font (mode of sizes rounded to 1 place, first seen wins)."""
+    most_common_font (mode of sizes rounded to 1 place, exact halves to
+    even as the source rule does; first seen wins)."""
     base = blocks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_items"),
         F.avg(F.col("is_bold").cast("double")).alias("bold_ratio"),
@@ -72,7 +73,7 @@ def doc_stats(blocks: DataFrame) -> DataFrame:
         "doc_id", "total_items", "bold_ratio", "center_ratio", "avg_spacing",
         *[F.col("pct")[i].alias(n) for i, n in enumerate(["font_p50", "font_p75", "font_p85", "font_p95"])],
     )
-    rounded = blocks.groupBy("doc_id", F.round("avg_font_size", 1).alias("r")).agg(
+    rounded = blocks.groupBy("doc_id", F.bround("avg_font_size", 1).alias("r")).agg(
         F.count(F.lit(1)).alias("cnt"), F.min(F.struct("page", *ORDER)).alias("first"))
     body = rounded.groupBy("doc_id").agg(
         F.min_by("r", F.struct((-F.col("cnt")).alias("c"), "first")).alias("most_common_font"))

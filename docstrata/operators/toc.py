@@ -25,7 +25,7 @@ def page_lines(spans: DataFrame, max_pages: int = TOC_MAX_PAGES) -> DataFrame:
     return s.groupBy("doc_id", "page", "block_seq", "line_seq").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_seq", "text"))),
                                  lambda x: x["text"]), "").alias("line")
-    ).select("doc_id", "page", (F.col("block_seq") * 100000 + F.col("line_seq")).alias("line_no"), "line")
+    ).select("doc_id", "page", (F.col("block_seq").cast("long") * 100000 + F.col("line_seq")).alias("line_no"), "line")
 
 
 def toc_entry(line: Column) -> Column:

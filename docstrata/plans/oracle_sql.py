@@ -49,9 +49,9 @@ SELECT doc_id, lang, page, block_seq, 0 AS line_seq, CAST(k - 1 AS INT) AS span_
 FROM (SELECT *, unnest(range(1, len(a) + 1)) AS k FROM (SELECT *, string_split(line, ', ') AS a FROM fx_lines)))"""
 
 FX_TOC_LINES = """fx_toc_lines AS (
-SELECT doc_id, 1 AS page, block_seq AS line_no,
-  CASE WHEN block_seq = 0 OR n % 7 = 0 THEN substr(CASE WHEN n % 14 = 0 THEN replace(line, 'e', '') ELSE line END, 1, n - 1) || ' ..... ' || CAST(page AS VARCHAR) ELSE line END AS line
-FROM fx_lines WHERE n BETWEEN 4 AND 120)"""
+SELECT doc_id, page, block_seq AS line_no,
+  CASE WHEN block_seq = 0 OR n % 7 = 0 THEN CASE WHEN n % 14 = 0 THEN replace(line, 'e', '') ELSE line END || ' ..... ' || CAST(page AS VARCHAR) ELSE line END AS line
+FROM fx_lines)"""
 
 HTML_PAT = "<(title|h1|p|li|a|b|div|footer)(?: [^>]*)?>([^<]+)"
 FX_HTML_SPANS = f"""fx_html_spans AS (
@@ -65,8 +65,8 @@ FROM (SELECT page_id, u, t, unnest(range(1, len(u) + 1)) AS i FROM (SELECT page_
 
 FX_REQUESTS = """fx_requests AS (SELECT item_id AS request_id, 'Analyst' AS persona, text AS task FROM benchmark),
 fx_request_docs AS (
-SELECT b.item_id AS request_id, d.doc_id, CAST(d.doc_id AS VARCHAR) || '.pdf' AS filename, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS doc_pos
-FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)"""
+SELECT b.item_id AS request_id, d.doc_id, CASE WHEN d.doc_id % 7 = 3 THEN 'missing ' ELSE '' END || CAST(d.doc_id AS VARCHAR) || '.pdf' AS filename, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS doc_pos
+FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.k)"""
 
 # Span styles (rule table A.5), per span.
 _LF = "lower(font)"
@@ -248,7 +248,7 @@ SELECT doc_id, count(*) AS total_items, avg(CAST(is_bold AS DOUBLE)) AS doc_bold
   quantile_cont(avg_font_size, 0.5) AS font_p50, quantile_cont(avg_font_size, 0.75) AS font_p75,
   quantile_cont(avg_font_size, 0.85) AS font_p85, quantile_cont(avg_font_size, 0.95) AS font_p95
 FROM s2 GROUP BY doc_id),
-rc AS (SELECT doc_id, round(avg_font_size, 1) AS r, count(*) AS cnt, min({{'p': page, 'y': y0, 'b': block_seq}}) AS first FROM s2 GROUP BY doc_id, round(avg_font_size, 1)),
+rc AS (SELECT doc_id, round_even(avg_font_size, 1) AS r, count(*) AS cnt, min({{'p': page, 'y': y0, 'b': block_seq}}) AS first FROM s2 GROUP BY doc_id, round_even(avg_font_size, 1)),
 body AS (SELECT doc_id, r AS most_common_font FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first) AS k FROM rc) WHERE k = 1),
 gs AS (
 SELECT g.*, d.total_items, d.doc_bold_ratio, d.doc_center_ratio, d.doc_avg_spacing, d.font_p50, d.font_p75, d.font_p85, d.font_p95,
@@ -388,7 +388,7 @@ FROM kept k JOIN gsec g ON g.doc_id = k.doc_id AND g.section = {sec('k')}
 LEFT JOIN rtl r ON r.request_id = k.request_id
 WHERE NOT k.is_fallback),
 top3 AS (
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, doc_id, importance_rank ORDER BY overlap DESC, page, first_y0, first_seq) AS q FROM mem) WHERE q <= 3),
+SELECT * FROM (SELECT *, max(overlap) OVER (PARTITION BY request_id, doc_id, importance_rank) AS q FROM mem) WHERE overlap > 0 OR q = 0),
 rtext AS (
 SELECT request_id, doc_id, importance_rank,
   trim(regexp_replace(string_agg(text, ' ' ORDER BY page, first_y0, first_seq), '[\\s\\p{{Z}}]+', ' ', 'g')) AS refined_text

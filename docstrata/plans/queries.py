@@ -94,9 +94,9 @@ def q_f3(spark, sf):
 
 
 @register("src4_links", O.chain(O.FX_LINKS) + """
-SELECT doc_id, page, link_seq, uri, substr(link_text, 1, 200) AS link_text FROM fx_links""")
+SELECT doc_id, page, link_seq, uri, link_text FROM fx_links""")
 def q_src4(spark, sf):
-    return fixtures.fx_links(spark, sf).withColumn("link_text", F.substring("link_text", 1, 200))
+    return fixtures.fx_links(spark, sf)
 
 
 @register("src8_request_docs", O.chain(O.FX_REQUESTS) + """

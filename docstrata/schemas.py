@@ -88,4 +88,4 @@ SUBSECTION = T.StructType([
 ])
 
 # Model answer parsed by F5 (one element of the JSON array).
-MODEL_SECTIONS = "array<struct<section_title:string,importance_rank:int,page_number:int>>"
+MODEL_SECTION = "section_title string, importance_rank int, page_number int"

@@ -1,17 +1,18 @@
 """Spark session and lineage helpers.
 
 Every job in the package is a DataFrame plan; this module only builds a
-session for tests / the bench and offers one way to cut lineage: a
-reliable ``checkpoint()`` into the shared folder named by
-``spark.checkpoint.dir`` (never a machine-local folder on a cluster).
+session for tests / the bench and finds the shared folder named by
+``spark.checkpoint.dir``, where stages are written (never a machine-local
+folder on a cluster).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -46,8 +47,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a fresh scratch folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Only on a local master
+    (tests) a fresh scratch folder is taken when it is unset; elsewhere that
+    folder would be each machine's own, so it is an error.
     """
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None)
     try:
@@ -55,9 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - no SparkContext (Connect): the conf is all there is
         if conf_dir:
             return conf_dir
-        local = tempfile.mkdtemp(prefix="docstrata-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, local)
-        return local
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share") from None
     if conf_dir:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
@@ -65,13 +65,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="docstrata-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, local)
     sc.setCheckpointDir(local)
     return local
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -111,15 +111,16 @@ def html_tag_size(tag: Column) -> Column:
 
 
 def fx_toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: page-1 text lines, some of them dot-leader TOC entries."""
-    lines = fx_lines(spark, sf_dir).filter(F.col("n").between(4, 120))
+    """V3: all text lines on their pages, some of them dot-leader TOC
+    entries; every second one of these without its letters e."""
+    lines = fx_lines(spark, sf_dir)
     n = F.col("n")
     body = F.when(_mod(n, 14), F.replace("line", F.lit("e"), F.lit(""))).otherwise(F.col("line"))
-    entry = F.concat(F.substr(body, F.lit(1), n - 1), F.lit(" ..... "),
+    entry = F.concat(body, F.lit(" ..... "),
                      F.col("page").cast("string"))
     line = F.when((F.col("block_seq") == 0) | _mod(n, 7), entry).otherwise(F.col("line"))
     return lines.select(
-        "doc_id", F.lit(1).alias("page"), F.col("block_seq").alias("line_no"), line.alias("line")
+        "doc_id", "page", F.col("block_seq").alias("line_no"), line.alias("line")
     )
 
 
@@ -131,18 +132,24 @@ def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_request_docs(spark: SparkSession, sf_dir: str, n_classes: int = 40) -> DataFrame:
-    """V4: the documents named by each request, in request order."""
+def fx_request_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: the documents named by each request, in request order. Item k of
+    n names the documents with doc_id % n = k, so that each is named once
+    and the table grows with the documents; every seventh name has no
+    document."""
     from pyspark.sql import Window
 
-    b = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("request_id"), (F.col("item_id") % n_classes).alias("k"))
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.col("doc_id") % n_classes).alias("k"))
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    b = items.select(F.col("item_id").alias("request_id"),
+                     (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(n)).select(
+        "doc_id", (F.col("doc_id") % F.col("n")).alias("k"))
     w = Window.partitionBy("request_id").orderBy("doc_id")
+    i = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("missing "), i)).otherwise(i)
     return b.join(d, "k").select(
-        "request_id", "doc_id",
-        F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
+        "request_id", "doc_id", F.concat(name, F.lit(".pdf")).alias("filename"),
         F.row_number().over(w).alias("doc_pos"),
     )
 

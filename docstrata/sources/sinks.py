@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def write_blocks(blocks: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """SNK1: block records, partitioned by a hash bucket of doc_id so that
-    one document's blocks land in one folder; ``fmt='json'`` writes one
+def write_blocks(blocks: DataFrame, path: str, fmt: str = "parquet", buckets: int = 64) -> None:
+    """SNK1: block records in ``buckets`` folders by a hash of doc_id, so that
+    one document's blocks land in one folder. Rows are rebalanced: a large
+    folder is written by as many tasks as its size needs; ``fmt='json'`` writes one
     JSON array per document (the reference's file-per-document form)."""
     if fmt == "json":
         per_doc = blocks.groupBy("doc_id").agg(
@@ -20,8 +21,8 @@ def write_blocks(blocks: DataFrame, path: str, fmt: str = "parquet") -> None:
         per_doc.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "value").alias("value")).write.mode(
             "overwrite").text(path)
         return
-    (blocks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-     .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
+    (blocks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+     .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
 def write_outlines(outlines: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -61,7 +62,8 @@ def block_files(spark: SparkSession, folder: str, block_schema: str) -> DataFram
     )
     parsed = raw.select(
         F.regexp_extract(F.url_decode(F.col("path")), r"([^/]+)\.json$", 1).alias("doc_key"),
-        F.from_json("value", f"array<struct<{block_schema}>>").alias("blocks"),
+        # a file that holds one object is no block file
+        F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", f"array<struct<{block_schema}>>")).alias("blocks"),
     )
     return parsed
 
@@ -77,7 +79,7 @@ def explode_block_files(parsed: DataFrame) -> DataFrame:
 
 def request_file(spark: SparkSession, path: str) -> DataFrame:
     """SRC7 / SRC8: one request object (D5); unreadable -> corrupt record."""
-    schema = schemas.REQUEST.add("_corrupt_record", "string")
+    schema = T.StructType([*schemas.REQUEST.fields, T.StructField("_corrupt_record", T.StringType())])
     return (
         spark.read.schema(schema)
         .option("multiLine", True)
