@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,57 +219,59 @@ class Model:
         return out
 
 
-def fit(counts: list[tuple[str, str, int]], order: int = ORDER) -> Model:
-    """The model from (lang, gram, n) rows of all orders."""
-    langs = sorted({r[0] for r in counts})
-    place = {lang: i for i, lang in enumerate(langs)}
-    by: list[dict[str, np.ndarray]] = [{} for _ in range(order + 1)]
-    for lang, g, n in counts:
-        by[len(g)].setdefault(g, np.zeros(len(langs)))[place[lang]] += n
-    size = len({g for g in by[1]}) + 1  # characters, and one for those never seen
-    prob: dict[str, np.ndarray] = {}
-    weight: dict[str, np.ndarray] = {}
-    floor = np.full(len(langs), 1.0 / size)
+def _row_keys(codes: np.ndarray) -> np.ndarray:
+    """Hashes of grams of one length (a row each), as gram_keys has them."""
+    h = np.zeros(len(codes), U64)
+    s = mix(codes.astype(U64) + U64(7))
+    for j in range(codes.shape[1] - 1, -1, -1):
+        h = h * _B + s[:, j]
+    return mix(h + U64(codes.shape[1]))
+
+
+def fit(counts: pa.Table, order: int = ORDER) -> Model:
+    """The model from rows (lang, gram, n) of all orders."""
+    langs = sorted(set(counts.column("lang").to_pylist()))
+    width = len(langs)
+    sizes = pc.utf8_length(counts.column("gram"))
+    grams, probs = [np.zeros(0, U64)], [np.zeros((0, width))]
+    contexts, weights = [np.zeros(0, U64)], [np.zeros((0, width))]
+    floor, below = np.ones(width), None
     for k in range(1, order + 1):
-        grams = by[k]
-        if not grams:
-            continue
-        table = np.array(list(grams.values()))
-        ones, twos = (table == 1).sum(0), (table == 2).sum(0)
+        own = counts.filter(pc.equal(sizes, k))
+        if not own.num_rows:
+            break
+        codes = np.frombuffer("".join(own.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.int64)
+        keys, first, which = np.unique(_row_keys(codes), return_index=True, return_inverse=True)
+        codes = codes[first]
+        n = np.zeros((len(keys), width))
+        lang = np.searchsorted(langs, own.column("lang").to_pylist())
+        np.add.at(n, (which, lang), np.asarray(own.column("n"), np.float64))
+        ones, twos = (n == 1).sum(0), (n == 2).sum(0)
         d = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
-        total: dict[str, np.ndarray] = {}
-        types: dict[str, np.ndarray] = {}
-        for g, n in grams.items():
-            h = g[:-1]
-            total[h] = total.get(h, 0) + n
-            types[h] = types.get(h, 0) + (n > 0)
-        for h, t in total.items():
-            # a language that never saw the context leaves all to the shorter one
-            weight[h] = np.where(t > 0, d * types[h] / np.maximum(t, 1), 1.0)
-        for g, n in grams.items():
-            h = g[:-1]
-            lower = prob_of(g[1:], prob, weight, floor) if k > 1 else np.full(len(langs), 1.0 / size)
-            prob[g] = np.where(total[h] > 0, np.maximum(n - d, 0) / np.maximum(total[h], 1), 0.0) + weight[h] * lower
-    floor = floor * weight.get("", np.ones(len(langs)))
-
-    def arrays(table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array([gram_key(g) for g in table if g], U64) if table else np.zeros(0, U64)
-        rows = np.log(np.array([v for g, v in table.items() if g]).reshape(-1, len(langs))).astype(np.float32)
-        order_ = np.argsort(keys)
-        return keys[order_], rows[order_]
-
-    grams, logp = arrays(prob)
-    contexts, backoff = arrays(weight)
-    return Model(langs, order, grams, logp, contexts, backoff, np.log(floor))
-
-
-def prob_of(gram: str, prob: dict, weight: dict, floor: np.ndarray) -> np.ndarray:
-    """Probability of a gram's last character after the others, by back-off."""
-    if gram in prob:
-        return prob[gram]
-    if len(gram) == 1:
-        return floor * weight.get("", 1.0)
-    return weight.get(gram[:-1], 1.0) * prob_of(gram[1:], prob, weight, floor)
+        context, group = np.unique(_row_keys(codes[:, :-1]), return_inverse=True) if k > 1 else (np.zeros(1, U64), np.zeros(len(keys), np.int64))
+        total, types = np.zeros((len(context), width)), np.zeros((len(context), width))
+        np.add.at(total, group, n)
+        np.add.at(types, group, (n > 0).astype(float))
+        # a language that never saw the context leaves all to the shorter one
+        weight = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
+        if k == 1:
+            floor = weight[0] / (len(keys) + 1)  # one character more, for those never seen
+            lower = np.full((len(keys), width), 1.0 / (len(keys) + 1))
+        else:
+            symbols, place = codes[:, 1:].ravel(), np.tile(np.arange(1, k), len(codes))
+            lower = np.exp(below.log_probs(symbols, place)[k - 2:: k - 1])
+            contexts.append(context)
+            weights.append(weight)
+        probs.append(np.where(total[group] > 0, np.maximum(n - d, 0) / np.maximum(total[group], 1), 0.0) + weight[group] * lower)
+        grams.append(keys)
+
+        def arrays(names: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            flat = np.concatenate(names)
+            by = np.argsort(flat)
+            return flat[by], np.log(np.concatenate(rows)[by]).astype(np.float32)
+
+        below = Model(langs, k, *arrays(grams, probs), *arrays(contexts, weights), np.log(floor))
+    return below or Model(langs, order, grams[0], probs[0], contexts[0], weights[0], np.zeros(width))
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -289,8 +292,7 @@ def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Mo
         if have > max_grams:
             least = r["n"] + 1
             break
-    rows = counts.where(F.col("n") >= least).collect() if least > 1 else counts.collect()
-    return fit([(r["lang"], r["gram"], r["n"]) for r in rows], order)
+    return fit(counts.where(F.col("n") >= least).toArrow(), order)
 
 
 # --------------------------------------------------------------------------
