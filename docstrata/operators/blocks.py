@@ -135,12 +135,17 @@ def blocks_from_spans(spans: DataFrame, toc_lines: DataFrame | None = None,
 
     ``toc_lines`` (doc_id, page, line_no, line) adds in_TOC_flag (J3);
     ``language_profiles`` (from ``language.fit_profiles``) adds language
-    (F2); ``cluster_columns`` fills column_group by the per-page 1-D
-    2-means (F15) instead of the constant 0 the reference writes."""
+    (F2); ``cluster_columns`` fills column_group by the 1-D 2-means of the
+    document's blocks (F15) instead of the constant 0 the reference writes."""
     from . import toc as toc_ops
 
     raw = raw_blocks(spans)
-    payload = RAW_PAYLOAD + ["by0"]
+    if cluster_columns:
+        from .columns import column_groups
+        raw = column_groups(raw)
+    else:
+        raw = raw.withColumn("column_group", F.lit(0))
+    payload = RAW_PAYLOAD + ["by0", "column_group"]
     merged = folds.merge_runs(raw, payload)
     stats = span_doc_stats(spans)
     feats = block_features(merged)
@@ -150,11 +155,6 @@ def blocks_from_spans(spans: DataFrame, toc_lines: DataFrame | None = None,
         (F.col("avg_font_size") - F.col("median_font_size")).alias("font_size_diff"),
         (F.col("font_name") != F.col("dominant_font")).alias("font_diff_from_body"),
     )
-    if cluster_columns:
-        from .columns import column_groups
-        out = column_groups(out)
-    else:
-        out = out.withColumn("column_group", F.lit(0))
     if language_profiles is not None:
         out = add_language(out.withColumn("text_for_lang", F.col("anchor_text")), language_profiles)
     else:

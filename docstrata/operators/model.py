@@ -67,11 +67,18 @@ def with_features(scored: DataFrame) -> DataFrame:
 
 
 def split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """ML4: repeatable hash split by group (not by document)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *GROUP_KEY), F.lit(10000)) / 10000.0
+    """ML4: repeatable hash split by group (not by document); the first 28
+    bits of an MD5 of the seed and the group's place."""
+    h = split_share(seed)
     return df.filter(h >= test_fraction), df.filter(h < test_fraction)
 
 
+def split_share(seed: int = SEED):
+    """A number in [0, 1) from the group key."""
+    place = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("doc_id", "page", "first_seq")])
+    return F.conv(F.substring(F.md5(place), 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
+
+
 class StructureModel:
     """Two fitted pipelines (title, heading) plus the label order."""
 
@@ -105,25 +112,30 @@ class StructureModel:
 def fit_structure_model(labelled: DataFrame, title_params: dict | None = None,
                         heading_params: dict | None = None, seed: int = SEED) -> tuple[StructureModel, DataFrame]:
     """ML7: fit both classifiers on the training part; returns the model
-    and the held-out part (for A11). Raises if the title label has one
-    class only (the boosting fit needs two)."""
+    and the held-out part (for A11). Label index and class weights come from
+    all rows, so that a class met in the held-out part only has its index;
+    features are computed once, into a written table. Raises if the title
+    label has one class only (the boosting fit needs two)."""
+    from ..plans.pipeline import write_stage
+
     tp = {**TITLE_PARAMS, **(title_params or {})}
     hp = {**HEADING_PARAMS, **(heading_params or {})}
-    data = with_features(labelled)
+    weights = class_weights(labelled, "heading_label").select("heading_label", F.col("weight").alias("w"))
+    assembler = VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features")
+    data = write_stage(with_features(labelled).join(weights, "heading_label"))
     train, test = split(data)
     n_title_classes = train.select("title_label").distinct().count()
     if n_title_classes < 2:
         raise ValueError("title labels have a single class; the title classifier needs two")
-    weights = class_weights(train, "heading_label").select("heading_label", F.col("weight").alias("w"))
-    train_w = train.join(F.broadcast(weights), "heading_label")  # one row per class
-    assembler = VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features")
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-    indexer = StringIndexer(inputCol="heading_label", outputCol="label_idx", stringOrderType="alphabetAsc")
+    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True).fit(
+        assembler.transform(train))
+    indexer = StringIndexer(inputCol="heading_label", outputCol="label_idx", stringOrderType="alphabetAsc",
+                            handleInvalid="keep").fit(data)
     gbt = GBTClassifier(featuresCol="features", labelCol="title_label", seed=seed, **tp)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", weightCol="w",
                                 featureSubsetStrategy="sqrt", seed=seed, **hp)
-    title = Pipeline(stages=[assembler, scaler, gbt]).fit(train_w)
-    heading = Pipeline(stages=[assembler, scaler, indexer, rf]).fit(train_w)
+    title = Pipeline(stages=[assembler, scaler, gbt]).fit(train)
+    heading = Pipeline(stages=[assembler, scaler, indexer, rf]).fit(train)
     labels = list(heading.stages[2].labels)
     return StructureModel(title, heading, labels), test
 

@@ -266,7 +266,10 @@ def parse_model_sections(response: Column) -> Column:
     arr = F.regexp_extract(response, r"(?s)\[.*?\]", 0)
     elements = F.when(arr != "", F.from_json(arr, "array<string>"))
     objects = F.filter(elements, lambda x: F.coalesce(x.startswith("{"), F.lit(False)))
-    return F.transform(objects, lambda x: F.from_json(x, schemas.MODEL_SECTION))
+    rows = F.transform(objects, lambda x: F.from_json(x, schemas.MODEL_SECTION))
+    return F.transform(rows, lambda r: F.struct(
+        r["section_title"].alias("section_title"), r["importance_rank"].try_cast("int").alias("importance_rank"),
+        r["page_number"].try_cast("int").alias("page_number")))
 
 
 def hook_sections(prompt_rows: DataFrame, model_fn) -> DataFrame:

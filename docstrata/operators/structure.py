@@ -272,9 +272,12 @@ def outlines(docs: DataFrame, titles: DataFrame, headings: DataFrame) -> DataFra
     )
 
 
-def outline_coverage(outlines_df: DataFrame) -> DataFrame:
+def outline_coverage(outlines_df: DataFrame, sample: int | None = None) -> DataFrame:
     """A10 / ML11: share of documents with a title / with a non-empty
-    outline (NULL on no documents)."""
+    outline (NULL on no documents). ``sample`` takes that many documents,
+    the first by key (SRC11; the source's sample has 50); all by default."""
+    if sample is not None:
+        outlines_df = outlines_df.orderBy("doc_id").limit(sample)
     return outlines_df.agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.avg((F.col("title") != "").cast("double")).alias("title_rate"),

@@ -7,8 +7,8 @@ sees at most ``buckets * k`` rows per group. A group holding a third of
 all rows is therefore spread over ``buckets`` tasks instead of one.
 
 ``rank_within``: dense position of every row of a group by an order, as
-(number of rows with a strictly better first key) + row_number inside the
-rows sharing that key; the first part is a window over distinct keys only.
+(number of rows with a better key and first tie value) + row_number inside
+the rows sharing them; the first part is a window over distinct pairs only.
 """
 
 from __future__ import annotations
@@ -32,11 +32,17 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, unique:
 
 def rank_within(df: DataFrame, group: list[str], key: str, descending: bool, tie: list[str],
                 rank_col: str = "rank") -> DataFrame:
-    """Full 1..n ranking of each group by ``key`` (then ``tie``)."""
-    dist = df.groupBy(*group, key).agg(F.count(F.lit(1)).alias("_n"))
+    """Full 1..n ranking of each group by ``key`` (then ``tie``).
+
+    Rows before = rows of better (key, first tie column) pairs, a running
+    sum over the distinct pairs, plus the row number inside the pair. With
+    the page as first tie column a group is one row per page and key in the
+    running sum, and the numbering splits by page, however few keys there are."""
+    pair = [key, tie[0]]
+    dist = df.groupBy(*group, *pair).agg(F.count(F.lit(1)).alias("_n"))
     kc = F.col(key).desc() if descending else F.col(key).asc()
-    w = Window.partitionBy(*group).orderBy(kc).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*group).orderBy(kc, tie[0]).rowsBetween(Window.unboundedPreceding, -1)
     before = dist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    wt = Window.partitionBy(*group, key).orderBy(*tie)
-    return df.withColumn("_t", F.row_number().over(wt)).join(before, [*group, key]).withColumn(
+    wt = Window.partitionBy(*group, *pair).orderBy(*tie[1:] or tie)
+    return df.withColumn("_t", F.row_number().over(wt)).join(before, [*group, *pair]).withColumn(
         rank_col, (F.col("_before") + F.col("_t")).cast("int")).drop("_before", "_t")

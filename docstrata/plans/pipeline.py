@@ -26,7 +26,7 @@ class Corpus:
     def __init__(self, spans: DataFrame, toc_lines: DataFrame | None = None,
                  language_profiles: DataFrame | None = None,
                  requests: DataFrame | None = None, request_docs: DataFrame | None = None,
-                 cluster_columns: bool = False, materialize: bool = True):
+                 cluster_columns: bool = False, materialize: bool = True, model=None, section_model=None):
         self.spans = spans
         self.toc_lines = toc_lines
         self.language_profiles = language_profiles
@@ -34,6 +34,10 @@ class Corpus:
         self.request_docs = request_docs
         self.cluster_columns = cluster_columns
         self.materialize = materialize
+        #: StructureModel that finds the headings in place of the rules.
+        self.model = model
+        #: Batch function prompts -> responses that finds the sections in place of the scores (UD1).
+        self.section_model = section_model
 
     def _cut(self, df: DataFrame) -> DataFrame:
         """Stage boundary: the stage output is written once as a Parquet
@@ -73,38 +77,43 @@ class Corpus:
 
     # ---- stage 2 -------------------------------------------------------
     @cached_property
-    def structure(self) -> dict[str, DataFrame]:
-        st = S.structure(self.blocks)
-        st["scored"] = self._cut(st["scored"])
-        st["titles"] = S.best_titles(st["scored"])
-        return st
+    def _structure(self) -> dict[str, DataFrame]:
+        return S.structure(self.blocks)
 
     @property
     def groups(self) -> DataFrame:
-        return self.structure["groups"]
+        return self._structure["groups"]
 
     @property
+    def stats(self) -> DataFrame:
+        return self._structure["stats"]
+
+    @cached_property
     def scored(self) -> DataFrame:
-        return self.structure["scored"]
+        return self._cut(self._structure["scored"])
 
-    @property
-    def stats(self) -> DataFrame:
-        return self.structure["stats"]
+    @cached_property
+    def best_titles(self) -> DataFrame:
+        """The best candidate of each document that has one above the cut."""
+        return S.best_titles(self.scored)
 
     @cached_property
     def titles(self) -> DataFrame:
         """ML10 title of every document ('' when none)."""
-        t = self.structure["titles"]
-        return self.docs.join(t, "doc_id", "left").select(
+        return self.docs.join(self.best_titles, "doc_id", "left").select(
             "doc_id", F.coalesce("title", F.lit("")).alias("title"), "title_score", "title_confidence")
 
     @cached_property
     def classified(self) -> DataFrame:
-        return S.classify_groups(self.scored, self.titles)
+        return self._cut(S.classify_groups(self.scored, self.titles))
 
     @cached_property
     def headings(self) -> DataFrame:
-        """ML9 outline rows (flat)."""
+        """ML9 outline rows (flat); with a model, ML8's."""
+        if self.model is not None:
+            from ..operators import model as M
+
+            return self._cut(M.predict_headings(self.model, self.scored, self.titles))
         return self.classified.filter("is_heading").select(
             "doc_id", "page", "first_y0", "first_seq", "text", "level",
             F.lit(S.RULE_CONFIDENCE).alias("confidence"))
@@ -117,15 +126,24 @@ class Corpus:
     # ---- stage 3 -------------------------------------------------------
     @cached_property
     def candidates(self) -> DataFrame:
+        if self.section_model is not None:
+            p = R.prompts(self.requests, self.request_docs, self.docs, self.headings)
+            return R.hook_sections(p, self.section_model).drop("from_model")
         return R.candidate_sections(self.requests, self.request_docs, self.docs, self.headings)
 
     @cached_property
     def kept(self) -> DataFrame:
-        return R.top_sections(self.candidates)
+        return self._cut(R.top_sections(self.candidates))
 
     @cached_property
     def kept_with_text(self) -> DataFrame:
-        sectioned = R.assign_sections(self.classified)
+        classified = self.classified
+        if self.model is not None:  # a section starts at a heading of the model
+            at = ["doc_id", "page", "first_y0", "first_seq"]
+            heads = self.headings.select(*at, F.lit(True).alias("found"))
+            classified = classified.drop("is_heading").join(heads, at, "left").withColumn(
+                "is_heading", F.coalesce("found", F.lit(False))).drop("found")
+        sectioned = R.assign_sections(classified)
         return R.refined_texts(self.kept, self.requests, sectioned)
 
     def answers(self, timestamp: str = "1970-01-01T00:00:00") -> DataFrame:

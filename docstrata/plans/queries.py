@@ -225,18 +225,15 @@ for _key, _other, _dbl in [
 
 
 _F15 = S1.rstrip("\n") + """,
-cg AS (
-SELECT doc_id, page, block_seq, bx0,
-  row_number() OVER w AS k, count(*) OVER p AS n,
-  sum(bx0) OVER w AS s1, sum(bx0 * bx0) OVER w AS s2, sum(bx0) OVER p AS t1, sum(bx0 * bx0) OVER p AS t2,
-  lead(bx0) OVER w AS nx
-FROM mg WINDOW w AS (PARTITION BY doc_id, page ORDER BY bx0, block_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-  p AS (PARTITION BY doc_id, page)),
-cuts AS (
-SELECT doc_id, page, arg_min(bx0, {'e': round((s2 - s1 * s1 / k) + ((t2 - s2) - (t1 - s1) * (t1 - s1) / (n - k)), 6), 'k': k}) AS cut_x
-FROM cg WHERE k < n AND nx > bx0 GROUP BY doc_id, page)
-SELECT c.doc_id, c.block_seq, CASE WHEN u.cut_x IS NOT NULL AND c.bx0 > u.cut_x THEN 1 ELSE 0 END AS column_group
-FROM cg c LEFT JOIN cuts u USING (doc_id, page)"""
+hx AS (SELECT doc_id, bx0 AS x, bx0 - min(bx0) OVER (PARTITION BY doc_id) AS d FROM rbs),
+cx AS (
+SELECT a.doc_id, a.x, round(
+    sum(b.d * b.d) FILTER (WHERE b.x <= a.x) - sum(b.d) FILTER (WHERE b.x <= a.x) * sum(b.d) FILTER (WHERE b.x <= a.x) / count(*) FILTER (WHERE b.x <= a.x)
+    + sum(b.d * b.d) FILTER (WHERE b.x > a.x) - sum(b.d) FILTER (WHERE b.x > a.x) * sum(b.d) FILTER (WHERE b.x > a.x) / count(*) FILTER (WHERE b.x > a.x), 6) AS e
+FROM (SELECT DISTINCT doc_id, x FROM hx) a JOIN hx b USING (doc_id) GROUP BY a.doc_id, a.x HAVING count(*) FILTER (WHERE b.x > a.x) > 0),
+cut AS (SELECT doc_id, arg_min(x, {'e': e, 'x': x}) AS cut_x FROM cx GROUP BY doc_id)
+SELECT b.doc_id, b.block_seq, CASE WHEN b.bx0 > c.cut_x THEN 1 ELSE 0 END AS column_group
+FROM mg b LEFT JOIN cut c USING (doc_id)"""
 
 
 @register("f15_column_groups", _F15)
@@ -440,11 +437,9 @@ def q_p19(spark, sf):
 
 @register("a8_best_candidate", S2 + f"SELECT doc_id, best_text, {sr6('CAST(best_score AS DOUBLE)')} AS best_score FROM best")
 def q_a8(spark, sf):
-    t = _corpus(spark, sf, with_requests=False).structure["titles"]
     s = _corpus(spark, sf, with_requests=False).scored
     best = S.title_candidates(s).groupBy("doc_id").agg(
         F.min_by(F.struct("text", "score"), F.struct((-F.col("score")).alias("s"), "page", "first_y0", "first_seq")).alias("b"))
-    del t
     return best.select("doc_id", F.col("b.text").alias("best_text"), r6("b.score").alias("best_score"))
 
 
@@ -458,7 +453,7 @@ def q_w5(spark, sf):
 
 @register("f11_title_confidence", S2 + f"SELECT doc_id, {sr6('least(CAST(best_score AS DOUBLE) / 10.0, 1.0)')} AS title_confidence FROM best")
 def q_f11(spark, sf):
-    t = _corpus(spark, sf, with_requests=False).structure["titles"]
+    t = _corpus(spark, sf, with_requests=False).best_titles
     return t.select("doc_id", r6("title_confidence").alias("title_confidence"))
 
 
@@ -514,8 +509,7 @@ def q_a10(spark, sf):
 
 @register("src11_sample_coverage", _cover_sql("ORDER BY t.doc_id LIMIT 50"))
 def q_src11(spark, sf):
-    o = _corpus(spark, sf, with_requests=False).outlines.orderBy("doc_id").limit(50)
-    cov = S.outline_coverage(o)
+    cov = S.outline_coverage(_corpus(spark, sf, with_requests=False).outlines, sample=50)
     return cov.select("n_docs", r6("title_rate").alias("title_rate"), r6("heading_rate").alias("heading_rate"))
 
 
@@ -738,3 +732,75 @@ def q_j3_exact(spark, sf):
     entries = TOC.toc_entries(fixtures.fx_toc_lines(spark, sf))
     m = TOC.toc_matches(blk, entries)
     return m.filter(F.col("best_ratio") >= 1.0).select("doc_id", "page", "block_seq")
+
+
+# ------------------------------------------------- model answers, requests, split
+
+_RESPONSE = """CASE doc_id % 5 WHEN 0 THEN 'Sure: [{"section_title": "S' || doc_id || '", "importance_rank": 1, "page_number": 2}, {"section_title": "T", "importance_rank": 2, "page_number": 3}] done'
+  WHEN 1 THEN '["plain", {"section_title": "U", "importance_rank": "3", "page_number": 1}, 7]'
+  WHEN 2 THEN 'no array for ' || source WHEN 3 THEN '[]' ELSE '[{"section_title": ' END"""
+_RESPONSES = f"""resp AS (
+SELECT doc_id % 40 AS request_id, doc_id, CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN ' Cities.pdf' ELSE ' tips.pdf' END AS filename, CAST(doc_id AS INT) AS doc_pos, {_RESPONSE} AS response
+FROM documents),
+els AS (
+SELECT doc_id, json_extract(e, '$[*]') AS a FROM (
+  SELECT doc_id, CASE WHEN json_valid(regexp_extract(response, '(?s)\\[.*?\\]')) THEN CAST(regexp_extract(response, '(?s)\\[.*?\\]') AS JSON) END AS e FROM resp) WHERE e IS NOT NULL),
+objs AS (SELECT doc_id, list_filter(a, lambda x: json_type(x) = 'OBJECT') AS o FROM els),
+ms AS (
+SELECT doc_id, i AS pos, o[i] ->> 'section_title' AS section_title, TRY_CAST(o[i] ->> 'importance_rank' AS INT) AS importance_rank, TRY_CAST(o[i] ->> 'page_number' AS INT) AS page_number
+FROM (SELECT doc_id, o, unnest(range(1, len(o) + 1)) AS i FROM objs))"""
+
+
+def _responses(spark, sf):
+    from ..sources.tables import table
+
+    return table(spark, sf, "documents").selectExpr(
+        "doc_id % 40 AS request_id", "doc_id",
+        "concat(cast(doc_id AS string), CASE WHEN doc_id % 3 = 0 THEN ' Cities.pdf' ELSE ' tips.pdf' END) AS filename",
+        "cast(doc_id AS int) AS doc_pos", _RESPONSE + " AS response")
+
+
+@register("f5_model_sections", "WITH " + _RESPONSES + """
+SELECT doc_id, pos, section_title, importance_rank, page_number FROM ms""")
+def q_f5(spark, sf):
+    """Objects of the JSON array in each response; a rank given as text counts."""
+    r = _responses(spark, sf).select("doc_id", F.posexplode(R.parse_model_sections(F.col("response"))).alias("i", "s"))
+    return r.select("doc_id", (F.col("i") + 1).cast("long").alias("pos"), "s.section_title", "s.importance_rank", "s.page_number")
+
+
+@register("p21_section_check", "WITH " + _RESPONSES + """
+SELECT r.doc_id, o.doc_id IS NOT NULL AS is_list, CAST(coalesce(len(o.o), 0) AS BIGINT) AS n_objects FROM resp r LEFT JOIN objs o USING (doc_id)""")
+def q_p21(spark, sf):
+    s = R.parse_model_sections(F.col("response"))
+    return _responses(spark, sf).select("doc_id", s.isNotNull().alias("is_list"),
+                                        F.coalesce(F.when(s.isNotNull(), F.size(s)), F.lit(0)).cast("long").alias("n_objects"))
+
+
+@register("ud1_hook_answers", "WITH " + _RESPONSES + """,
+c AS (
+SELECT r.request_id, r.filename, r.doc_pos, m.pos, m.section_title, m.importance_rank, m.page_number FROM resp r JOIN ms m USING (doc_id)
+UNION ALL
+SELECT r.request_id, r.filename, r.doc_pos, 1, CASE WHEN contains(lower(r.filename), 'cities') THEN 'Major Cities Guide' ELSE 'Travel Tips' END,
+  CASE WHEN contains(lower(r.filename), 'cities') THEN 1 ELSE 4 END, 1 FROM resp r WHERE r.doc_id NOT IN (SELECT doc_id FROM objs)),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY importance_rank NULLS LAST, doc_pos, pos) AS INT) AS r FROM c)
+SELECT k.request_id, k.r AS importance_rank, k.section_title, k.page_number, k.filename AS document,
+  'This section from ' || k.filename || ' is relevant to the task: ' || q.task AS refined_text
+FROM k JOIN (SELECT item_id AS request_id, text AS task FROM benchmark) q USING (request_id) WHERE r <= 5""")
+def q_ud1(spark, sf):
+    """Responses of a model through ranking and texts to answers."""
+    reqs = fixtures.fx_requests(spark, sf)
+    kept = R.top_sections(R.parsed_sections(_responses(spark, sf)).drop("from_model"))
+    empty = spark.createDataFrame([], "doc_id long, section struct<page:int,first_y0:double,first_seq:int>, "
+                                      "first_y0 double, first_seq int, page int, text string")
+    t = R.refined_texts(kept, reqs, empty).join(reqs.select("request_id"), "request_id")
+    return t.select("request_id", F.col("importance_rank").cast("int").alias("importance_rank"), "section_title",
+                    F.col("page_number").cast("int").alias("page_number"), F.col("filename").alias("document"), "refined_text")
+
+
+@register("ml4_split", S2 + """SELECT doc_id, page, first_seq,
+  CAST('0x' || substr(md5('42:' || doc_id || ':' || page || ':' || first_seq), 1, 7) AS BIGINT) / 268435456.0 < 0.2 AS held_out FROM sc""")
+def q_ml4(spark, sf):
+    from ..operators import model as M
+
+    s = _corpus(spark, sf, with_requests=False).scored
+    return s.select(*_GKEY, (M.split_share() < M.TEST_FRACTION).alias("held_out"))

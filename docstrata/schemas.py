@@ -88,4 +88,5 @@ SUBSECTION = T.StructType([
 ])
 
 # Model answer parsed by F5 (one element of the JSON array).
-MODEL_SECTION = "section_title string, importance_rank int, page_number int"
+# Numbers are read as text first: models quote them.
+MODEL_SECTION = "section_title string, importance_rank string, page_number string"

@@ -20,12 +20,14 @@ def test_parse_model_sections(spark):
         ('x [{"a":[1,2]}] y',),
         ("no array",),
         ("[]",),
+        ('["a", {"section_title": "B", "importance_rank": "2", "page_number": 1}, 3]',),
     ], "r string")
     got = [r[0] for r in df.select(R.parse_model_sections(F.col("r"))).collect()]
     assert got[0][0]["section_title"] == "A"
-    assert got[1] is None or got[1] == [] or all(x["section_title"] is None for x in got[1])
+    assert got[1] is None  # cut at the first ']': no valid JSON
     assert got[2] is None
     assert got[3] == []
+    assert [tuple(x) for x in got[4]] == [("B", 2, 1)]  # the object alone, its rank as a number
 
 
 def test_rank_ties_follow_request_order(spark):
@@ -51,6 +53,11 @@ def test_hook_path_and_answers(spark):
     p = R.prompts(c.requests, c.request_docs, c.docs, c.headings)
     secs = R.hook_sections(p, fake_model)
     assert secs.count() == p.count()
+    assert 0 < secs.filter("from_model").count() < secs.count()
+    hooked = Corpus.from_fixtures(spark, SF_SMALL)
+    hooked.section_model = fake_model
+    titles = {s["section_title"] for r in hooked.answers().collect() for s in r["extracted_sections"]}
+    assert "S" in titles and titles <= {"S", "General Information"}
     a = c.answers("2026-01-01T00:00:00")
     rows = a.collect()
     assert len(rows) == c.requests.count()
