@@ -693,28 +693,35 @@ def q_snk6(spark, sf):
                                                   F.col("section_title"), F.col("filename")).alias("line"))
 
 
+_fits: dict[tuple[str, str], tuple] = {}
+
+
+def _fitted(spark, sf):
+    """One fit per session and table for the queries that need a model."""
+    from ..operators import model as M
+
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _fits:
+        c = _corpus(spark, sf, with_requests=False)
+        _fits[at] = (*M.fit_structure_model(M.weak_labels(c.scored)), c)
+    return _fits[at]
+
+
 @register("ml7_train_accuracy")
 def q_ml7(spark, sf):
-    """ML2-ML7 + A11 (rows only). Tree counts here are smaller than the
-    reference defaults (200) to keep the check short; the API defaults
-    keep the reference values."""
+    """ML2-ML7 + A11 (rows only), with the default parameters."""
     from ..operators import model as M
 
-    lab = M.weak_labels(_corpus(spark, sf, with_requests=False).scored)
-    model, test = M.fit_structure_model(lab, title_params=dict(maxIter=10, maxDepth=4),
-                                        heading_params=dict(numTrees=10, maxDepth=6))
+    model, test, _ = _fitted(spark, sf)
     return M.accuracy(model, test)
 
 
 @register("ml8_model_headings")
 def q_ml8(spark, sf):
-    from ..operators import model as M
-
-    c = _corpus(spark, sf, with_requests=False)
-    lab = M.weak_labels(c.scored)
-    model, _ = M.fit_structure_model(lab, title_params=dict(maxIter=10, maxDepth=4),
-                                     heading_params=dict(numTrees=10, maxDepth=6))
-    return M.predict_headings(model, c.scored, c.titles).select("doc_id", "page", "first_seq", "text", "level")
+    """The model's headings, through the outline stage."""
+    model, _, c = _fitted(spark, sf)
+    c.model = model
+    return c.headings.select("doc_id", "page", "first_seq", "text", "level")
 
 
 _J3_EXACT = S1.rstrip("\n") + ",\n" + O.FX_TOC_LINES + f""",
