@@ -140,8 +140,23 @@ def _tiers(value: Column, tiers: list[tuple[float, float]], default: float = 0.0
     return expr.otherwise(default)
 
 
+# Points of the title penalties.
+PENALTY_POINTS = {"only_digits": -6.0, "page_word": -5.0, "too_long": -5.0, "many_dots": -3.0}
+
+
+def penalties(text: Column) -> dict[str, Column]:
+    """the conditions that take points from a title candidate."""
+    return {
+        "only_digits": strip(text).rlike(ONLY_DIGITS),
+        "page_word": F.lower(text).contains("page") & (word_count(text) <= 3),
+        "too_long": F.length(text) > 200,
+        "many_dots": count_char(text, ".") > 3,
+    }
+
+
 def title_score(g: Column | None = None) -> Column:
-    """F9 on a group row joined with its document statistics."""
+    """F9 on a group row joined with its document statistics. All bounds
+    and points below are fixed values."""
     text = F.col("text")
     wc = word_count(text)
     body = F.col("most_common_font")
@@ -159,12 +174,7 @@ def title_score(g: Column | None = None) -> Column:
     caps = F.col("avg_caps_ratio")
     caps_pts = F.when(caps > 0.7, 2.0).when(caps > 0.3, 1.5).otherwise(0.0)
     spacing_pts = F.when(F.col("avg_spacing") > F.col("doc_avg_spacing") * 2, 2.0).otherwise(0.0)
-    penalty = (
-        F.when(strip(text).rlike(ONLY_DIGITS), -6.0).otherwise(0.0)
-        + F.when(F.lower(text).contains("page") & (wc <= 3), -5.0).otherwise(0.0)
-        + F.when(F.length(text) > 200, -5.0).otherwise(0.0)
-        + F.when(count_char(text, ".") > 3, -3.0).otherwise(0.0)
-    )
+    penalty = sum((F.when(hit, PENALTY_POINTS[k]).otherwise(0.0) for k, hit in penalties(text).items()), F.lit(0.0))
     return (size_pts + ratio_pts + page_pts + y_pts + bold_pts + center_pts + wc_pts + caps_pts
             + spacing_pts + penalty)
 

@@ -131,12 +131,12 @@ def q_a1(spark, sf):
 SELECT doc_id, count(*) AS n_raw, count(*) FILTER (WHERE """ + O.strip("text_raw") + """ <> '') AS n_kept
 FROM raw GROUP BY doc_id""")
 def q_p1(spark, sf):
+    from ..operators import blocks as B
+
     s = fixtures.fx_spans(spark, sf)
-    raw = s.groupBy("doc_id", "page", "block_seq").agg(
-        F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_seq", "span_seq", "text"))),
-                                          lambda x: x["text"]), " "), F.lit(" ")).alias("t"))
-    return raw.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_raw"),
-                                     F.count_if(strip(F.col("t")) != "").alias("n_kept"))
+    raw = s.groupBy("doc_id").agg(F.count_distinct("page", "block_seq").alias("n_raw"))
+    kept = B.assemble_blocks(s).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return raw.join(kept, "doc_id", "left").select("doc_id", "n_raw", F.coalesce("n", F.lit(0)).alias("n_kept"))
 
 
 @register("a2_median_size", S1 + f"SELECT doc_id, {sr6('median_font_size')} AS median_font_size FROM sstats")
@@ -417,10 +417,7 @@ def q_f13(spark, sf):
   length(text) - length(replace(text, '.', '')) > 3 AS many_dots FROM gs""")
 def q_f14(spark, sf):
     s = _corpus(spark, sf, with_requests=False).scored
-    t = F.col("text")
-    return s.select(*_GKEY, strip(t).rlike(S.ONLY_DIGITS).alias("only_digits"),
-                    (F.lower(t).contains("page") & (word_count(t) <= 3)).alias("page_word"),
-                    (F.length(t) > 200).alias("too_long"), (count_char(t, ".") > 3).alias("many_dots"))
+    return s.select(*_GKEY, *[c.alias(k) for k, c in S.penalties(F.col("text")).items()])
 
 
 @register("f9_title_score", S2 + f"SELECT doc_id, page, first_seq, {sr6('CAST(score AS DOUBLE)')} AS score FROM sc")
@@ -437,10 +434,8 @@ def q_p19(spark, sf):
 
 @register("a8_best_candidate", S2 + f"SELECT doc_id, best_text, {sr6('CAST(best_score AS DOUBLE)')} AS best_score FROM best")
 def q_a8(spark, sf):
-    s = _corpus(spark, sf, with_requests=False).scored
-    best = S.title_candidates(s).groupBy("doc_id").agg(
-        F.min_by(F.struct("text", "score"), F.struct((-F.col("score")).alias("s"), "page", "first_y0", "first_seq")).alias("b"))
-    return best.select("doc_id", F.col("b.text").alias("best_text"), r6("b.score").alias("best_score"))
+    best = S.best_titles(_corpus(spark, sf, with_requests=False).scored, cutoff=float("-inf"))
+    return best.select("doc_id", F.col("title").alias("best_text"), r6("title_score").alias("best_score"))
 
 
 @register("w5_title_rank", S2 + """SELECT doc_id, page, first_seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page, first_y0, first_seq) AS INT) AS title_rank
@@ -555,12 +550,13 @@ def q_ml3(spark, sf):
     return M.label_index(lab)
 
 
-@register("u3_label_counts", _LABELS_SQL + "SELECT doc_id, count(*) AS n_features, count(is_title IS NOT NULL OR true) AS n_labels FROM lab GROUP BY doc_id")
+@register("u3_label_counts", _LABELS_SQL + f"""SELECT doc_id, count(*) AS n_features,
+  count(*) FILTER (WHERE {O.heading_level_sql('coalesce(is_title, false)')} <> 'body') AS n_labels FROM lab GROUP BY doc_id""")
 def q_u3(spark, sf):
     from ..operators import model as M
 
     lab = M.weak_labels(_corpus(spark, sf, with_requests=False).scored)
-    return lab.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"), F.count("heading_label").alias("n_labels"))
+    return lab.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("heading_label") != "body").alias("n_labels"))
 
 
 # ---------------------------------------------------------------- stage 3
