@@ -38,10 +38,10 @@ from docstrata.llm.common import (U64, binary_array, mix, prefix_sums, range_has
 #: Bits of a position inside a block of tokens.
 PLACE = 22
 #: Tokens whose windows are anchored at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 SHARD_BITS = 6
 #: Bytes of segments that are compared at a time (whole groups).
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)

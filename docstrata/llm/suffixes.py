@@ -31,7 +31,7 @@ from docstrata.llm.common import binary_array, keyed, prefix_sums, range_hash, s
 DEPTH = 100
 #: Digits after the anchor.
 PASSES = 4
-RULE = repeats.Rule(length=DEPTH, gram=50, bits=28, depth=1)
+RULE = repeats.Rule(length=DEPTH, gram=32, bits=27, depth=2)
 
 
 def _reader(rule: repeats.Rule):
