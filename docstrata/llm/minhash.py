@@ -11,12 +11,13 @@ buckets (a pair at 0.8 meets in none with probability 5e-8); links are
 confirmed on the full shingle sets of the texts.
 
 No pairs of a group are listed. Documents of equal sets are one class.
-Buckets of the same members count once. In a bucket a class is compared
-with leaders only, by sketch: one leader at ``HIGH`` or more settles it. The
-confirmed links give components; then, in buckets whose members lie in more
-than one component, every pair across components whose estimate is not
-below ``LOW`` (four standard errors under the threshold) is confirmed too.
-So every pair that meets is either inside a component or confirmed.
+Buckets of the same members count once. First a class is compared, by
+sketch, with the leaders of its buckets only, and its ``ASKED`` likeliest
+are confirmed. These links give components; then buckets whose members lie
+in more than one component are met again with the shingle sets: every pair
+across components whose estimate is not below ``LOW`` (four standard errors
+under the threshold) is judged inside the task, and the few that link are
+confirmed. So every pair that meets is inside a component or judged.
 
 Scale. Classes and copies are partial aggregations; a bucket of more than
 ``BLOCK`` classes is dealt out: in the first step over blocks that share its
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ COORDS = 128
 BAND = 4
 HIGH = 0.9
 LOW = 0.66
+#: Leaders that a class is compared with in the first step.
+ASKED = 4
 BLOCK = 4096
 
 
@@ -128,26 +132,39 @@ def _sketch_rows(words: int, coords: int, band: int):
 # Candidates
 
 
-def _pairs(rule, percent: int):
+@dataclass
+class Bucket:
+    """Rows of one bucket (or of a cell of it): classes with sizes, blocks, bands, components, sketches, sets."""
+
+    sig: list
+    n: np.ndarray
+    part: np.ndarray
+    band: int
+    comp: list
+    sketch: np.ndarray
+    sets: list
+
+
+def _pairs(rule, percent: int, band: int, sized_by: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "cell"], "sketch"):
+        for table in whole_groups(batches, ["key", "cell"], sized_by):
             change = np.ones(table.num_rows, bool)
             key, cell = np.asarray(table.column("key")), np.asarray(table.column("cell"))
             change[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
             cuts = np.append(np.flatnonzero(change), table.num_rows).tolist()
-            sig = table.column("sig").to_pylist()
-            n = np.asarray(table.column("n"))
-            part = np.asarray(table.column("part"))
-            comp = table.column("comp").to_pylist()
+            sig, comp = table.column("sig").to_pylist(), table.column("comp").to_pylist()
+            n, part, no = (np.asarray(table.column(c)) for c in ("n", "part", "band"))
             sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-            a, b = [], []
+            sets = table.column("shingles").to_pylist()
+            a, b, est = [], [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                for i, j in rule(sig[lo:hi], n[lo:hi], part[lo:hi], comp[lo:hi], sk[lo:hi], percent):
-                    x, y = sig[lo + i], sig[lo + j]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
+                bucket = Bucket(sig[lo:hi], n[lo:hi], part[lo:hi], int(no[lo]), comp[lo:hi], sk[lo:hi], sets[lo:hi])
+                for i, j, e in rule(bucket, percent, band):
+                    a.append(sig[lo + i])
+                    b.append(sig[lo + j])
+                    est.append(e)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(est, pa.float64())], names=["a", "b", "est"])
 
     return run
 
@@ -159,9 +176,11 @@ def _alike(sk: np.ndarray, n: np.ndarray, i: int, rows: np.ndarray, percent: int
     return est
 
 
-def by_leaders(sig, n, part, comp, sk, percent) -> Iterator[tuple[int, int]]:
-    """A class against the leaders of its bucket: one at HIGH settles it, else all that may link are asked."""
-    parent = list(range(len(sig)))
+def by_leaders(b: Bucket, percent: int, band: int) -> Iterator[tuple[int, int, float]]:
+    """(leader, class): a class against the leaders of its bucket; one at HIGH
+    settles it, else the two likeliest of different groups of leaders are
+    asked. The second step sees to what these leave open."""
+    parent = list(range(len(b.sig)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -169,21 +188,24 @@ def by_leaders(sig, n, part, comp, sk, percent) -> Iterator[tuple[int, int]]:
             x = parent[x]
         return x
 
-    leaders = np.zeros(len(sig), np.int64)
+    leaders = np.zeros(len(b.sig), np.int64)
     count = 0
-    for i in range(len(sig)):
+    for i in range(len(b.sig)):
         best = 0.0
         if count:
-            est = _alike(sk, n, i, leaders[:count], percent)
+            est = _alike(b.sketch, b.n, i, leaders[:count], percent)
+            asked = 0
             for q in np.argsort(-est, kind="stable").tolist():
-                if est[q] < LOW:
+                if est[q] < LOW or asked == 2:
                     break
                 best = best or est[q]
                 j = int(leaders[q])
-                if find(i) != find(j):
-                    yield j, i
+                root = find(j)
+                if find(i) != root:
+                    yield j, i, float(est[q])
+                    asked += 1
                     if est[q] >= percent / 100 + 0.05:  # almost surely a link: what it joins need not be asked
-                        parent[find(i)] = find(j)
+                        parent[find(i)] = root
                 if best >= HIGH:
                     break
         if best < HIGH:
@@ -191,21 +213,32 @@ def by_leaders(sig, n, part, comp, sk, percent) -> Iterator[tuple[int, int]]:
             count += 1
 
 
-def across(sig, n, part, comp, sk, percent) -> Iterator[tuple[int, int]]:
-    """Every pair of different components that may link (of different blocks in a cell of two blocks)."""
-    names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+def across(b: Bucket, percent: int, band: int) -> Iterator[tuple[int, int, float]]:
+    """Pairs of different components that link by their shingle sets (of different
+    blocks in a cell of two blocks); a pair is judged in the first band it shares."""
+    names = {c: k for k, c in enumerate(dict.fromkeys(b.comp))}
     if len(names) < 2:
         return
-    label = np.array([names[c] for c in comp])
+    label = np.array([names[c] for c in b.comp])
     # rows outside the largest component against all others: no work inside a component
     main = np.bincount(label).argmax()
-    two = part.min() != part.max()
+    two = b.part.min() != b.part.max()
+    bands = b.sketch.reshape(len(label), -1, band)
+    sets = [np.frombuffer(x, np.uint32) for x in b.sets]
+    size = np.array([len(x) for x in sets])
     for i in np.flatnonzero(label != main).tolist():
         rows = np.flatnonzero((label != label[i]) & ((label == main) | (np.arange(len(label)) > i)))
         if two:
-            rows = rows[part[rows] != part[i]]
-        for j in rows[_alike(sk, n, i, rows, percent) >= LOW].tolist() if len(rows) else ():
-            yield i, j
+            rows = rows[b.part[rows] != b.part[i]]
+        rows = rows[_alike(b.sketch, b.n, i, rows, percent) >= LOW] if len(rows) else rows
+        rows = rows[~(bands[rows, : b.band] == bands[i, : b.band]).all(2).any(1)] if len(rows) and b.band else rows
+        if not len(rows):
+            continue
+        flat = np.concatenate([sets[j] for j in rows.tolist()])
+        at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+        both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(size[rows]) - size[rows])
+        for j in rows[100 * both >= percent * (size[i] + size[rows] - both)].tolist():
+            yield i, j, 1.0
 
 
 def _shingles(text: str, words: int) -> set:
@@ -213,6 +246,21 @@ def _shingles(text: str, words: int) -> set:
     return {tuple(w)} if 0 < len(w) < words else set(zip(*(w[k:] for k in range(words)))) if w else set()
 
 
+def _set_rows(words: int):
+    """(sig, shingles): the sets as sorted 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_pieces(batch):
+                s, offs = shingle_sets(*string_bytes(b.column("text")), words)
+                short = (s >> U64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("sig"), pa.array([np.unique(short[x:y]).tobytes() for x, y in zip(offs[:-1], offs[1:])], pa.binary())],
+                    names=["sig", "shingles"])
+
+    return run
+
+
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, set()
@@ -250,12 +298,12 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # buckets of two classes or more; those of the same members once
     bucket = Window.partitionBy("key")
-    crowd = classes.select(F.explode("bands").alias("key"), "sig")
+    crowd = classes.select(F.posexplode("bands").alias("band", "key"), "sig")
     crowd = written(crowd.withColumn("members", F.count(F.lit(1)).over(bucket)).where("members > 1")
                     .withColumn("lead", F.min("sig").over(bucket))
                     .withColumn("mark", F.sum(F.xxhash64("sig").cast("decimal(20,0)")).over(bucket).cast("string")), "minhash-buckets")
-    kept_keys = crowd.where(F.col("sig") == F.col("lead")).groupBy("members", "lead", "mark").agg(F.min("key").alias("k"))
-    member = crowd.join(kept_keys.select("k"), F.col("key") == F.col("k"), "left_semi").select("key", "sig", "members", "lead")
+    kept_keys = crowd.where(F.col("sig") == F.col("lead")).groupBy("members", "lead", "mark").agg(F.min_by("key", "band").alias("k"))
+    member = crowd.join(kept_keys.select("k"), F.col("key") == F.col("k"), "left_semi").select("key", "band", "sig", "members", "lead")
     known = classes.select(F.col("sig").alias("s"), "n", "sketch", "dk", "rid")
     member = written(member.join(known, F.col("sig") == F.col("s")).drop("s"), "minhash-members")
     wanted = member.select("sig", F.col("dk").alias("d"), F.col("rid").alias("r")).distinct()
@@ -266,15 +314,23 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     part = F.pmod(F.xxhash64("sig"), blocks).cast("int")
     member = member.drop("dk", "rid").withColumn("blocks", blocks).withColumn("part", part)
 
-    def run(dealt: DataFrame, rule) -> DataFrame:
-        cols = dealt.select("key", "cell", "sig", "n", "part", "comp", "sketch")
-        return cols.repartition("key", "cell").sortWithinPartitions("key", "cell", "sig").mapInArrow(
-            _pairs(rule, percent), "a binary, b binary").distinct()
+    def run(dealt: DataFrame, rule, sized_by: str) -> DataFrame:
+        cols = dealt.select("key", "cell", "band", "sig", "n", "part", "comp", "sketch", "shingles")
+        pairs = cols.repartition("key", "cell").sortWithinPartitions("key", "cell", "sig").mapInArrow(
+            _pairs(rule, percent, band, sized_by), "a binary, b binary, est double")
+        return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
+
+    def undirected(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # the first member of a dealt-out bucket is in all its blocks
     cells = F.when(F.col("sig") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("part"))
-    first = run(member.withColumn("cell", F.explode(cells)).withColumn("comp", F.lit(None).cast("binary")), by_leaders)
-    links = confirmed(first, texts, words, percent)
+    empty = F.lit(None).cast("binary")
+    first = run(member.withColumn("cell", F.explode(cells)).withColumn("comp", empty).withColumn("shingles", empty), by_leaders, "sketch")
+    # the likeliest of a class's leaders over all its buckets; the second step needs no more to be exact
+    likely = Window.partitionBy("b").orderBy(F.desc("est"), "a")
+    first = first.withColumn("r", F.row_number().over(likely)).where(f"r <= {ASKED}")
+    links = confirmed(undirected(first), texts, words, percent)
 
     found = components(links.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     label = found.select(F.col("node").alias("s"), F.col("component").alias("c"))
@@ -283,10 +339,10 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     left = left.join(mixed, F.col("key") == F.col("k"), "left_semi")
     pairs_of_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
                                   lambda j: F.least("part", j) * F.col("blocks") + F.greatest("part", j))
-    rest = run(left.withColumn("cell", F.explode(pairs_of_blocks)), across)
-    asked = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    rest = rest.join(asked, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    more = confirmed(rest, texts, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sets = texts.select("sig", "text").mapInArrow(_set_rows(words), "sig binary, shingles binary").withColumnRenamed("sig", "s")
+    left = left.join(sets, F.col("sig") == F.col("s")).drop("s")
+    rest = run(left.withColumn("cell", F.explode(pairs_of_blocks)), across, "shingles")
+    more = confirmed(undirected(rest), texts, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # whole components are nodes now
     done = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
