@@ -326,43 +326,70 @@ def _scorer(spark: SparkSession, model: Model):
     return score
 
 
-def identified(docs: DataFrame, model: Model, max_z: float = MAX_Z, min_excess: float = MIN_EXCESS) -> DataFrame:
-    """docs, written once, with a struct ``_lang``: held_out, lang_pred, score, loss (per character), rejected."""
-    spark = docs.sparkSession
-    score = _scorer(spark, model)
-    names = F.array(*[F.lit(x) for x in model.langs]) if model.langs else F.lit(None).cast("array<string>")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), held_out().alias("held_out"),
-                       F.col("lang").alias("lang"), score(F.col("text").cast("string")).alias("s"))
-    rows = written(rows, "lang-scored")
-    best = F.array_min("s.loss")
-    known = (F.col("s.n") > 0) & (F.size(F.col("s.loss")) > 0)
-    rows = rows.withColumn("lang_pred", F.when(known, F.element_at(names, F.array_position("s.loss", best).cast("int"))).otherwise(UNKNOWN))
-    per = F.when(known, best / F.col("s.n"))
-    # posterior of the best at a bounded number of characters, so that long texts don't all round to 1
-    scale = F.least(F.col("s.n"), F.lit(60)) / F.col("s.n")
-    posterior = 1.0 / F.aggregate("s.loss", F.lit(0.0), lambda a, x: a + F.exp((best - x) * scale))
-    rows = rows.withColumn("loss", per).withColumn("score", F.when(known, F.least(posterior, F.lit(1.0))).otherwise(0.0))
-    learned = rows.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")) & known)
-    mean = learned.groupBy("lang").agg((F.sum(F.col("loss") * F.col("s.n")) / F.sum("s.n")).alias("mean"))
-    # one row a language, as many as the model has
-    spread = learned.join(F.broadcast(mean), "lang").groupBy("lang").agg(
-        F.first("mean").alias("mean"), F.avg((F.col("loss") - F.col("mean")) ** 2 * F.col("s.n")).alias("var"))
-    limits = {r["lang"]: (r["mean"], r["var"]) for r in spread.collect()}
-    odd = F.lit(False)
-    for lang, (mean_, var) in limits.items():
-        over = F.col("loss") - F.lit(mean_)
-        far = (over * F.sqrt(F.col("s.n") / F.lit(max(var, 1e-9))) > max_z) & (over > min_excess)
-        odd = F.when(F.col("lang_pred") == lang, far).otherwise(odd)
-    rejected = (F.col("lang_pred") == UNKNOWN) | odd
-    return rows.select("row", F.struct("held_out", "lang_pred", "score", "loss", rejected.alias("rejected")).alias("_lang"))
+@dataclass
+class Judge:
+    """Columns of the decision from a row's losses; limits: (mean, variance at a length) by language."""
+
+    langs: list[str]
+    limits: dict[str, tuple[float, float]]
+    max_z: float = MAX_Z
+    min_excess: float = MIN_EXCESS
+
+    def columns(self, s: F.Column) -> dict[str, F.Column]:
+        names = F.array(*[F.lit(x) for x in self.langs]) if self.langs else F.lit(None).cast("array<string>")
+        losses, n = s["loss"], s["n"]
+        best = F.array_min(losses)
+        known = (n > 0) & (F.size(losses) > 0)
+        pred = F.when(known, F.element_at(names, F.array_position(losses, best).cast("int"))).otherwise(UNKNOWN)
+        loss = F.when(known, best / n)
+        # posterior of the best at a bounded number of characters, so that long texts don't all round to 1
+        scale = F.least(n, F.lit(60)) / n
+        posterior = 1.0 / F.aggregate(losses, F.lit(0.0), lambda a, x: a + F.exp((best - x) * scale))
+        odd = F.lit(False)
+        for lang, (mean, var) in self.limits.items():
+            over = loss - F.lit(mean)
+            far = (over * F.sqrt(n / F.lit(max(var, 1e-9))) > self.max_z) & (over > self.min_excess)
+            odd = F.when(pred == lang, far).otherwise(odd)
+        return {"lang_pred": pred, "score": F.when(known, F.least(posterior, F.lit(1.0))).otherwise(0.0), "loss": loss,
+                "rejected": (pred == UNKNOWN) | odd}
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, held_out and the losses ``s`` of every row, written: no text."""
+    score = _scorer(docs.sparkSession, model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+                       held_out().alias("held_out"), score(F.col("text").cast("string")).alias("s"))
+    return written(rows, "lang-scored")
+
+
+def calibrated(rows: DataFrame, model: Model, max_z: float = MAX_Z, min_excess: float = MIN_EXCESS) -> Judge:
+    """The decision with its limits, from all learning rows that the models get right."""
+    first = Judge(model.langs, {}).columns(F.col("s"))
+    right = rows.where(~F.col("held_out") & (F.col("lang") == first["lang_pred"])).select("lang", first["loss"].alias("loss"), F.col("s.n").alias("n"))
+    mean = right.groupBy("lang").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("mean")).collect()
+    means = {r["lang"]: r["mean"] for r in mean}  # one row a language of the model
+    center = F.lit(None).cast("double")
+    for lang, m in means.items():
+        center = F.when(F.col("lang") == lang, F.lit(m)).otherwise(center)
+    var = right.groupBy("lang").agg(F.avg((F.col("loss") - center) ** 2 * F.col("n")).alias("var")).collect()
+    return Judge(model.langs, {r["lang"]: (means[r["lang"]], r["var"]) for r in var}, max_z, min_excess)
 
 
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, loss, rejected of every row."""
-    rows = identified(docs.select("doc_id", "text", "lang"), model or train(docs))
-    return rows.select("row.doc_id", "_lang.*")
+    model = model or train(docs)
+    rows = scored(docs, model)
+    judge = calibrated(rows, model)
+    return rows.select("doc_id", "held_out", *[c.alias(k) for k, c in judge.columns(F.col("s")).items()])
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs that are not rejected, with their columns."""
-    return identified(docs, model or train(docs)).where(~F.col("_lang.rejected")).select("row.*")
+    """The rows of docs that are not rejected, with their columns.
+
+    Texts are scored twice, for the limits and for the decision, so that no
+    copy of them is written and nothing is joined."""
+    model = model or train(docs)
+    judge = calibrated(scored(docs, model), model)
+    score = _scorer(docs.sparkSession, model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.col("text").cast("string")).alias("s"))
+    return rows.where(~judge.columns(F.col("s"))["rejected"]).select("row.*")
