@@ -5,9 +5,11 @@ end mark; a model gives the probability of a character after up to
 ``ORDER - 1`` characters of its word. Gram counts come from all learning
 rows (map-side counts of distinct words, then ``groupBy``); continuation
 counts, discounts and the languages' gram tables are aggregations of them.
-The fitted model is three sorted arrays of 64-bit gram hashes with one
-column of log probabilities or back-off weights per language; texts are
-scored by vectorised binary search, each distinct word of a block once.
+Probabilities are joins over them, one order after the other: a gram with the
+sums of its context and with the probability of its suffix. The fitted model
+is sorted arrays of 64-bit hashes of grams and contexts with one column of log
+probabilities or back-off weights per language; texts are scored by vectorised
+binary search, each distinct word of a block once.
 
 The language of lowest cross-entropy per character wins (ties: smallest
 name). Rejection is calibrated on all learning rows: per language the mean
@@ -15,9 +17,11 @@ cross-entropy and its variance at a length; a text whose cross-entropy lies
 more than ``MAX_Z`` standard errors, and ``MIN_EXCESS``, above the mean is
 rejected, and one without letters.
 
-Bounds. The model goes to all workers, so its size has a documented bound:
-``MAX_GRAMS`` gram types; beyond it the rarest are left out by a count
-threshold. Counts themselves cover all learning rows.
+Scale. Every gram type of the learning rows is in the model, whatever its
+count. Nothing of its size is held in memory: the driver writes the arrays
+from one block of hashes after the other, executors get them as Spark files
+and memory-map them, so that the workers of a machine share one copy.
+Driver rows: one per order and language.
 
 Edge rows: null text, or text without letters, is ``und`` with score 0; a
 null language is not learned from; rows with a null id count as held out;
@@ -28,19 +32,21 @@ characters are cut there.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import U64, mix, prefix_sums, range_hash, written
 
 ORDER = 5
-MAX_GRAMS = 600_000
 MAX_Z = 8.0
 #: Nats per character that a rejected text lies above its language's mean at least.
 MIN_EXCESS = 0.75
@@ -48,6 +54,7 @@ BLOCK = 1 << 19
 #: Marks of a word's start and end; no letter is one of them.
 START, END = "^", "$"
 _B = U64(0x9E3779B97F4A7C15)
+_TOP = U64(1 << 63)
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -61,11 +68,11 @@ def is_letter() -> np.ndarray:
     return _letters
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+def _slices(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
     """(row, lower-cased text) in blocks of about BLOCK characters; long texts are cut between words."""
     rows, parts, size = [], [], 0
     for i, text in enumerate(texts):
-        text = (text or "").lower()
+        text = (text.as_py() or "").lower()
         at = 0
         while at < len(text):
             end = min(len(text), at + BLOCK)
@@ -133,10 +140,9 @@ def _count_grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = np.asarray(b.column("lang").to_pylist(), object)
-            texts = b.column("text").to_pylist()
             for lang in sorted(set(langs.tolist())):
                 grams: dict[str, int] = {}
-                for rows, parts in _slices([t for t, other in zip(texts, langs) if other == lang]):
+                for rows, parts in _slices(b.column("text").filter(pa.array(langs == lang))):
                     cp, starts, ends, which, _ = distinct_words(rows, parts)
                     n = np.bincount(which, minlength=len(starts))
                     symbols, word, place = events(cp, starts, ends)
@@ -182,15 +188,22 @@ def all_orders(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted gram hashes with log probabilities, context hashes with log back-off weights, by language."""
+    """Sorted gram hashes with log probabilities, context hashes with log back-off weights, by language.
+
+    The arrays are memory-mapped Spark files; a task gets their names."""
 
     langs: list[str]
     order: int
-    grams: np.ndarray
-    logp: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
     floor: np.ndarray
+    token: str
+
+    def __post_init__(self):
+        width = len(self.langs)
+        self.grams, self.logp = _mapped(f"{self.token}-grams", width)
+        self.contexts, self.backoff = _mapped(f"{self.token}-contexts", width)
+
+    def __reduce__(self):
+        return Model, (self.langs, self.order, self.floor, self.token)
 
     @staticmethod
     def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,50 +241,128 @@ def _row_keys(codes: np.ndarray) -> np.ndarray:
     return mix(h + U64(codes.shape[1]))
 
 
-def fit(counts: pa.Table, order: int = ORDER) -> Model:
-    """The model from rows (lang, gram, n) of all orders."""
-    langs = sorted(set(counts.column("lang").to_pylist()))
+def _mapped(name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a pair of files that _sorted_files wrote (none without languages)."""
+    if not width:
+        return np.zeros(0, U64), np.zeros((0, 0), np.float32)
+    arrays = []
+    for part, kind in (("keys", U64), ("values", np.float32)):
+        path = SparkFiles.get(f"{name}.{part}")
+        arrays.append(np.asarray(np.memmap(path, kind, "r")) if os.path.getsize(path) else np.zeros(0, kind))
+    return arrays[0], arrays[1].reshape(-1, width)
+
+
+def _codes(grams: pa.Array, k: int) -> np.ndarray:
+    return np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.int64)
+
+
+def _ordered(keys: np.ndarray) -> pa.Array:
+    """Unsigned hashes as signed numbers of the same order (and back)."""
+    return pa.array((keys ^ _TOP).view(np.int64))
+
+
+def _matrix(b: pa.RecordBatch, col: str) -> np.ndarray:
+    return np.asarray(b.column(col).flatten(), np.float64).reshape(b.num_rows, -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def _weights(k: int, discount: np.ndarray):
+    """Contexts of grams of k characters: hash and back-off weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total, types = _matrix(b, "total"), _matrix(b, "types")
+            # a language that never saw the context leaves all to the shorter one
+            weight = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
+            keys = _row_keys(_codes(b.column("context"), k - 1)) if k > 1 else np.zeros(b.num_rows, U64)
+            yield pa.RecordBatch.from_arrays([b.column("context"), b.column("total"), _ordered(keys), _lists(weight)],
+                                             names=["context", "total", "key", "p"])
+
+    return run
+
+
+def _probabilities(k: int, discount: np.ndarray):
+    """Grams of k characters: hash and probabilities, from counts, context and suffix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, total, weight, lower = (_matrix(b, c) for c in ("n", "total", "weight", "lower"))
+            p = np.where(total > 0, np.maximum(n - discount, 0) / np.maximum(total, 1), 0.0) + weight * lower
+            yield pa.RecordBatch.from_arrays([b.column("gram"), _ordered(_row_keys(_codes(b.column("gram"), k))), _lists(p)],
+                                             names=["gram", "key", "p"])
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            keys = np.asarray(b.column("key"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[:1]), pa.array([b.num_rows], pa.int64()), pa.array([(keys.view(U64) ^ _TOP).tobytes()], pa.binary()),
+                 pa.array([np.log(_matrix(b, "p")).astype(np.float32).tobytes()], pa.binary())], names=["least", "n", "keys", "logs"])
+
+
+def _sorted_files(rows: DataFrame, width: int, folder: str, name: str) -> None:
+    """Rows (key, p) as files of keys and of logarithms in order of the keys, given to all executors."""
+    blocks = written(rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(
+        _packed, "least long, n long, keys binary, logs binary"), "lang-blocks")
+    place, at = {}, 0
+    for r in sorted(blocks.select("least", "n").collect()):  # one row for a batch of grams
+        place[r["least"]] = at
+        at += r["n"]
+    with open(f"{folder}/{name}.keys", "wb") as keys, open(f"{folder}/{name}.values", "wb") as values:
+        for r in blocks.select("least", "keys", "logs").toLocalIterator():  # a file at a time
+            keys.seek(8 * place[r["least"]])
+            keys.write(r["keys"])
+            values.seek(4 * width * place[r["least"]])
+            values.write(r["logs"])
+    for part in ("keys", "values"):
+        rows.sparkSession.sparkContext.addFile(f"{folder}/{name}.{part}")
+
+
+def fit(counts: DataFrame, order: int = ORDER) -> Model:
+    """The model from rows (lang, gram, n) of all orders, each pair of lang and gram once."""
+    size = F.length("gram")
+    kinds = counts.groupBy(size.alias("k"), "lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()
+    langs = sorted({r["lang"] for r in kinds})
     width = len(langs)
-    sizes = pc.utf8_length(counts.column("gram"))
-    grams, probs = [np.zeros(0, U64)], [np.zeros((0, width))]
-    contexts, weights = [np.zeros(0, U64)], [np.zeros((0, width))]
-    floor, below = np.ones(width), None
+    if not langs:
+        return Model(langs, order, np.zeros(0), "")
+    discount = np.full((order + 1, width), 0.1)
+    for r in kinds:
+        discount[r["k"], langs.index(r["lang"])] = np.clip(r["ones"] / max(r["ones"] + 2 * r["twos"], 1), 0.1, 0.95)
+
+    def by_lang(value: F.Column) -> F.Column:
+        return F.array(*[F.sum(F.when(F.col("lang") == x, value).otherwise(0)).cast("double") for x in langs])
+
+    wide = written(counts.groupBy("gram").agg(by_lang(F.col("n")).alias("n")), "lang-wide")
+    before = F.expr("substring(gram, 1, length(gram) - 1)")
+    sums = written(counts.groupBy(size.alias("k"), before.alias("context")).agg(
+        by_lang(F.col("n")).alias("total"), by_lang(F.lit(1)).alias("types")), "lang-contexts")
+    symbols = wide.where(size == 1).count()
+    level, grams, contexts = None, None, None
     for k in range(1, order + 1):
-        own = counts.filter(pc.equal(sizes, k))
-        if not own.num_rows:
-            break
-        codes = np.frombuffer("".join(own.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.int64)
-        keys, first, which = np.unique(_row_keys(codes), return_index=True, return_inverse=True)
-        codes = codes[first]
-        n = np.zeros((len(keys), width))
-        lang = np.searchsorted(langs, own.column("lang").to_pylist())
-        np.add.at(n, (which, lang), np.asarray(own.column("n"), np.float64))
-        ones, twos = (n == 1).sum(0), (n == 2).sum(0)
-        d = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
-        context, group = np.unique(_row_keys(codes[:, :-1]), return_inverse=True) if k > 1 else (np.zeros(1, U64), np.zeros(len(keys), np.int64))
-        total, types = np.zeros((len(context), width)), np.zeros((len(context), width))
-        np.add.at(total, group, n)
-        np.add.at(types, group, (n > 0).astype(float))
-        # a language that never saw the context leaves all to the shorter one
-        weight = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
-        if k == 1:
-            floor = weight[0] / (len(keys) + 1)  # one character more, for those never seen
-            lower = np.full((len(keys), width), 1.0 / (len(keys) + 1))
+        context = sums.where(F.col("k") == k).select("context", "total", "types").mapInArrow(
+            _weights(k, discount[k]), "context string, total array<double>, key long, p array<double>")
+        if k == 1:  # one context; the floor is one character more, for those never seen
+            floor = np.log(np.array(context.first()["p"]) / (symbols + 1))
         else:
-            symbols, place = codes[:, 1:].ravel(), np.tile(np.arange(1, k), len(codes))
-            lower = np.exp(below.log_probs(symbols, place)[k - 2:: k - 1])
-            contexts.append(context)
-            weights.append(weight)
-        probs.append(np.where(total[group] > 0, np.maximum(n - d, 0) / np.maximum(total[group], 1), 0.0) + weight[group] * lower)
-        grams.append(keys)
-
-        def arrays(names: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            flat = np.concatenate(names)
-            by = np.argsort(flat)
-            return flat[by], np.log(np.concatenate(rows)[by]).astype(np.float32)
-
-        below = Model(langs, k, *arrays(grams, probs), *arrays(contexts, weights), np.log(floor))
-    return below or Model(langs, order, grams[0], probs[0], contexts[0], weights[0], np.zeros(width))
+            contexts = context.select("key", "p") if contexts is None else contexts.unionByName(context.select("key", "p"))
+        rows = wide.where(size == k).join(context.select("context", "total", F.col("p").alias("weight")), F.substring("gram", 1, k - 1) == F.col("context"))
+        if k == 1:
+            rows = rows.withColumn("lower", F.array_repeat(F.lit(1.0 / (symbols + 1)), width))
+        else:  # the suffix of a gram is a gram
+            rows = rows.join(level.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), F.substring("gram", 2, k - 1) == F.col("suffix"))
+        level = written(rows.select("gram", "n", "total", "weight", "lower").mapInArrow(
+            _probabilities(k, discount[k]), "gram string, key long, p array<double>"), "lang-level")
+        grams = level.select("key", "p") if grams is None else grams.unionByName(level.select("key", "p"))
+    token = f"lang-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp(prefix="docstrata-lang-")  # the driver's copy; executors get theirs from Spark
+    _sorted_files(grams, width, folder, f"{token}-grams")
+    _sorted_files(contexts, width, folder, f"{token}-contexts")
+    return Model(langs, order, floor, token)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -282,32 +373,22 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """The model of the learning rows of docs (doc_id, text, lang)."""
-    counts = written(all_orders(written(gram_counts(learning_rows(docs), order), "lang-counts"), order), "lang-grams")
-    by_count = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("types")).orderBy(F.desc("n")).collect()
-    have, least = 0, 1
-    for r in by_count:  # the rarest go first when there are more than the bound
-        have += r["types"]
-        if have > max_grams:
-            least = r["n"] + 1
-            break
-    return fit(counts.where(F.col("n") >= least).toArrow(), order)
+    counts = written(gram_counts(learning_rows(docs), order), "lang-counts")
+    return fit(written(all_orders(counts, order), "lang-grams"), order)
 
 
 # --------------------------------------------------------------------------
 # Scoring
 
 
-def _scorer(spark: SparkSession, model: Model):
-    shared = spark.sparkContext.broadcast(model)
-
+def _scorer(m: Model):
     @F.arrow_udf("struct<loss:array<double>,n:long>")
     def score(texts: pa.Array) -> pa.Array:
-        m = shared.value
         k = len(m.langs)
         loss, n = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
-        for rows, parts in _slices(texts.to_pylist()):
+        for rows, parts in _slices(texts):
             cp, starts, ends, which, row = distinct_words(rows, parts)
             if not len(row):
                 continue
@@ -356,7 +437,7 @@ class Judge:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, held_out and the losses ``s`` of every row, written: no text."""
-    score = _scorer(docs.sparkSession, model)
+    score = _scorer(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        held_out().alias("held_out"), score(F.col("text").cast("string")).alias("s"))
     return written(rows, "lang-scored")
@@ -390,6 +471,6 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     copy of them is written and nothing is joined."""
     model = model or train(docs)
     judge = calibrated(scored(docs, model), model)
-    score = _scorer(docs.sparkSession, model)
+    score = _scorer(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.col("text").cast("string")).alias("s"))
     return rows.where(~judge.columns(F.col("s"))["rejected"]).select("row.*")
