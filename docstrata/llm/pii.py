@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +144,8 @@ _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _SPELLED = re.compile(rf"\b{_DIGIT}(?:[\x20\t\n,-]{{1,3}}{_DIGIT})*\b", re.I)
 _DIGIT_WORD = re.compile(_DIGIT, re.I)
 _VALUE = {w: str(i) for i, w in enumerate(DIGIT_WORDS)}
+#: Letters that re.I takes for i or s.
+_ALIKE = str.maketrans("\u0130\u0131\u017f", "iis")
 _PLUS = re.compile(rf"\bplus[\x20-]{{1,3}}(?={_DIGIT}\b|[0-9])", re.I)
 
 
@@ -151,7 +154,7 @@ def digit_edits(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _SPELLED.finditer(text):
         at = m.start()
         for d in _DIGIT_WORD.finditer(text, *m.span()):
-            yield at, d.end(), _VALUE[d.group().lower()]  # the gap before a digit goes with it
+            yield at, d.end(), _VALUE[d.group().translate(_ALIKE).lower()]  # the gap before a digit goes with it
             at = d.end()
     for m in _PLUS.finditer(text):
         yield m.start(), m.end(), "+"
@@ -174,63 +177,35 @@ def sign_edits(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 class Mapped:
-    """A text whose characters stand for source ranges; edits compose."""
+    """A text whose characters stand for source ranges; edits compose. Without an edit there are no arrays."""
 
     def __init__(self, text: str):
         self.text = text
-        self.starts: list[int] | None = None  # of the source range; ends, touched (by an edit) likewise
-        self.ends: list[int] = []
-        self.touched: list[bool] = []
+        self.starts: np.ndarray | None = None  # of the source range; ends, touched (by an edit) likewise
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
-        starts, ends, touched = self.arrays()
-        out, s, e, t, at = [], [], [], [], 0
-        for a, b, new in sorted(edits):
+        if self.starts is None:
+            n = len(self.text)
+            self.starts, self.ends, self.touched = np.arange(n), np.arange(1, n + 1), np.zeros(n, bool)
+        out, old, new, at = [], [], [], 0  # text; places in the text before: first and last of each character's range
+        for a, b, word in sorted(edits):
             if a < at:
                 continue
-            out.append(self.text[at:a])
-            s += starts[at:a]
-            e += ends[at:a]
-            t += touched[at:a]
-            out.append(new)
-            s += [starts[a]] * len(new)
-            e += [ends[b - 1]] * len(new)
-            t += [True] * len(new)
+            out += (self.text[at:a], word)
+            same = np.arange(at, a)
+            old += (same, np.full(len(word), a))
+            new += (same, np.full(len(word), b - 1))
             at = b
         out.append(self.text[at:])
+        first, last = (np.concatenate((*x, np.arange(at, len(self.text)))) for x in (old, new))
+        edited = np.concatenate([np.full(len(x), i % 2 == 1) for i, x in enumerate(out)])
         self.text = "".join(out)
-        self.starts, self.ends, self.touched = s + starts[at:], e + ends[at:], t + touched[at:]
-
-    def arrays(self) -> tuple[list, list, list]:
-        if self.starts is None:
-            n = len(self.text)
-            self.starts, self.ends, self.touched = list(range(n)), list(range(1, n + 1)), [False] * n
-        return self.starts, self.ends, self.touched
-
-
-_TO_GAPS = str.maketrans({c: " " for c in ",.;:!?-()[]{}<>\"'"})
-_DIGIT_SET = frozenset(DIGIT_WORDS)
-
-
-def _may_be_disguised(text: str) -> bool:
-    """Cheap tests: every disguise has a folding character, a wrapped sign, a
-    word ``dot``, or four digit words."""
-    if not text.isascii() and any(fold(c) is not None for c in set(text) if not c.isascii()):
-        return True
-    if ("[" in text or "(" in text or "{" in text or "<" in text) and _WRAPPED.search(text):
-        return True
-    low = text.lower()
-    words = (low.translate(_TO_GAPS) if low.isascii() else low.replace(",", " ").replace("-", " ").replace(".", " ")).split()
-    if _DIGIT_SET.isdisjoint(words):
-        return "dot" in words
-    return "dot" in words or sum(w in _DIGIT_SET for w in words) >= 4
+        self.starts, self.ends, self.touched = self.starts[first], self.ends[last], self.touched[first] | edited
 
 
 def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans of the normalised text, at their source offsets, that the plain grammar doesn't give."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    if not _may_be_disguised(text):
-        return out
     m = Mapped(text)
     for transducer in (homoglyph_edits, digit_edits, sign_edits):
         if edits := list(transducer(m.text)):
@@ -239,8 +214,8 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
         return out
     for kind, find in FINDERS.items():
         for a, b in find(m.text):
-            s, e = m.starts[a], m.ends[b - 1]
-            if any(m.touched[a:b]) or e - s != b - a:  # or a character without width went
+            s, e = int(m.starts[a]), int(m.ends[b - 1])
+            if m.touched[a:b].any() or e - s != b - a:  # or a character without width went
                 if not any(s < y and x < e for x, y in base[kind]):
                     out[kind].append((s, e))
     return out

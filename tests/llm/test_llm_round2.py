@@ -1,12 +1,14 @@
-"""Findings on the second round: whole models."""
+"""Findings on the second round."""
 
 import os
 import random
 import sys
 
+import pytest
+
 sys.path.insert(0, os.path.dirname(__file__))
 
-from docstrata.llm import langid  # noqa: E402
+from docstrata.llm import langid, pii  # noqa: E402
 
 
 def test_language_model_keeps_every_gram(spark):
@@ -29,3 +31,23 @@ def test_language_model_keeps_every_gram(spark):
     assert len(grams) > 600_000 and len(model.grams) == len(grams)
     got = {r.doc_id: r.lang_pred for r in langid.languages(docs, model).collect()}
     assert got == {i: lang for i, _, lang in rows}
+
+
+@pytest.mark.parametrize("text,kind,part", [
+    ("call plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"),
+    ("plus four four 20 7946 0958", "phone", "plus four four 20 7946 0958"),
+    ("+1 555 one two three 4567", "phone", "+1 555 one two three 4567"),
+    ("+one 555 123 4567", "phone", "+one 555 123 4567"),
+    ("192.168.zero.one", "ip", "192.168.zero.one"),
+    ("card 4111 1111 1111 111one", "card", None),  # no word of its own
+    ("card 4111 1111 1111 111-one", "card", "4111 1111 1111 111-one"),
+    ("café (one two three four five six seven eight nine zero one two eight)", "card", "one two three four five six seven eight nine zero one two eight"),
+    ("+fıve 555 123 4567", "phone", "+fıve 555 123 4567"),
+])
+@pytest.mark.parametrize("after", ["", " 日本語 é"])
+def test_spelled_and_plain_numbers(text, kind, part, after):
+    """One digit word, or a plus before digits, is a disguise, whatever else the text holds."""
+    text += after
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base)
+    assert [text[a:b] for a, b in added[kind]] == [part] * (part is not None) and not base[kind]
