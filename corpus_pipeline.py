@@ -5,7 +5,8 @@
 2. ``exact_dedup``: of equal texts (white space aside) one row stays.
 3. ``near_dedup``: of each group linked by 80% of five-word shingles one document stays.
 4. ``mix``: sources are mixed to target weights; a document comes as often as
-   the mix takes it, in training order; all but the last stage keep the columns.
+   the mix takes it, each time with its whole text, in training order; all but
+   the last stage keep the columns.
 5. ``pack``: token sequences of the mixed rows.
 
 A stage's result is written to the shared folder as Parquet and read again, so
@@ -36,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, whole=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-from docstrata.llm import langid, pii  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from docstrata.llm import langid, mixing, pii  # noqa: E402
 
 
 def test_language_model_keeps_every_gram(spark):
@@ -51,3 +52,19 @@ def test_spelled_and_plain_numbers(text, kind, part, after):
     base = pii.base_spans(text)
     added = pii.added_spans(text, base)
     assert [text[a:b] for a, b in added[kind]] == [part] * (part is not None) and not base[kind]
+
+
+def test_mix_stage_passes_whole_texts(spark):
+    """Texts keep every character; a source's words are within half a document of its target."""
+    rng = random.Random(4)
+    rows = [(i, "\n\t".join(f"{s}{i}  w{j}" for j in range(rng.randrange(1, 90))), s) for s in "abcdef" for i in range(40)]
+    rows += [(1000, "one\n  line " * 4000, "g"), (None, "no\n  number", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars")
+    texts = {(i, s): t for i, t, s in rows}
+    out = corpus_pipeline.mix(spark, docs, "").collect()
+    assert all(r.text == texts[r.doc_id, r.source] and r.n_chars == len(r.text) for r in out)
+    targets = mixing.source_targets(docs.select("source", mixing.word_count(docs["text"]).alias("size"))).collect()
+    for t in targets:
+        longest = max(len(x.split()) for _, x, s in rows if s == t.source)
+        words = sum(len(r.text.split()) for r in out if r.source == t.source)
+        assert abs(words - t.target) <= longest / 2 + 1
