@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.llm import exact, langid, minhash, mixing, packing, pii, substrings, suffixes, urls, vectors
+from docstrata.llm import audit, exact, fertility, langid, minhash, mixing, packing, pii, substrings, suffixes, urls, variants, vectors
 from docstrata.llm.common import documents
 
 
@@ -50,6 +50,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.without_repeats(documents(spark, sf_dir)))
 
 
+def op11_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_personal_data": op2_personal_data,
@@ -61,9 +73,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language": op9_language,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_token_fertility": op11_token_fertility,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
     "op3_mix_sources": mixing.MIX_SQL,
     "op5_exact_dedup": exact.EXACT_SQL,
     "op7_url_filter": urls.URLS_SQL,
+    "op12_filter_audit": audit.AUDIT_SQL,
 }
