@@ -19,6 +19,7 @@ from ..functions.readability import readability
 from ..functions.text import (caps_ratio, is_title_case, starts_with_bullet,
                               starts_with_numbering, strip, word_count)
 from . import folds
+from .scan import percentiles, running
 
 # Fixed values (reference rule set).
 HEADER_FRACTION = 0.1
@@ -31,17 +32,16 @@ SHORT_WORDS = 10
 def span_doc_stats(spans: DataFrame) -> DataFrame:
     """A2 + A3: median span size and dominant font of each document.
 
-    The median is Spark's exact interpolating percentile (a map of
-    distinct sizes -> counts, so it pre-aggregates per partition). The mode
-    breaks ties by first appearance in source order (page, block, line,
-    span)."""
-    med = spans.groupBy("doc_id").agg(F.median("size").alias("median_font_size"))
+    The median is exact (``scan.percentiles``: counts of distinct sizes, and a
+    selection by ranges where a document has very many). The mode breaks
+    ties by first appearance in source order (page, block, line, span)."""
+    med = percentiles(spans, ["doc_id"], "size", [0.5]).select("doc_id", F.col("pct")[0].alias("median_font_size"))
     first = F.min(F.struct("page", "block_seq", "line_seq", "span_seq")).alias("first")
     per_font = spans.groupBy("doc_id", "font").agg(F.count(F.lit(1)).alias("cnt"), first)
     dom = per_font.groupBy("doc_id").agg(
         F.min_by("font", F.struct((-F.col("cnt")).alias("c"), F.col("first"))).alias("dominant_font")
     )
-    return med.join(dom, "doc_id", "left")
+    return dom.join(med, "doc_id", "left")
 
 
 def assemble_blocks(spans: DataFrame) -> DataFrame:
@@ -180,13 +180,12 @@ def add_language(blocks: DataFrame, profiles: DataFrame) -> DataFrame:
 def number_blocks(blocks: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Dense position of each block in its document (0-based), without
     a window over a whole document: row_number inside the page plus the
-    running count of earlier pages (a window over one row per page)."""
+    running count of earlier pages (``scan.running``, in bounded chunks)."""
     order = order or ["y0", "block_seq"]
     w = Window.partitionBy("doc_id", "page").orderBy(*order)
     within = blocks.withColumn("pos_in_page", F.row_number().over(w) - 1)
     per_page = blocks.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_page"))
-    wp = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_page.withColumn("page_offset", F.coalesce(F.sum("n_page").over(wp), F.lit(0)))
+    offsets = running(per_page, ["doc_id"], "page", "n_page", "page_offset")
     return within.join(offsets.select("doc_id", "page", "page_offset"), ["doc_id", "page"]).withColumn(
         "block_no", (F.col("page_offset") + F.col("pos_in_page")).cast("int")
     ).drop("page_offset", "pos_in_page")

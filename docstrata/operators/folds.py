@@ -3,15 +3,21 @@
 Both folds run inside one page of one document. The pair tests that do
 not depend on the group built so far are taken with ``lag`` first and cut
 the page into runs; only the part that depends on the group state (the
-anchor size of W3; the size / length caps of W4) is folded, with the
-native ``aggregate`` higher-order function over the run's sorted array.
-Runs are short (bounded by a page), rows of a hot document spread over
-its pages, and no Python runs per row.
+anchor size of W3; the size / length caps of W4) is folded, with native
+higher-order functions over the run's sorted array. Rows of a hot document
+spread over its pages, and no Python runs per row.
+
+A run of up to ``SHORT_RUN`` rows is folded step by step. In a longer one
+each row first gets its next break, the row that would begin the next group
+if one began here; group starts are the orbit of the first row, and pointer
+doubling finds them: in round k every pointer is the 2^k-th next break, and
+the starts known so far give as many again. That is n log n for a run of n
+rows, without a state that grows by the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -25,6 +31,8 @@ GROUP_SIZE_TOLERANCE = 0.2
 GROUP_MAX_DY = 0.1
 GROUP_MAX_SPACING = 30.0
 GROUP_SHORT_CHARS = 100
+#: Rows of a run that is folded step by step.
+SHORT_RUN = 32
 CONTINUATION_PREFIXES = ["and ", "or ", "the ", "of ", "in ", "on ", "with "]
 
 
@@ -71,40 +79,61 @@ def merge_runs(blocks: DataFrame, payload: list[str],
     packed = runs.groupBy("doc_id", "page", "run_id").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")
     )
-    fold = F.expr(f"""
-        aggregate(rows,
-          named_struct('anchor', CAST(NULL AS DOUBLE), 'gid', -1, 'gids', CAST(array() AS ARRAY<INT>)),
-          (acc, x) -> CASE
-            WHEN acc.anchor IS NULL OR NOT (abs(x.avg_font_size - acc.anchor) < {font_size_threshold})
-              THEN named_struct('anchor', x.avg_font_size, 'gid', acc.gid + 1, 'gids', array_append(acc.gids, acc.gid + 1))
-            ELSE named_struct('anchor', acc.anchor, 'gid', acc.gid, 'gids', array_append(acc.gids, acc.gid))
-          END,
-          acc -> acc.gids)
-    """)
-    # The outer form: a plain explode makes the optimizer repeat the fold in a filter.
-    members = packed.select(
-        "doc_id", "page", "run_id", F.explode_outer(F.arrays_zip("rows", fold.alias("gids"))).alias("z"),
-    ).select("doc_id", "page", "run_id", F.col("z.gids").alias("gid"), F.col("z.rows").alias("row"))
-    # Grouped by a longer key than the rows are already dealt out by: no exchange.
-    key = F.struct("row.y0", "row.block_seq")
-    merged = members.groupBy("doc_id", "page", "run_id", "gid").agg(
-        F.min_by("row", key).alias("row"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row.y0", "row.block_seq", "row.text"))),
-                                 lambda m: m["text"]), " ").alias("text"),
-        F.min("row.spacing_above").alias("spacing"),
-        F.count(F.lit(1)).cast("int").alias("n"),
-    )
+    sizes = F.transform("rows", lambda x: x["avg_font_size"])
+    packed = packed.withColumn("sizes", sizes).withColumn("starts", F.expr(f"""
+        CASE WHEN size(rows) <= {SHORT_RUN} OR exists(sizes, x -> x IS NULL OR isnan(x)) THEN
+          aggregate(sizes, named_struct('anchor', CAST(NULL AS DOUBLE), 'i', 0, 'starts', CAST(array() AS ARRAY<INT>)),
+            (acc, x) -> CASE
+              WHEN acc.anchor IS NULL OR NOT (abs(x - acc.anchor) < {font_size_threshold})
+                THEN named_struct('anchor', x, 'i', acc.i + 1, 'starts', array_append(acc.starts, acc.i))
+              ELSE named_struct('anchor', acc.anchor, 'i', acc.i + 1, 'starts', acc.starts) END,
+            acc -> acc.starts)
+        ELSE {_orbit(_next_far("sizes", font_size_threshold))} END"""))
+    groups = packed.select("doc_id", "page", F.explode_outer(_slices()).alias("g"))
     keep = [c for c in fields if c not in ("text", "spacing_above")]
-    return merged.select(
+    first = F.col("g")[0]
+    return groups.select(
         "doc_id", "page",
-        *[F.col(f"row.{c}").alias(c) for c in keep],
-        F.col("row.text").alias("anchor_text"),
-        "text",
-        F.col("spacing").alias("spacing_above"),
-        F.col("n").alias("n_merged"),
+        *[first[c].alias(c) for c in keep],
+        first["text"].alias("anchor_text"),
+        F.array_join(F.transform("g", lambda x: x["text"]), " ").alias("text"),
+        F.array_min(F.transform("g", lambda x: x["spacing_above"])).alias("spacing_above"),
+        F.size("g").cast("int").alias("n_merged"),
     )
 
 
+def _slices() -> Column:
+    """The rows of a run cut at its starts, one array a group."""
+    return F.expr("""transform(sequence(0, size(starts) - 1), k -> slice(rows, starts[k] + 1,
+        (CASE WHEN k + 1 < size(starts) THEN starts[k + 1] ELSE size(rows) END) - starts[k]))""")
+
+
+def _next_far(values: str, threshold: float) -> str:
+    """SQL: for each element the first later one that differs by the threshold or more
+    (the size if none). Tables of the least and greatest of 2^k elements are built by
+    doubling; from the largest step down, a step is taken while all in it stay near."""
+    levels = f"""aggregate(sequence(1, CAST(ceil(log2(size({values}))) AS INT)), array(named_struct('lo', {values}, 'hi', {values})),
+      (t, k) -> concat(t, array(named_struct(
+        'lo', transform(element_at(t, -1).lo, (x, i) -> CASE WHEN i + shiftleft(1, k - 1) < size({values})
+            THEN least(x, element_at(t, -1).lo[i + shiftleft(1, k - 1)]) ELSE x END),
+        'hi', transform(element_at(t, -1).hi, (x, i) -> CASE WHEN i + shiftleft(1, k - 1) < size({values})
+            THEN greatest(x, element_at(t, -1).hi[i + shiftleft(1, k - 1)]) ELSE x END)))))"""
+    return f"""transform(array({levels}), t ->
+      transform({values}, (x, i) -> aggregate(sequence(size(t) - 1, 0, -1), i + 1, (at, k) -> CASE
+        WHEN at + shiftleft(1, k) <= size({values}) AND abs(t[k].hi[at] - x) < {threshold} AND abs(t[k].lo[at] - x) < {threshold}
+          THEN at + shiftleft(1, k) ELSE at END)))[0]"""
+
+
+def _orbit(jumps: str) -> str:
+    """SQL: the elements met from 0 by following ``jumps`` (larger numbers, the size
+    at the end), ascending, by pointer doubling."""
+    return f"""transform(array({jumps}), j -> array_sort(aggregate(
+      sequence(0, CAST(ceil(log2(size(j))) AS INT)), named_struct('jump', array_append(j, size(j)), 'met', array(0)),
+      (acc, k) -> named_struct('jump', transform(acc.jump, x -> acc.jump[x]),
+                               'met', array_union(acc.met, filter(transform(acc.met, x -> acc.jump[x]), x -> x < size(j)))),
+      acc -> acc.met)))[0]"""
+
+
 def pair_links(blocks: DataFrame) -> DataFrame:
     """W4 pair test between a block and the one before it on the page
     (everything except the group caps). Adds ``link`` (boolean)."""
@@ -152,19 +181,25 @@ def group_runs(blocks: DataFrame, max_items: int = GROUP_MAX_ITEMS,
     packed = runs.groupBy("doc_id", "page", "run_id").agg(
         F.sort_array(F.collect_list(F.struct("y0", "block_seq", *[c for c in cols if c not in ("y0", "block_seq")]))).alias("rows")
     )
-    fold = F.expr(f"""
-        aggregate(rows,
-          named_struct('n', 0, 'tot', 0, 'gid', -1, 'gids', CAST(array() AS ARRAY<INT>)),
-          (acc, x) -> CASE
-            WHEN acc.gid < 0 OR acc.n >= {max_items} OR acc.tot + length(x.text) > {max_chars}
-              THEN named_struct('n', 1, 'tot', length(x.text), 'gid', acc.gid + 1, 'gids', array_append(acc.gids, acc.gid + 1))
-            ELSE named_struct('n', acc.n + 1, 'tot', acc.tot + length(x.text), 'gid', acc.gid, 'gids', array_append(acc.gids, acc.gid))
-          END,
-          acc -> acc.gids)
-    """)
+    # the group that would begin at a row takes the rows after it while the caps allow
+    jumps = f"""transform(lens, (n, i) -> i + aggregate(sequence(1, {max_items}), named_struct('w', 1, 'tot', n, 'open', true),
+      (acc, k) -> CASE WHEN acc.open AND k < {max_items} AND i + k < size(lens) AND acc.tot + lens[i + k] <= {max_chars}
+        THEN named_struct('w', acc.w + 1, 'tot', acc.tot + lens[i + k], 'open', true)
+        ELSE named_struct('w', acc.w, 'tot', acc.tot, 'open', false) END,
+      acc -> acc.w))"""
+    packed = packed.withColumn("lens", F.expr("transform(rows, x -> length(x.text))")).withColumn("starts", F.expr(f"""
+        CASE WHEN size(rows) <= {SHORT_RUN} OR exists(lens, x -> x IS NULL) THEN
+          aggregate(lens, named_struct('n', 0, 'tot', 0, 'i', 0, 'starts', CAST(array() AS ARRAY<INT>)),
+            (acc, x) -> CASE WHEN acc.i = 0 OR acc.n >= {max_items} OR acc.tot + x > {max_chars}
+              THEN named_struct('n', 1, 'tot', x, 'i', acc.i + 1, 'starts', array_append(acc.starts, acc.i))
+              ELSE named_struct('n', acc.n + 1, 'tot', acc.tot + x, 'i', acc.i + 1, 'starts', acc.starts) END,
+            acc -> acc.starts)
+        ELSE {_orbit(jumps)} END"""))
+    gids = F.expr("""flatten(transform(sequence(0, size(starts) - 1), k -> array_repeat(k,
+        (CASE WHEN k + 1 < size(starts) THEN starts[k + 1] ELSE size(rows) END) - starts[k])))""")
     out = packed.select(
         "doc_id", "page", "run_id",
-        F.posexplode_outer(F.arrays_zip("rows", fold.alias("gids"))).alias("pos", "z"),
+        F.posexplode_outer(F.arrays_zip("rows", gids.alias("gids"))).alias("pos", "z"),
     )
     return out.select(
         "doc_id", "page", "run_id",

@@ -26,6 +26,8 @@ from .features import FEATURE_COLS, FEATURES, numeric_features
 # Fixed values (reference defaults).
 TEST_FRACTION = 0.2
 SEED = 42
+#: Training rows of a heading class that the classifiers are fitted on.
+SAMPLE_ROWS = 50_000
 HEADING_MIN_PROB = 0.2
 TITLE_PARAMS = dict(maxIter=200, maxDepth=8, stepSize=0.1, subsamplingRate=0.8)
 HEADING_PARAMS = dict(numTrees=200, maxDepth=15, minInstancesPerNode=2)
@@ -79,6 +81,20 @@ def split_share(seed: int = SEED):
     return F.conv(F.substring(F.md5(place), 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
 
 
+def stratified_sample(rows: DataFrame, stratum: str, size: int, seed: int = SEED) -> DataFrame:
+    """The rows of least hash of each class, ``size`` of them or all if it has fewer.
+
+    Bottom-k samples merge: of the parts of a class each gives its own least
+    ``size`` rows, and of those the least stay, so that the sample is the
+    same on any partitioning (``topk.top_k``)."""
+    from .topk import top_k
+
+    place = F.concat_ws(":", F.lit(f"fit {seed}"), *[F.col(c).cast("string") for c in ("doc_id", "page", "first_seq")])
+    marked = rows.withColumn("_h", F.md5(place))
+    order = [F.col("_h"), F.col("doc_id"), F.col("page"), F.col("first_seq")]
+    return top_k(marked, [stratum], order, size, GROUP_KEY, rank_col="_rank").drop("_h", "_rank")
+
+
 class StructureModel:
     """Two fitted pipelines (title, heading) plus the label order."""
 
@@ -89,6 +105,11 @@ class StructureModel:
         self.labels = labels
         self.heading_threshold = heading_threshold
 
+    @property
+    def name(self) -> str:
+        """Changes with what was fitted: for the fingerprints of stages."""
+        return f"{self.title.uid} {self.heading.uid} {self.heading_threshold}"
+
     def save(self, path: str) -> None:
         """SNK4: Spark ML persistence plus the thresholds as JSON."""
         self.title.write().overwrite().save(f"{path}/title")
@@ -110,9 +131,10 @@ class StructureModel:
 
 
 def fit_structure_model(labelled: DataFrame, title_params: dict | None = None,
-                        heading_params: dict | None = None, seed: int = SEED) -> tuple[StructureModel, DataFrame]:
-    """ML7: fit both classifiers on the training part; returns the model
-    and the held-out part (for A11). Label index and class weights come from
+                        heading_params: dict | None = None, seed: int = SEED, sample_rows: int = SAMPLE_ROWS) -> tuple[StructureModel, DataFrame]:
+    """ML7: fit both classifiers on the training part, on ``sample_rows`` rows of
+    each heading class at most (a row then stands for more of its class and weighs
+    as much); returns the model and the whole held-out part (for A11). Label index and class weights come from
     all rows, so that a class met in the held-out part only has its index;
     features are computed once, into a written table. Raises if the title
     label has one class only (the boosting fit needs two)."""
@@ -127,11 +149,14 @@ def fit_structure_model(labelled: DataFrame, title_params: dict | None = None,
     n_title_classes = train.select("title_label").distinct().count()
     if n_title_classes < 2:
         raise ValueError("title labels have a single class; the title classifier needs two")
+    chosen = stratified_sample(train, "heading_label", sample_rows, seed)
+    stands = train.groupBy("heading_label").agg(F.greatest(F.count(F.lit(1)) / F.lit(float(sample_rows)), F.lit(1.0)).alias("stands_for"))
+    train = write_stage(chosen.join(stands, "heading_label").withColumn("w", F.col("w") * F.col("stands_for")))
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True).fit(
         assembler.transform(train))
     indexer = StringIndexer(inputCol="heading_label", outputCol="label_idx", stringOrderType="alphabetAsc",
                             handleInvalid="keep").fit(data)
-    gbt = GBTClassifier(featuresCol="features", labelCol="title_label", seed=seed, **tp)
+    gbt = GBTClassifier(featuresCol="features", labelCol="title_label", weightCol="stands_for", seed=seed, **tp)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", weightCol="w",
                                 featureSubsetStrategy="sqrt", seed=seed, **hp)
     title = Pipeline(stages=[assembler, scaler, gbt]).fit(train)

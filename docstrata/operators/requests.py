@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, strip
+from .scan import running
 from .topk import top_k
 
 # Fixed values (reference defaults).
@@ -47,8 +48,10 @@ def tokens(c: Column) -> Column:
 
 
 def doc_key(filename: Column) -> Column:
-    """File name -> document key (``.pdf`` removed, any case)."""
-    return F.regexp_replace(filename, r"(?i)\.pdf", "")
+    """File name -> key of its outline: the name with ``.pdf`` (lower case)
+    read as ``.json``, without that ending; NULL when no outline file has the name."""
+    name = F.replace(filename, F.lit(".pdf"), F.lit(".json"))
+    return F.when(name.endswith(".json"), F.substring(name, F.lit(1), F.length(name) - 5))
 
 
 def request_documents(request_docs: DataFrame) -> DataFrame:
@@ -171,17 +174,15 @@ def top_sections(candidates: DataFrame, k: int = MAX_SECTIONS) -> DataFrame:
 
 def assign_sections(classified: DataFrame) -> DataFrame:
     """Each group's section = the last heading at or before it in the
-    document (NULL before the first heading). Two levels: a running
-    value inside the page, then the last heading of earlier pages carried
-    over a window of one row per page."""
+    document (NULL before the first heading): a running value inside the
+    page, then the last heading of earlier pages, which is the greatest,
+    carried in bounded chunks of pages (``scan.running``)."""
     key = F.struct(*SEC_KEY)
     w = Window.partitionBy("doc_id", "page").orderBy("first_y0", "first_seq").rowsBetween(
         Window.unboundedPreceding, 0)
     g = classified.withColumn("in_page", F.last(F.when(F.col("is_heading"), key), ignorenulls=True).over(w))
     per_page = classified.groupBy("doc_id", "page").agg(F.max(F.when(F.col("is_heading"), key)).alias("last_h"))
-    wp = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_page.withColumn("carried", F.last("last_h", ignorenulls=True).over(wp)).select(
-        "doc_id", "page", "carried")
+    carry = running(per_page, ["doc_id"], "page", "last_h", "carried", how="max")
     g = g.join(carry, ["doc_id", "page"]).withColumn("section", F.coalesce("in_page", "carried"))
     return g.drop("in_page", "carried")
 
@@ -272,24 +273,19 @@ def parse_model_sections(response: Column) -> Column:
         r["page_number"].try_cast("int").alias("page_number")))
 
 
-def hook_sections(prompt_rows: DataFrame, model_fn) -> DataFrame:
+def hook_sections(prompt_rows: DataFrame, model_fn, memo_path: str | None = None, **options) -> DataFrame:
     """UD1: run a user batch function (pandas Series of prompts -> Series
-    of response texts, None on failure) with ``mapInPandas`` and turn the
-    answers into candidate sections, in the form of ``candidate_sections``
-    (fallback F6 on a missing or invalid answer; ``[]`` means no section).
-    A section that a model names has no place in the document, so its text
-    is the fallback text."""
-    doc_type = prompt_rows.schema["doc_id"].dataType.simpleString()
-    schema = f"request_id long, doc_id {doc_type}, filename string, doc_pos int, response string"
-
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["response"] = list(model_fn(pdf["prompt"]))
-            yield pdf[["request_id", "doc_id", "filename", "doc_pos", "response"]]
-
-    resp = prompt_rows.select("request_id", "doc_id", "filename", F.col("doc_pos").cast("int"), "prompt").mapInPandas(run, schema)
-    return parsed_sections(resp)
+    of response texts, None on failure) through the memo table of
+    ``generator`` and turn the answers into candidate sections, in the form
+    of ``candidate_sections`` (fallback F6 on a missing or invalid answer;
+    ``[]`` means no section). Without a ``memo_path`` the memo is this run's own."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from .generator import responses
+
+    memo = memo_path or f"{ensure_checkpoint_dir(prompt_rows.sparkSession).rstrip('/')}/memo-{uuid.uuid4().hex}"
+    return parsed_sections(responses(prompt_rows, model_fn, memo, **options).drop("prompt"))
 
 
 def parsed_sections(responses: DataFrame) -> DataFrame:

@@ -18,11 +18,12 @@ partitions otherwise).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPECIAL_CHAR_PATTERN, count_char, strip, word_count
 from . import folds
+from .scan import counted, cumulative, percentiles_of
 
 # Fixed values (reference rule set).
 TITLE_MIN_CHARS = 3
@@ -56,24 +57,45 @@ def prepare_blocks(blocks: DataFrame) -> DataFrame:
     ).repartition("doc_id", "page")
 
 
-def doc_stats(blocks: DataFrame) -> DataFrame:
+def round_tenth(x: Column) -> Column:
+    """x >= 0 rounded to one decimal as its exact binary value lies, ties to even.
+
+    The half between the tenths k and k + 1 is (2k + 1) / 20; its double is
+    compared with x, and where they are the same double, twenty times it with
+    2k + 1: its parts 16 and 4 times are exact, and so are both differences."""
+    k = F.floor(x * 10).cast("double")
+    odd = 2 * k + 1
+    half = odd / 20
+    error = half * 4 - (odd - half * 16)
+    up = F.when(x != half, x > half).when(error != 0, error > 0).otherwise(k % 2 == 1)
+    return F.when(up, (k + 1) / 10).otherwise(k / 10)
+
+
+def size_counts(blocks: DataFrame) -> DataFrame:
+    """The distinct block sizes of each document and their counts, written: two statistics read them."""
+    from ..plans.pipeline import write_stage
+
+    return write_stage(counted(blocks, ["doc_id"], "avg_font_size"))
+
+
+def doc_stats(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Per-document statistics over all blocks.
 
     total_items, bold_ratio, center_ratio, avg_spacing (mean of positive
     spacings, 0 if none), font_p50/75/85/95 (linear interpolation),
-    most_common_font (mode of sizes rounded to 1 place, exact halves to
-    even as the source rule does; first seen wins)."""
+    most_common_font (mode of sizes rounded to 1 place by their exact value;
+    first seen wins). Percentiles are selected without a document's sizes in
+    one buffer (``scan.percentiles``)."""
     base = blocks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_items"),
         F.avg(F.col("is_bold").cast("double")).alias("bold_ratio"),
         F.avg(F.col("is_center_aligned").cast("double")).alias("center_ratio"),
         F.coalesce(F.avg(F.when(F.col("spacing_above") > 0, F.col("spacing_above"))), F.lit(0.0)).alias("avg_spacing"),
-        F.percentile("avg_font_size", [0.5, 0.75, 0.85, 0.95]).alias("pct"),
-    ).select(
-        "doc_id", "total_items", "bold_ratio", "center_ratio", "avg_spacing",
-        *[F.col("pct")[i].alias(n) for i, n in enumerate(["font_p50", "font_p75", "font_p85", "font_p95"])],
     )
-    rounded = blocks.groupBy("doc_id", F.bround("avg_font_size", 1).alias("r")).agg(
+    pct = percentiles_of(size_counts(blocks) if sizes is None else sizes, ["doc_id"], [0.5, 0.75, 0.85, 0.95]).select(
+        "doc_id", *[F.col("pct")[i].alias(n) for i, n in enumerate(["font_p50", "font_p75", "font_p85", "font_p95"])])
+    base = base.join(pct, "doc_id", "left")
+    rounded = blocks.groupBy("doc_id", round_tenth(F.col("avg_font_size")).alias("r")).agg(
         F.count(F.lit(1)).alias("cnt"), F.min(F.struct("page", *ORDER)).alias("first"))
     body = rounded.groupBy("doc_id").agg(
         F.min_by("r", F.struct((-F.col("cnt")).alias("c"), "first")).alias("most_common_font"))
@@ -119,18 +141,16 @@ def group_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def font_percentiles(blocks: DataFrame, groups: DataFrame) -> DataFrame:
+def font_percentiles(blocks: DataFrame, groups: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Share of the document's block sizes <= each group's mean
-    size. Both sides are first reduced to distinct values per document, so
-    the RANGE window runs over (distinct sizes) rows, not over blocks."""
-    dist = blocks.groupBy("doc_id", F.col("avg_font_size").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    qs = groups.select("doc_id", F.col("avg_font_size").alias("v")).distinct().withColumn("c", F.lit(0).cast("long"))
-    u = dist.withColumn("q", F.lit(False)).unionByName(qs.withColumn("q", F.lit(True)))
-    w = Window.partitionBy("doc_id").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy("doc_id")
-    u = u.withColumn("le", F.sum("c").over(w)).withColumn("n", F.sum("c").over(tot))
-    return u.filter("q").select("doc_id", F.col("v").alias("avg_font_size"),
-                                (F.col("le") / F.col("n")).alias("font_percentile"))
+    size. Both sides are first reduced to distinct values per document and
+    counted up in ranges of values (``scan.cumulative``), so that no window
+    runs over a document."""
+    dist = size_counts(blocks) if sizes is None else sizes
+    asked = groups.select("doc_id", F.col("avg_font_size").alias("v")).distinct().select("doc_id", "v", F.lit(0).cast("long").alias("c"), F.lit(True).alias("q"))
+    both = dist.withColumn("q", F.lit(False)).unionByName(asked).groupBy("doc_id", "v").agg(F.sum("c").alias("c"), F.bool_or("q").alias("q"))
+    le = cumulative(both, ["doc_id"], keep=["q"])
+    return le.filter("q").select("doc_id", F.col("v").alias("avg_font_size"), (F.col("le") / F.col("n")).alias("font_percentile"))
 
 
 def _tiers(value: Column, tiers: list[tuple[float, float]], default: float = 0.0) -> Column:
@@ -236,9 +256,12 @@ def best_titles(scored: DataFrame, cutoff: float = TITLE_CUTOFF_PREDICT) -> Data
 def structure(blocks: DataFrame) -> dict[str, DataFrame]:
     """Groups, statistics, scored groups and titles of every document."""
     b = prepare_blocks(blocks)
-    groups = group_blocks(b)
-    stats = doc_stats(b)
-    pct = font_percentiles(b, groups)
+    from ..plans.pipeline import write_stage
+
+    groups = write_stage(group_blocks(b))  # read by the percentiles and by the scores
+    sizes = size_counts(b)
+    stats = doc_stats(b, sizes)
+    pct = font_percentiles(b, groups, sizes)
     g = with_doc_stats(groups, stats).join(pct, ["doc_id", "avg_font_size"], "left")
     scored = g.withColumn("score", title_score())
     titles = best_titles(scored)

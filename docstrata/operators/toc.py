@@ -59,31 +59,62 @@ def sequence_ratio(entry: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+#: Letters counted apart for the multiset bound; all other characters are one class.
+COUNTED = "etaonis "
+#: Blocks of a document whose numbers share this many are one salt of the join.
+SALT_BLOCKS = 1 << 14
+
+
 def _length_band(n: Column, step: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(step)).cast("int")
 
 
-def toc_matches(blocks: DataFrame, entries: DataFrame, threshold: float = TOC_SIMILARITY) -> DataFrame:
-    """J3 candidates and scores: (doc_id, page, block_seq, best_ratio).
-
-    The ratio is at most 2*min(la, lb)/(la + lb), so only entries whose
-    length lies within a factor 1/threshold-band of the block's length can
-    reach the threshold. Lengths are cut into geometric bands of that
-    factor and the join is an equi-join on (doc_id, band) with the entry
-    side copied to its neighbour bands: no pair outside the length bound is
-    formed, and the exact bound is then checked in integers."""
-    # Width of a band: just above the largest admissible length ratio.
+def _class_counts(text: Column, prefix: str) -> list[Column]:
+    """Characters of each class of COUNTED, and of none, as columns."""
+    each = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
+    rest = F.length(text)
+    for n in each:
+        rest = rest - n
+    return [c.alias(f"{prefix}{i}") for i, c in enumerate([*each, rest])]
+
+
+def toc_candidates(blocks: DataFrame, entries: DataFrame, threshold: float = TOC_SIMILARITY) -> DataFrame:
+    """J3 filter: (doc_id, page, block_seq, btext, entry) of every pair that can
+    reach the threshold, and few others; no match is lost.
+
+    A ratio r of texts of la and lb characters has r * (la + lb) / 2 of them
+    matched. So (1) the lengths lie within a factor (2 - r) / r: they are cut
+    into geometric bands of it and the join is an equi-join on (doc_id, band),
+    the entry side copied to its neighbour bands; (2) the characters in common,
+    counted by class, are at least as many. Both are JVM expressions on columns
+    that each side computes once. (The edit distance is a closer bound, but
+    costs more than the comparison that it saves.)
+
+    The blocks of a long document are salted by their number, the entries
+    (of its first pages) copied to its salts."""
     ratio_max = (2 - threshold) / threshold
     step = ratio_max * 1.0001
-    b = blocks.select("doc_id", "page", "block_seq", strip(F.col("text")).alias("btext"))
-    b = b.withColumn("lb", F.length("btext")).withColumn("band", _length_band(F.col("lb"), step))
+    num, den = int(round(threshold * 10000)), 10000
+    salt = F.floor(F.col("block_seq") / F.lit(SALT_BLOCKS)).cast("int")
+    b = blocks.select("doc_id", "page", "block_seq", strip(F.col("text")).alias("btext"), salt.alias("salt"))
+    b = b.select("*", F.length("btext").alias("lb"), *_class_counts(F.col("btext"), "b"))
+    b = b.withColumn("band", _length_band(F.col("lb"), step))
     e = entries.select("doc_id", "entry").dropDuplicates(["doc_id", "entry"])
-    e = e.withColumn("la", F.length("entry"))
+    salts = blocks.groupBy("doc_id").agg(F.max(salt).alias("salts"))
+    e = e.join(salts, "doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).drop("salts")
+    e = e.select("*", F.length("entry").alias("la"), *_class_counts(F.col("entry"), "e"))
     e = e.withColumn("band", F.explode(F.array(*[_length_band(F.col("la"), step) + k for k in (-1, 0, 1)])))
-    num, den = int(round(threshold * 10000)), 10000
-    pairs = b.join(e, ["doc_id", "band"]).filter(
-        F.least("la", "lb") * 2 * den >= (F.col("la") + F.col("lb")) * num
-    )
+    common = F.lit(0)
+    for i in range(len(COUNTED) + 1):
+        common = common + F.least(f"b{i}", f"e{i}")
+    total = F.col("la") + F.col("lb")
+    pairs = b.join(e, ["doc_id", "band", "salt"]).filter(common * 2 * den >= total * num)
+    return pairs.select("doc_id", "page", "block_seq", "btext", "entry")
+
+
+def toc_matches(blocks: DataFrame, entries: DataFrame, threshold: float = TOC_SIMILARITY) -> DataFrame:
+    """J3 verify: (doc_id, page, block_seq, best_ratio) of the candidate pairs."""
+    pairs = toc_candidates(blocks, entries, threshold)
     scored = pairs.withColumn("ratio", sequence_ratio(F.col("entry"), F.col("btext")))
     return scored.groupBy("doc_id", "page", "block_seq").agg(F.max("ratio").alias("best_ratio"))
 

@@ -7,8 +7,9 @@ sees at most ``buckets * k`` rows per group. A group holding a third of
 all rows is therefore spread over ``buckets`` tasks instead of one.
 
 ``rank_within``: dense position of every row of a group by an order, as
-(number of rows with a better key and first tie value) + row_number inside
-the rows sharing them; the first part is a window over distinct pairs only.
+(number of rows with a better key) + (number with the same key and a smaller
+first tie) + row_number inside the rows sharing both; the first two are
+running sums in bounded ranges and chunks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import counted, cumulative, running
+
 DEFAULT_BUCKETS = 64
 
 
@@ -32,17 +35,19 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, unique:
 
 def rank_within(df: DataFrame, group: list[str], key: str, descending: bool, tie: list[str],
                 rank_col: str = "rank") -> DataFrame:
-    """Full 1..n ranking of each group by ``key`` (then ``tie``).
-
-    Rows before = rows of better (key, first tie column) pairs, a running
-    sum over the distinct pairs, plus the row number inside the pair. With
-    the page as first tie column a group is one row per page and key in the
-    running sum, and the numbering splits by page, however few keys there are."""
-    pair = [key, tie[0]]
-    dist = df.groupBy(*group, *pair).agg(F.count(F.lit(1)).alias("_n"))
-    kc = F.col(key).desc() if descending else F.col(key).asc()
-    w = Window.partitionBy(*group).orderBy(kc, tie[0]).rowsBetween(Window.unboundedPreceding, -1)
-    before = dist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    wt = Window.partitionBy(*group, *pair).orderBy(*tie[1:] or tie)
-    return df.withColumn("_t", F.row_number().over(wt)).join(before, [*group, *pair]).withColumn(
-        rank_col, (F.col("_before") + F.col("_t")).cast("int")).drop("_before", "_t")
+    """Full 1..n ranking of each group by ``key`` (then ``tie``, whose first
+    column is an integer >= 0 such as the page).
+
+    Rows before = rows of better keys (a running sum over the ranges of the
+    distinct keys) + rows of the same key on smaller first ties
+    (``scan.running``) + the row number inside (key, first tie). No window
+    runs over a whole group."""
+    first = tie[0]
+    signed = -F.col(key) if descending else F.col(key)
+    rows = df.withColumn("_k", signed)
+    per_key = cumulative(counted(rows, group, "_k"), group).select(*group, F.col("v").alias("_k"), (F.col("le") - F.col("c")).alias("_better"))
+    pairs = rows.groupBy(*group, "_k", first).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = running(pairs, [*group, "_k"], first, "_n", "_earlier")
+    wt = Window.partitionBy(*group, "_k", first).orderBy(*tie[1:] or tie)
+    out = rows.withColumn("_t", F.row_number().over(wt)).join(earlier, [*group, "_k", first]).join(per_key, [*group, "_k"])
+    return out.withColumn(rank_col, (F.col("_better") + F.col("_earlier") + F.col("_t")).cast("int")).drop("_k", "_t", "_better", "_earlier")

@@ -63,6 +63,23 @@ FX_LINKS = f"""fx_links AS (
 SELECT page_id AS doc_id, 1 AS page, CAST(i - 1 AS INT) AS link_seq, u[i] AS uri, t[i] AS link_text
 FROM (SELECT page_id, u, t, unnest(range(1, len(u) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '{LINK_PAT}', 1) AS u, regexp_extract_all(html, '{LINK_PAT}', 2) AS t FROM pages)))"""
 
+FX_BOXES = """fx_boxes AS (
+SELECT doc_id, page, block_seq, line_seq, span_seq, text, bx0 + span_seq * 80 AS x0, by0 AS y0, bx0 + span_seq * 80 + 72 AS x1, by1 AS y1 FROM fx_spans)"""
+FX_PAGE_LINKS = """fx_page_links AS (
+SELECT doc_id, page, link_seq, kind, uri, x0, y0, x0 + 20 + (n % 7) * 60 AS x1, y0 + 16 + (n % 4) * 40 AS y1
+FROM (SELECT doc_id, page, n, block_seq AS link_seq, 1 + n % 2 AS kind, 'https://example.org/' || CAST(doc_id AS VARCHAR) || '/' || CAST(block_seq AS VARCHAR) AS uri,
+  CAST(60 + (n % 11) * 40 AS DOUBLE) AS x0, by0 - (n % 3) * 30 AS y0 FROM fx_lines WHERE n % 5 = 0))"""
+FX_BLANKS = """fx_blank_spans AS (
+SELECT doc_id, page, block_seq, line_seq, span_seq, text FROM fx_spans
+UNION ALL
+SELECT s.doc_id, s.page, s.block_seq + 1000000, s.line_seq, s.span_seq, ' ' || chr(9) || ' ' FROM fx_spans s JOIN fx_lines l ON s.doc_id = l.doc_id AND s.block_seq = l.block_seq WHERE l.n % 6 = 0)"""
+
+#: The elements of the block files that hold an array, straight from the lines.
+FX_FILE_ELEMENTS = """fx_elements AS (
+SELECT 'file ' || CAST(doc_id AS VARCHAR) AS doc_key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_seq) - 1 AS INT) AS block_seq, n, page,
+  regexp_replace(line, '[^A-Za-z0-9 ]', '', 'g') AS line
+FROM fx_lines WHERE doc_id % 11 > 3)"""
+
 FX_REQUESTS = """fx_requests AS (SELECT item_id AS request_id, 'Analyst' AS persona, text AS task FROM benchmark),
 fx_request_docs AS (
 SELECT b.item_id AS request_id, d.doc_id, CASE WHEN d.doc_id % 7 = 3 THEN 'missing ' ELSE '' END || CAST(d.doc_id AS VARCHAR) || '.pdf' AS filename, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS doc_pos
@@ -335,7 +352,7 @@ def sec(alias: str = "") -> str:
 
 REQUESTS = FX_REQUESTS + f""",
 rd AS (
-SELECT request_id, filename, min(doc_pos) AS doc_pos, regexp_replace(filename, '(?i)\\.pdf', '', 'g') AS doc_key
+SELECT request_id, filename, min(doc_pos) AS doc_pos, CASE WHEN ends_with(replace(filename, '.pdf', '.json'), '.json') THEN left(replace(filename, '.pdf', '.json'), length(replace(filename, '.pdf', '.json')) - 5) END AS doc_key
 FROM fx_request_docs GROUP BY request_id, filename),
 jd AS (SELECT rd.*, d.doc_id FROM rd JOIN docs d ON CAST(d.doc_id AS VARCHAR) = rd.doc_key),
 secs AS (SELECT doc_id, page, first_y0, first_seq, text, len({tokens('text')}) AS dl FROM outline_rows),

@@ -26,7 +26,8 @@ class Corpus:
     def __init__(self, spans: DataFrame, toc_lines: DataFrame | None = None,
                  language_profiles: DataFrame | None = None,
                  requests: DataFrame | None = None, request_docs: DataFrame | None = None,
-                 cluster_columns: bool = False, materialize: bool = True, model=None, section_model=None):
+                 cluster_columns: bool = False, materialize: bool = True, model=None, section_model=None,
+                 text_model=None, memo_path: str | None = None):
         self.spans = spans
         self.toc_lines = toc_lines
         self.language_profiles = language_profiles
@@ -38,6 +39,10 @@ class Corpus:
         self.model = model
         #: Batch function prompts -> responses that finds the sections in place of the scores (UD1).
         self.section_model = section_model
+        #: Batch function that writes the text of a kept section (second prompt), and the
+        #: folder of the answers that both functions have given so far.
+        self.text_model = text_model
+        self.memo_path = memo_path
 
     def _cut(self, df: DataFrame) -> DataFrame:
         """Stage boundary: the stage output is written once as a Parquet
@@ -55,6 +60,15 @@ class Corpus:
             request_docs=fixtures.fx_request_docs(spark, sf_dir) if with_requests else None,
         )
 
+    @classmethod
+    def from_blocks(cls, blocks: DataFrame | None, docs: DataFrame, **parts) -> "Corpus":
+        """Stages 2 and 3 over given blocks (``doc_id``) and documents (``doc_id, doc_key``);
+        ``parts``: the constructor's options, and stage outputs that are already there."""
+        made = {k: parts.pop(k) for k in ("headings", "classified", "titles") if k in parts}
+        c = cls(None, **parts)
+        c.__dict__.update(made, docs=docs, **({} if blocks is None else {"blocks": blocks}))
+        return c
+
     # ---- stage 1 -------------------------------------------------------
     @cached_property
     def blocks(self) -> DataFrame:
@@ -128,7 +142,7 @@ class Corpus:
     def candidates(self) -> DataFrame:
         if self.section_model is not None:
             p = R.prompts(self.requests, self.request_docs, self.docs, self.headings)
-            return R.hook_sections(p, self.section_model).drop("from_model")
+            return R.hook_sections(p, self.section_model, self.memo_path).drop("from_model")
         return R.candidate_sections(self.requests, self.request_docs, self.docs, self.headings)
 
     @cached_property
@@ -137,6 +151,12 @@ class Corpus:
 
     @cached_property
     def kept_with_text(self) -> DataFrame:
+        if self.text_model is not None:
+            from ..operators.generator import generated_texts
+            from ..session import ensure_checkpoint_dir
+
+            memo = self.memo_path or f"{ensure_checkpoint_dir(self.kept.sparkSession).rstrip('/')}/memo-{id(self)}"
+            return self._cut(generated_texts(self.kept, self.requests, self.headings, self.text_model, memo, R.fallback_text))
         classified = self.classified
         if self.model is not None:  # a section starts at a heading of the model
             at = ["doc_id", "page", "first_y0", "first_seq"]

@@ -20,7 +20,7 @@ from ..operators import structure as S
 from ..operators import toc as TOC
 from ..operators.features import feature_columns
 from ..operators.topk import rank_within
-from ..sources import fixtures
+from ..sources import fixtures, tables
 from . import oracle_sql as O
 from .pipeline import Corpus
 
@@ -99,6 +99,44 @@ def q_src4(spark, sf):
     return fixtures.fx_links(spark, sf)
 
 
+@register("src4_link_texts", O.chain(O.FX_LINES, O.FX_SPANS, O.FX_BOXES, O.FX_PAGE_LINKS) + """,
+under AS (
+SELECT l.doc_id, l.page, l.link_seq, s.block_seq, s.line_seq, string_agg(s.text, '' ORDER BY s.span_seq) AS line, count(*) AS n
+FROM fx_page_links l JOIN fx_boxes s ON l.doc_id = s.doc_id AND l.page = s.page AND l.x0 < s.x1 AND s.x0 < l.x1 AND l.y0 < s.y1 AND s.y0 < l.y1
+WHERE l.kind = 1 GROUP BY ALL),
+texts AS (SELECT doc_id, page, link_seq, string_agg(line, chr(10) ORDER BY block_seq, line_seq) AS link_text, sum(n) AS n FROM under GROUP BY ALL)
+SELECT l.doc_id, l.page, l.link_seq, l.uri, l.x0, l.y0, l.x1, l.y1, coalesce(t.link_text, '') AS link_text, CAST(coalesce(t.n, 0) AS BIGINT) AS n_spans
+FROM fx_page_links l LEFT JOIN texts t USING (doc_id, page, link_seq) WHERE l.kind = 1""")
+def q_src4_texts(spark, sf):
+    from ..operators.links import link_texts
+
+    out = link_texts(fixtures.fx_page_links(spark, sf), fixtures.fx_span_boxes(spark, sf))
+    return out.select("doc_id", "page", "link_seq", "uri", "rect.*", "link_text", "n_spans")
+
+
+@register("src5_block_files", O.chain(O.FX_LINES, O.FX_FILE_ELEMENTS) + """
+SELECT doc_key, block_seq, CASE WHEN n % 3 <> 0 AND n % 8 = 0 THEN NULL ELSE page END AS page,
+  CASE WHEN n % 4 = 0 THEN NULL ELSE line END AS text, CASE WHEN n % 9 = 0 OR n % 10 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS avg_font_size
+FROM fx_elements WHERE n % 13 <> 0""")
+def q_src5(spark, sf):
+    rows = tables.explode_block_files(tables.block_files(fixtures.fx_block_files(spark, sf)))
+    return rows.select("doc_key", "block_seq", "page", "text", "avg_font_size")
+
+
+@register("snk5_bad_records", O.chain(O.FX_LINES, O.FX_FILE_ELEMENTS) + """
+SELECT doc_key, CAST(NULL AS INT) AS block_seq, CAST(NULL AS VARCHAR) AS field, error FROM (
+  SELECT DISTINCT 'file ' || CAST(doc_id AS VARCHAR) AS doc_key, doc_id % 11 AS d,
+    CASE doc_id % 11 WHEN 0 THEN 'malformed JSON' WHEN 1 THEN 'no array but OBJECT' ELSE 'empty file' END AS error FROM fx_lines WHERE doc_id % 11 IN (0, 1, 3))
+UNION ALL SELECT doc_key, block_seq, NULL, 'element is no object' FROM fx_elements WHERE n % 13 = 0
+UNION ALL SELECT doc_key, block_seq, 'page', 'ARRAY is no int' FROM fx_elements WHERE n % 13 <> 0 AND n % 3 <> 0 AND n % 8 = 0
+UNION ALL SELECT doc_key, block_seq, 'avg_font_size', 'STRING is no double' FROM fx_elements WHERE n % 13 <> 0 AND n % 9 = 0""")
+def q_snk5(spark, sf):
+    from ..sources import sinks
+
+    bad = sinks.bad_records(tables.block_files(fixtures.fx_block_files(spark, sf)), "structure")
+    return bad.select("doc_key", "block_seq", "field", F.regexp_replace("error", "(?s)^(malformed JSON): .*", "$1").alias("error"))
+
+
 @register("src8_request_docs", O.chain(O.FX_REQUESTS) + """
 SELECT d.request_id, CAST(d.doc_pos AS BIGINT) AS doc_pos, d.filename, r.persona, r.task
 FROM fx_request_docs d JOIN fx_requests r USING (request_id)""")
@@ -109,11 +147,15 @@ def q_src8(spark, sf):
                                           "filename", "persona", "task")
 
 
-@register("p22_doc_keys", O.chain(O.FX_REQUESTS) + r"""
-SELECT DISTINCT filename, regexp_replace(filename, '(?i)\.pdf', '', 'g') AS doc_key FROM fx_request_docs""")
+_NAMED = "CASE doc_id % 5 WHEN 0 THEN source || '.PDF' WHEN 1 THEN source || '.pdf.pdf' WHEN 2 THEN source || '.json' WHEN 3 THEN source ELSE source || '.pdf' END"
+
+
+@register("p22_doc_keys", f"""SELECT DISTINCT filename,
+  CASE WHEN ends_with(j, '.json') THEN left(j, length(j) - 5) END AS doc_key
+FROM (SELECT filename, replace(filename, '.pdf', '.json') AS j FROM (SELECT {_NAMED} AS filename FROM documents))""")
 def q_p22(spark, sf):
-    d = fixtures.fx_request_docs(spark, sf)
-    return d.select("filename", R.doc_key(F.col("filename")).alias("doc_key")).distinct()
+    d = tables.table(spark, sf, "documents").select(F.expr(_NAMED).alias("filename")).distinct()
+    return d.select("filename", R.doc_key(F.col("filename")).alias("doc_key"))
 
 
 # ---------------------------------------------------------------- stage 1
@@ -127,13 +169,11 @@ def q_a1(spark, sf):
                     "last_color", "last_flags", "is_strikethrough", *STYLE_COLS)
 
 
-@register("p1_blank_filter", S1 + """
-SELECT doc_id, count(*) AS n_raw, count(*) FILTER (WHERE """ + O.strip("text_raw") + """ <> '') AS n_kept
-FROM raw GROUP BY doc_id""")
+@register("p1_blank_filter", O.chain(O.FX_LINES, O.FX_SPANS, O.FX_BLANKS) + """,
+rawb AS (SELECT doc_id, page, block_seq, string_agg(text, ' ' ORDER BY line_seq, span_seq) AS t FROM fx_blank_spans GROUP BY ALL)
+SELECT doc_id, count(*) AS n_raw, count(*) FILTER (WHERE """ + O.strip("t") + """ <> '') AS n_kept FROM rawb GROUP BY doc_id""")
 def q_p1(spark, sf):
-    from ..operators import blocks as B
-
-    s = fixtures.fx_spans(spark, sf)
+    s = fixtures.fx_spans_with_blanks(spark, sf)
     raw = s.groupBy("doc_id").agg(F.count_distinct("page", "block_seq").alias("n_raw"))
     kept = B.assemble_blocks(s).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return raw.join(kept, "doc_id", "left").select("doc_id", "n_raw", F.coalesce("n", F.lit(0)).alias("n_kept"))
@@ -807,3 +847,17 @@ def q_ml4(spark, sf):
 
     s = _corpus(spark, sf, with_requests=False).scored
     return s.select(*_GKEY, (M.split_share() < M.TEST_FRACTION).alias("held_out"))
+
+
+_SAMPLE = 100
+
+
+@register("ml5_fit_sample", _LABELS_SQL + f""", hl AS (SELECT doc_id, page, first_seq, {O.heading_level_sql('coalesce(is_title, false)')} AS heading_label FROM lab),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY heading_label ORDER BY md5('fit 42:' || doc_id || ':' || page || ':' || first_seq), doc_id, page, first_seq) AS r FROM hl)
+SELECT doc_id, page, first_seq, heading_label FROM ranked WHERE r <= {_SAMPLE}""")
+def q_ml5_sample(spark, sf):
+    """The sampling operator of the fit: so many rows of each class."""
+    from ..operators import model as M
+
+    lab = M.weak_labels(_corpus(spark, sf, with_requests=False).scored)
+    return M.stratified_sample(lab, "heading_label", _SAMPLE).select(*_GKEY, "heading_label")

@@ -142,9 +142,8 @@ def fx_request_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id")
     b = items.select(F.col("item_id").alias("request_id"),
                      (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"))
-    n = items.agg(F.count(F.lit(1)).alias("n"))
-    d = table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(n)).select(
-        "doc_id", (F.col("doc_id") % F.col("n")).alias("k"))
+    n = items.count()  # one number
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % max(n, 1)).alias("k"))
     w = Window.partitionBy("request_id").orderBy("doc_id")
     i = F.col("doc_id").cast("string")
     name = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("missing "), i)).otherwise(i)
@@ -170,3 +169,54 @@ def fx_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("link_seq").cast("int").alias("link_seq"),
         F.col("z.u").alias("uri"), F.col("z.t").alias("link_text"),
     )
+
+
+def fx_span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: the spans with a rectangle each, side by side on their line."""
+    s = fx_spans(spark, sf_dir)
+    return s.select("doc_id", "page", "block_seq", "line_seq", "span_seq", "text",
+                    (F.col("bx0") + F.col("span_seq") * 80).alias("x0"), F.col("by0").alias("y0"),
+                    (F.col("bx0") + F.col("span_seq") * 80 + 72).alias("x1"), F.col("by1").alias("y1"))
+
+
+def fx_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: links with kind and rectangle; one at every line of a length
+    divisible by 5, over parts of some lines, every second one of another kind."""
+    lines = fx_lines(spark, sf_dir).filter(_mod(F.col("n"), 5))
+    n = F.col("n")
+    x0 = (60 + (n % 11) * 40).cast("double")
+    y0 = F.col("by0") - (n % 3) * 30
+    return lines.select(
+        "doc_id", "page", F.col("block_seq").alias("link_seq"), (1 + (n % 2)).cast("int").alias("kind"),
+        F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("block_seq").cast("string")).alias("uri"),
+        x0.alias("x0"), y0.alias("y0"), (x0 + 20 + (n % 7) * 60).alias("x1"), (y0 + 16 + (n % 4) * 40).alias("y1"))
+
+
+def fx_spans_with_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: the spans, and for every line of a length divisible by 6 a second
+    block whose spans hold white space only."""
+    s = fx_spans(spark, sf_dir)
+    blank = fx_lines(spark, sf_dir).filter(_mod(F.col("n"), 6)).select("doc_id", "block_seq").distinct()
+    again = s.join(blank, ["doc_id", "block_seq"]).withColumn("block_seq", F.col("block_seq") + 1000000).withColumn("text", F.lit(" \t "))
+    return s.unionByName(again)
+
+
+def fx_block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: a block file of each document as a row (doc_key, value): a JSON array
+    with an element per line, some of them odd; some files cut off, objects, or empty."""
+    lines = fx_lines(spark, sf_dir)
+    n, seq = F.col("n").cast("string"), F.col("block_seq")
+    text = F.regexp_replace("line", "[^A-Za-z0-9 ]", "")
+    page = F.when(_mod(F.col("n"), 3), F.concat(F.lit('"'), F.col("page").cast("string"), F.lit('"'))).when(
+        _mod(F.col("n"), 8), F.lit("[1]")).otherwise(F.col("page").cast("string"))
+    size = F.when(_mod(F.col("n"), 9), F.lit('"big"')).when(_mod(F.col("n"), 10), F.lit("null")).otherwise(n)
+    element = F.when(_mod(F.col("n"), 13), F.lit("7")).otherwise(F.concat(
+        F.lit('{"page": '), page, F.lit(', "avg_font_size": '), size, F.when(_mod(F.col("n"), 4), F.lit("")).otherwise(
+            F.concat(F.lit(', "text": "'), text, F.lit('"'))), F.lit("}")))
+    files = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq.alias("s"), element.alias("e")))),
+                                                                 lambda x: x["e"]), ", ").alias("body"))
+    d = F.col("doc_id") % 11
+    whole = F.concat(F.lit("["), F.col("body"), F.lit("]"))
+    value = F.when(d == 0, F.concat(F.lit("["), F.col("body"))).when(d == 1, F.lit('{"page": 1}')).when(d == 2, F.lit("[]")).when(
+        d == 3, F.lit(" ")).otherwise(whole)
+    return files.select(F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("doc_key"), value.alias("value"))

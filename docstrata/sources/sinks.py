@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .tables import BLOCK_FIELDS, block_elements
 
 
 def write_blocks(blocks: DataFrame, path: str, fmt: str = "parquet", buckets: int = 64) -> None:
@@ -35,8 +36,15 @@ def write_answers(answers: DataFrame, path: str) -> None:
     answers.write.mode("overwrite").json(path)
 
 
-def bad_records(parsed: DataFrame, stage: str) -> DataFrame:
-    """SNK5: files whose content could not be read (``blocks`` NULL after
-    ``from_json``) as (doc_key, stage, error)."""
-    return parsed.filter(F.col("blocks").isNull()).select(
-        "doc_key", F.lit(stage).alias("stage"), F.lit("unreadable JSON").alias("error"))
+def bad_records(parsed: DataFrame, stage: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """SNK5: what could not be read, with its reason: (doc_key, stage, block_seq,
+    field, error). A file without an array is one row (block_seq and field
+    null), an element that is no object one (field null), and so is each
+    field that holds no value of its type."""
+    files = parsed.filter(F.col("error").isNotNull()).select(
+        "doc_key", F.lit(None).cast("int").alias("block_seq"), F.lit(None).cast("string").alias("field"), "error")
+    elements = block_elements(parsed.filter(F.col("error").isNull()), fields or BLOCK_FIELDS)
+    no_object = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit("element is no object").alias("error")))
+    each = elements.select("doc_key", "block_seq", F.explode(F.when(F.col("is_object"), F.col("bad")).otherwise(no_object)).alias("b"))
+    rows = files.unionByName(each.select("doc_key", "block_seq", "b.field", "b.error"))
+    return rows.select("doc_key", F.lit(stage).alias("stage"), "block_seq", "field", "error")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,52 +47,93 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def block_files(spark: SparkSession, folder: str, block_schema: str) -> DataFrame:
-    """SRC5 / SRC6: each ``*.json`` file holds one array of block records.
+#: Fields of a block record that the structure stage reads, with their types.
+BLOCK_FIELDS = {
+    "page": "int", "text": "string", "avg_font_size": "double", "font_name": "string", "is_bold": "boolean", "is_italic": "boolean",
+    "is_center_aligned": "boolean", "caps_ratio": "double", "indentation_ratio": "double", "y_position_relative": "double",
+    "spacing_above": "double",
+}
+#: Characters of an unreadable file that its bad record quotes.
+QUOTED = 40
 
-    Files are read whole (one row per file) so that array order becomes
-    ``block_seq``; the file key is the URL-decoded name without extension.
-    Unreadable files come out with ``blocks`` NULL and are kept in the
-    ``bad`` column for the bad-record table (SNK5)."""
-    raw = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.json")
-        .text(folder)
-        .select(F.col("value"), F.col("_metadata.file_path").alias("path"))
-    )
-    parsed = raw.select(
-        F.regexp_extract(F.url_decode(F.col("path")), r"([^/]+)\.json$", 1).alias("doc_key"),
-        # a file that holds one object is no block file
-        F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", f"array<struct<{block_schema}>>")).alias("blocks"),
-    )
-    return parsed
 
+def json_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_key, value): each ``*.json`` file whole; the key is its URL-decoded name without extension."""
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    return raw.select(F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]+)\.json$", 1).alias("doc_key"), "value")
 
-def explode_block_files(parsed: DataFrame) -> DataFrame:
-    """Non-empty arrays only (SRC6), one row per block with its position."""
-    return (
-        parsed.filter(F.size("blocks") > 0)
-        .select("doc_key", F.posexplode("blocks").alias("block_seq", "b"))
-        .select("doc_key", "block_seq", "b.*")
+
+def block_files(files: DataFrame) -> DataFrame:
+    """SRC5 / SRC6: (doc_key, blocks, error) of rows (doc_key, value), one file each.
+
+    A file holds one JSON array; ``blocks`` is it as VARIANT, read without a
+    schema, so that one odd value costs no more than itself. ``error`` says
+    what is wrong with a file that holds none."""
+    v = F.try_parse_json("value")
+    kind = F.schema_of_variant(v)
+    error = (
+        F.when(F.col("value").isNull() | (F.trim("value") == ""), "empty file")
+        .when(v.isNull(), F.concat(F.lit("malformed JSON: "), F.substring("value", 1, QUOTED)))
+        .when(~kind.startswith("ARRAY"), F.concat(F.lit("no array but "), F.regexp_extract(kind, r"^\w+", 0)))
     )
+    return files.select("doc_key", F.when(error.isNull(), v).alias("blocks"), error.alias("error"))
+
+
+def block_elements(parsed: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(doc_key, block_seq, is_object, typed, bad): each element of the arrays; ``typed`` its
+    fields by type, ``bad`` those that are there but are no value of their type."""
+    rows = parsed.sparkSession.sql(
+        "SELECT p.doc_key, e.pos AS block_seq, e.value AS v FROM {p} p, LATERAL variant_explode(p.blocks) e", p=parsed)
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    typed = F.struct(*[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in fields.items()])
+    rows = rows.select("doc_key", "block_seq", "v", is_object.alias("is_object"), F.when(is_object, typed).alias("typed"))
+
+    def wrong(name: str, kind: str) -> Column:
+        found = F.try_variant_get("v", f"$.{name}", "variant")
+        there = found.isNotNull() & ~F.is_variant_null(found)
+        return F.when(there & F.col("typed")[name].isNull(), F.struct(
+            F.lit(name).alias("field"),
+            F.concat(F.regexp_extract(F.schema_of_variant(found), r"^\w+", 0), F.lit(f" is no {kind}")).alias("error")))
+
+    bad = F.array_compact(F.array(*[wrong(n, k) for n, k in fields.items()]))
+    return rows.select("doc_key", "block_seq", "is_object", "typed", F.when(F.col("is_object"), bad).alias("bad"))
+
+
+def explode_block_files(parsed: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """SRC6: one row per block of the non-empty arrays with its position; a
+    field that cannot be read is null, an element that is no object no block."""
+    return block_elements(parsed, fields or BLOCK_FIELDS).filter("is_object").select("doc_key", "block_seq", "typed.*")
+
+
+def unite(*sources: DataFrame) -> DataFrame:
+    """Sources of blocks as one; a column that one of them lacks is null there."""
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
 
 
 def request_file(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7 / SRC8: one request object (D5); unreadable -> corrupt record."""
+    """SRC7 / SRC8: request objects (D5), one a file, with the file's path; unreadable -> corrupt record."""
     schema = T.StructType([*schemas.REQUEST.fields, T.StructField("_corrupt_record", T.StringType())])
-    return (
+    rows = (
         spark.read.schema(schema)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
     )
+    return rows.withColumn("path", F.col("_metadata.file_path"))
 
 
 def requests_from_file(df: DataFrame, request_id: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Turn request objects (D5) into the ``requests`` / ``request_docs`` pair."""
-    reqs = df.filter(F.col("documents").isNotNull()).select(
-        F.lit(request_id).cast("long").alias("request_id"),
+    """Turn request objects (D5) into the ``requests`` / ``request_docs`` pair; files
+    are numbered from ``request_id`` on in order of their paths."""
+    from ..operators.keys import key_dictionary
+
+    numbers = key_dictionary(df.filter(F.col("documents").isNotNull()), "path", "number")
+    reqs = df.filter(F.col("documents").isNotNull()).join(numbers, "path").select(
+        (F.col("number") + request_id).cast("long").alias("request_id"),
         F.col("persona.role").alias("persona"),
         F.col("job_to_be_done.task").alias("task"),
         "documents",

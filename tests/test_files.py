@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 
 from docstrata.sources import sinks, tables
 
-BLOCK_SCHEMA = ("page int, text string, avg_font_size double, font_name string, is_bold boolean, "
-                "is_italic boolean, is_center_aligned boolean, caps_ratio double, indentation_ratio double, "
-                "y_position_relative double, spacing_above double")
-
-
 def test_block_file_scan_keeps_order_and_bad_records(spark):
     d = tempfile.mkdtemp(prefix="docstrata-files-")
     blocks = [{"page": 1, "text": f"line {i}", "avg_font_size": 12.0, "font_name": "A", "is_bold": False,
@@ -24,7 +19,7 @@ def test_block_file_scan_keeps_order_and_bad_records(spark):
         json.dump([], f)
     with open(os.path.join(d, "broken.json"), "w") as f:
         f.write("{not json")
-    parsed = tables.block_files(spark, d, BLOCK_SCHEMA)
+    parsed = tables.block_files(tables.json_files(spark, d))
     rows = tables.explode_block_files(parsed).orderBy("block_seq").collect()
     assert [r["doc_key"] for r in rows] == ["doc one"] * 5
     assert [r["text"] for r in rows] == [f"line {i}" for i in range(5)]

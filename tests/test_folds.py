@@ -56,23 +56,15 @@ def test_group_continuation_rules(spark):
     assert groups(spark, rows) == [[0, 1], [2]]
 
 
-def _python_merge(blocks):
-    out, cur = [], None
-    for b in blocks:
-        if cur is None:
-            cur = dict(b, n=1)
-            continue
-        same = (b["page"] == cur["page"] and abs(b["size"] - cur["size"]) < 1.5 and b["bold"] == cur["bold"]
-                and b["italic"] == cur["italic"] and b["spacing"] < 6)
-        if same:
-            cur["text"] += " " + b["text"]
-            cur["n"] += 1
-        else:
-            out.append(cur)
-            cur = dict(b, n=1)
-    if cur:
-        out.append(cur)
-    return out
+def _group_numbers(page):
+    """The rule table of W3 on one page: the number of the merged block that each block is in."""
+    numbers, first = [], None
+    for b in page:
+        rules = first is not None and (abs(b["size"] - first["size"]) < 1.5, b["bold"] == first["bold"], b["italic"] == first["italic"], b["spacing"] < 6)
+        if not (rules and all(rules)):
+            first = b
+        numbers.append((numbers[-1] if numbers else -1) + (first is b))
+    return numbers
 
 
 def test_merge_equals_sequential_fold(spark):
@@ -84,10 +76,16 @@ def test_merge_equals_sequential_fold(spark):
     rows = raw.select("doc_id", "page", "y0", "block_seq", "text", F.col("avg_font_size").alias("size"),
                       F.col("is_bold").alias("bold"), F.col("is_italic").alias("italic"),
                       F.col("spacing_above").alias("spacing")).collect()
-    by_doc = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["page"], r["y0"], r["block_seq"])):
-        by_doc.setdefault(r["doc_id"], []).append(r.asDict())
-    expected = sorted((d, m["block_seq"], m["text"], m["n"]) for d, bl in by_doc.items() for m in _python_merge(bl))
+    pages = {}
+    for r in sorted(rows, key=lambda r: (r["y0"], r["block_seq"])):
+        pages.setdefault((r["doc_id"], r["page"]), []).append(r)
+    expected = []
+    for (doc, _), page in pages.items():
+        members = {}
+        for number, b in zip(_group_numbers(page), page):
+            members.setdefault(number, []).append(b)
+        expected += [(doc, m[0]["block_seq"], " ".join(b["text"] for b in m), len(m)) for m in members.values()]
+    expected.sort()
     merged = folds.merge_runs(raw, ["text_raw"])
     got = sorted((r["doc_id"], r["block_seq"], r["text"], r["n_merged"]) for r in merged.collect())
     assert got == expected

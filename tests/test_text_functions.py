@@ -27,6 +27,7 @@ def test_caps_ratio_counts_trailing_space(spark):
     assert abs(one(spark, X.caps_ratio, s) - 2 / 4) < 1e-12
 
 
+# Fixed value: the numbering pattern of the given rule set.
 def test_numbering_pattern(spark):
     pat = re.compile(r"^(\d+[\.\)]|[A-Z][\.\)]|\(?[ivx]+\)?)[\s\-:]", re.IGNORECASE)
     for s in ["1. Intro", "A) point", "(iv) x", "I am", "Intro", "12 Angry", "b.-x", "x"]:
