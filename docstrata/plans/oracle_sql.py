@@ -58,6 +58,47 @@ FX_HTML_SPANS = f"""fx_html_spans AS (
 SELECT page_id, CAST(i - 1 AS INT) AS span_seq, g[i] AS tag, t[i] AS text
 FROM (SELECT page_id, g, t, unnest(range(1, len(g) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '{HTML_PAT}', 1) AS g, regexp_extract_all(html, '{HTML_PAT}', 2) AS t FROM pages)))"""
 
+# Markup by a stack of open tags, one event after the other (recursive).
+_M_BLOCK = "['title','h1','h2','h3','h4','h5','h6','p','li','ul','ol','div','nav','article','section','header','footer','body','head','html','table','tr','td','th','blockquote','pre']"
+_M_VOID = "['br','img','hr','input','meta','link','source','wbr']"
+_m_size = "CASE x WHEN 'title' THEN 24 WHEN 'h1' THEN 20 WHEN 'h2' THEN 18 WHEN 'h3' THEN 16 WHEN 'h4' THEN 14 WHEN 'h5' THEN 12 WHEN 'h6' THEN 11 WHEN 'b' THEN 14 WHEN 'p' THEN 11 WHEN 'li' THEN 10 WHEN 'a' THEN 10 WHEN 'div' THEN 10 WHEN 'footer' THEN 9 END"
+
+
+def _m_last(tag: str) -> str:
+    """Place of the last opening of a tag in f.stack, 0 if it is not open."""
+    return f"coalesce(list_max(list_transform(range(1, len(f.stack) + 1), lambda i: CASE WHEN f.stack[i] = {tag} THEN i ELSE 0 END)), 0)"
+
+
+MARKUP = rf"""tok AS (
+SELECT page_id, i, t[i] AS tok FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM (
+  SELECT page_id, regexp_extract_all(html, '(?i)<!--[\s\S]*?-->|<script[\s\S]*?</script>|<style[\s\S]*?</style>|</?[a-z][^>]*>|<![^>]*>|[^<]+') AS t FROM pages))),
+ev AS (
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n, tok, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag,
+  CASE WHEN tok NOT LIKE '<%' THEN 'text' WHEN tok LIKE '</%' THEN 'close' ELSE 'open' END AS kind
+FROM tok WHERE NOT regexp_matches(tok, '(?i)^<(!|script|style)') AND NOT regexp_full_match(tok, '[ 	
+]*')),
+fold(page_id, n, block, line, stack, is_text, tok) AS (
+SELECT page_id, CAST(0 AS BIGINT), 0, 0, CAST([] AS VARCHAR[]), false, '' FROM (SELECT DISTINCT page_id FROM ev)
+UNION ALL
+SELECT f.page_id, e.n,
+  f.block + CASE WHEN list_contains({_M_BLOCK}, e.tag) AND (e.kind = 'open' OR e.kind = 'close' AND list_contains(f.stack, e.tag)) THEN 1 ELSE 0 END,
+  CASE WHEN list_contains({_M_BLOCK}, e.tag) AND (e.kind = 'open' OR e.kind = 'close' AND list_contains(f.stack, e.tag)) THEN 0
+       WHEN e.kind = 'open' AND e.tag = 'br' THEN f.line + 1 ELSE f.line END,
+  CASE WHEN e.kind = 'text' THEN f.stack
+       WHEN e.kind = 'close' THEN CASE WHEN list_contains(f.stack, e.tag) THEN list_slice(f.stack, 1, {_m_last('e.tag')} - 1) ELSE f.stack END
+       WHEN list_contains({_M_VOID}, e.tag) THEN f.stack
+       WHEN e.tag = 'li' AND {_m_last("'li'")} > greatest({_m_last("'ul'")}, {_m_last("'ol'")}) THEN list_append(list_slice(f.stack, 1, {_m_last("'li'")} - 1), e.tag)
+       WHEN e.tag <> 'li' AND list_contains({_M_BLOCK}, e.tag) AND list_contains(f.stack, 'p') THEN list_append(list_slice(f.stack, 1, {_m_last("'p'")} - 1), e.tag)
+       ELSE list_append(f.stack, e.tag) END,
+  e.kind = 'text', e.tok
+FROM fold f JOIN ev e ON e.page_id = f.page_id AND e.n = f.n + 1),
+msp AS (
+SELECT page_id, n, block, line, tok AS text,
+  CAST(coalesce(list_filter(list_transform(stack, lambda x: {_m_size}), lambda v: v IS NOT NULL)[-1], 11) AS DOUBLE) AS size,
+  len(list_filter(stack, lambda x: x IN ('b', 'strong', 'title', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6'))) > 0 AS bold,
+  len(list_filter(stack, lambda x: x IN ('i', 'em', 'cite'))) > 0 AS italic
+FROM fold WHERE is_text)"""
+
 LINK_PAT = '<a href="([^"]*)">([^<]*)'
 FX_LINKS = f"""fx_links AS (
 SELECT page_id AS doc_id, 1 AS page, CAST(i - 1 AS INT) AS link_seq, u[i] AS uri, t[i] AS link_text

@@ -77,6 +77,20 @@ def q_src2(spark, sf):
                     F.col("tag").isin(*fixtures.HTML_BOLD_TAGS).alias("is_bold"))
 
 
+@register("src2_blocks", O.chain(O.MARKUP) + f"""
+SELECT page_id AS doc_id, block AS block_seq, {O.strip("string_agg(text, ' ' ORDER BY line, n)")} AS text, {sr6('avg(size)')} AS avg_font_size,
+  bool_or(bold) AS is_bold, bool_or(italic) AS is_italic, CAST(max(line) AS INT) AS last_line, count(*) AS n_spans
+FROM msp GROUP BY page_id, block HAVING {O.strip("string_agg(text, ' ' ORDER BY line, n)")} <> ''""")
+def q_src2_blocks(spark, sf):
+    """Markup through the stack fold and the block assembly (A1)."""
+    from ..operators.markup import markup_spans
+
+    spans = markup_spans(tables.spread(tables.table(spark, sf, "pages").select("page_id", "html"), "page_id"))
+    size = spans.groupBy("doc_id", "block_seq").agg(F.max("line_seq").alias("last_line"), F.count(F.lit(1)).alias("n_spans"))
+    return B.assemble_blocks(spans).join(size, ["doc_id", "block_seq"]).select(
+        "doc_id", "block_seq", "text", r6("avg_font_size").alias("avg_font_size"), "is_bold", "is_italic", "last_line", "n_spans")
+
+
 @register("src3_toc_lines", O.chain(O.FX_LINES, O.FX_TOC_LINES) + """
 SELECT doc_id, page, line_no, line FROM fx_toc_lines WHERE page <= 3""")
 def q_src3(spark, sf):

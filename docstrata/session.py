@@ -72,3 +72,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     return local
 
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the workers of the session (once per application), so that Python
+    functions run where the package is not installed and not on their path."""
+    import shutil
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (Connect): the cluster has to have the package
+        return
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    aside = tempfile.mkdtemp(prefix="docstrata-ship-")  # the driver's; Spark hands the archive out
+    sc.addPyFile(shutil.make_archive(f"{aside}/docstrata", "zip", os.path.dirname(package), os.path.basename(package)))
+    _shipped.add(sc.applicationId)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.operators import folds, links, scan, toc, topk
+from docstrata.operators import folds, links, markup, scan, toc, topk
 from docstrata.operators import requests as R
 from docstrata.operators import structure as S
 from docstrata.sources import fixtures
@@ -256,3 +256,45 @@ def test_sizes_at_the_threshold(spark):
     rows = [("a", 0.1 + 0.1 * (i % 40)) for i in range(400)]
     got = [r.block_seq for r in folds.merge_runs(_page(spark, rows), []).orderBy("block_seq").collect()]
     assert got == _steps([s for _, s in rows], folds.MERGE_FONT_SIZE_THRESHOLD)
+
+
+# ---- markup
+
+
+def _spans(spark, pages, **options):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {}
+    for r in markup.markup_spans(df, **options).orderBy("doc_id", "span_seq").collect():
+        got.setdefault(r.doc_id, []).append((r.block_seq, r.line_seq, r.text, r.size, bool(r.flags & 16), bool(r.flags & 2)))
+    return got
+
+
+def test_nested_tags(spark):
+    got = _spans(spark, [
+        "<div>a<p>b <b>c <i>d</i> e</b> f</p>g</div>",
+        "<ul><li>one<li>two<ul><li>in</ul>three</ul>after",
+        "<p><b>open<br>line two<p>next</i> stays<img src=x>image",
+        "text <!-- <p>no</p> --><script>var x = '<p>'</script><STYLE>p{}</STYLE><H1>Big</H1></nothing> end",
+        "", None, "   \n ", "<p></p>", "a < b <"])
+    assert got[0] == [(1, 0, "a", 10.0, False, False), (2, 0, "b ", 11.0, False, False), (2, 0, "c ", 14.0, True, False), (2, 0, "d", 14.0, True, True),
+                      (2, 0, " e", 14.0, True, False), (2, 0, " f", 11.0, False, False), (3, 0, "g", 10.0, False, False)]
+    assert [(x[2], x[3]) for x in got[1]] == [("one", 10.0), ("two", 10.0), ("in", 10.0), ("three", 10.0), ("after", 11.0)]
+    assert len({x[0] for x in got[1]}) == 5
+    # the second p ends the first and the b inside it; a closing tag that is not open does nothing
+    assert got[2] == [(1, 0, "open", 14.0, True, False), (1, 1, "line two", 14.0, True, False), (2, 0, "next", 11.0, False, False),
+                      (2, 0, " stays", 11.0, False, False), (2, 0, "image", 11.0, False, False)]
+    assert [(x[2], x[3], x[4]) for x in got[3]] == [("text ", 11.0, False), ("Big", 20.0, True), (" end", 11.0, False)]
+    assert set(got) == {0, 1, 2, 3, 8} and [x[2] for x in got[8]] == ["a ", " b "]
+
+
+def test_chunks_do_not_show(spark):
+    rng = random.Random(8)
+    pages = ["".join(rng.choice(["<p>", "</p>", "<b>", "</b>", "<li>", "<ul>", "</ul>", "x", "y z", "<br>", "<i>", "</i>", "<div>", "</div>"]) for _ in range(200))
+             for _ in range(12)]
+    assert _spans(spark, pages, chunk=3) == _spans(spark, pages)
+
+
+def test_a_page_of_many_events(spark):
+    n = 60_000
+    df = spark.range(1).selectExpr("id AS page_id", f"repeat(concat('<p>a<b>b</b></p>', substring(cast(id AS string), 1, 0)), {n}) AS html")  # no constant
+    assert markup.markup_spans(df).agg(F.count(F.lit(1)), F.max("block_seq"), F.sum("size")).first() == (2 * n, 2 * n - 1, 25.0 * n)
