@@ -1,157 +1,76 @@
-"""Token ids of whole Arrow batches.
-
-A byte-level BPE never merges across the pieces of its splitting pattern,
-so a piece has the same ids wherever it stands. Pieces are found for a
-whole batch with array operations, and the tokenizer is asked only for
-pieces that this worker has not met (128-bit keys, a bounded memo). Texts
-with characters beyond U+024F, where Unicode versions may class letters
-differently, and texts with a special token's string go to the tokenizer
-whole: the ids are the tokenizer's own in every case.
+"""Token ids of whole texts by a public byte-level BPE.
+
+The tokenizer's file has a rank file beside it, the same vocabulary for a much
+faster encoder. Merges of a byte-level BPE are made in the order of the ids that
+they give, so both give the same ids (tested on random strings of tokens and
+letters). They could differ only in how a text is split before the merges, where
+Unicode versions class a letter differently: texts with characters beyond U+024F,
+and texts with a special token's string, go to the tokenizer itself, and so do
+all where a vocabulary has no rank file or other ids there.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import base64
+import os
+import re
 
 import numpy as np
+import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
-from docstrata.llm.common import U64, mix, prefix_sums, range_hash
-
-SIMPLE = 0x250
-LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Characters of text that are split at a time.
-BLOCK = 1 << 20
-
-
-def _class(c: str) -> int:
-    kind = unicodedata.category(c)[0]
-    if kind == "L":
-        return LETTER
-    if kind == "N":
-        return NUMBER
-    return SPACE if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else OTHER
+#: Characters of a text that may be remembered.
+MEMO_CHARS = 512
+#: Characters that the splitting pattern's classes may not agree on.
+_RARE = re.compile("[ɐ-\U0010FFFF]")
 
 
-_CLASS = np.array([_class(chr(i)) for i in range(SIMPLE)], np.uint8)
-_A = mix(np.arange(1, SIMPLE + 1, dtype=np.int64).astype(U64))
-_B = mix(_A ^ U64(0x5BD1E995))
+def _byte_letters() -> dict[str, int]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it can be seen, else the next from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def piece_starts(cp: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
-    """Starts of the pieces of code points below SIMPLE; doc_start marks each text's first."""
-    n = len(cp)
-    kind = _CLASS[cp]
-    cut = np.empty(n, bool)
-    cut[0] = True
-    cut[1:] = kind[1:] != kind[:-1]
-    cut |= doc_start
-    last = np.empty(n, bool)  # last of its text
-    last[-1] = True
-    last[:-1] = doc_start[1:]
-    # the last character of white space before something else stands alone, or, if a blank, leads the next piece
-    end_ws = (kind == SPACE) & ~last
-    end_ws[:-1] &= kind[1:] != SPACE
-    lead = np.flatnonzero(end_ws)
-    cut[lead] = True
-    blank = lead[cp[lead] == 32]
-    cut[blank + 1] = False
-    # contractions: a lone apostrophe that starts a piece, with s t m d re ve ll
-    apos = np.flatnonzero((cp == 39) & cut)
-    if len(apos):
-        at = lambda i: np.where(i < n, cp[np.minimum(i, n - 1)], 0) * np.where(i < n, ~doc_start[np.minimum(i, n - 1)], False)
-        one, two = at(apos + 1), at(apos + 2)
-        two = two * (one > 0)
-        short = np.isin(one, [115, 116, 109, 100])
-        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
-        hit = apos[short | long]
-        size = np.where(short, 2, 3)[short | long]
-        cut[hit + 1] = False
-        after = hit + size
-        after, kept = after[after < n], kind
-        inner = after[~doc_start[after]]
-        # a letter after the contraction starts a piece of its own
-        cut[inner[kept[inner] == LETTER]] = True
-    return np.flatnonzero(cut)
+def _ranked(path: str, vocabulary: dict[str, int], special: tuple[str, ...]) -> tiktoken.Encoding | None:
+    """The encoder of the rank file beside a tokenizer's file, if there is one of the same ids."""
+    ranks_path = os.path.splitext(path)[0] + ".tiktoken"
+    if not os.path.exists(ranks_path):
+        return None
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    letters = _byte_letters()
+    own = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    if own != ranks:
+        return None
+    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """ids(texts): a flat array of ids and the offsets of the texts in it."""
+    """encode(texts): the ids of each text, without special tokens. ``memo``: texts that
+    the slower tokenizer has cut and that are remembered (short ones repeat)."""
 
-    def __init__(self, path: str, memo: int = 1 << 19):
+    def __init__(self, path: str, memo: int = 1 << 12):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.ranked = _ranked(path, self.tokenizer.get_vocab(with_added_tokens=False), self.special)
         self.memo = memo
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.second = np.zeros(0, U64)
-        self.offs = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self._known: dict[str, np.ndarray] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: list[int], second: np.ndarray, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        base = len(self.place)
-        self.place.update(zip(keys, range(base, base + len(keys))))
-        self.second = np.concatenate((self.second, second))
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        self.offs = np.concatenate((self.offs, self.offs[-1] + np.cumsum(lens)))
-        self.ids = np.concatenate((self.ids, np.array([i for g in got for i in g], np.uint32)))
-
-    def _simple(self, texts: list[str]) -> list[np.ndarray]:
-        joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        doc_start = np.zeros(len(cp), bool)
-        doc_start[bounds[:-1][np.diff(bounds) > 0]] = True
-        starts = piece_starts(cp, doc_start)
-        ends = np.append(starts[1:], len(cp))
-        one = range_hash(prefix_sums(_A[cp]), starts, ends)
-        two = range_hash(prefix_sums(_B[cp]), starts, ends)
-        keys, first, which = np.unique(one, return_index=True, return_inverse=True)
-        names, second = keys.tolist(), two[first]
-        if len(self.place) + len(names) > self.memo:
-            self._forget()
-        new = [i for i, k in enumerate(names) if k not in self.place]
-        if new:
-            self._learn([names[i] for i in new], second[new], [joined[starts[first[i]]: ends[first[i]]] for i in new])
-        slot = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
-        if not (np.array_equal(second[which], two) and np.array_equal(self.second[slot], second)):
-            return [self._whole(t) for t in texts]  # two pieces share 64 bits: no memo for this block
-        slot = slot[which]
-        lens = self.offs[slot + 1] - self.offs[slot]
-        total = np.concatenate(([0], np.cumsum(lens)))
-        at = np.arange(total[-1]) + np.repeat(self.offs[slot] - total[:-1], lens)
-        flat = self.ids[at]
-        cuts = total[np.searchsorted(starts, bounds)]
-        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranked is not None and not _RARE.search(text) and not any(s in text for s in self.special):
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        if len(text) > MEMO_CHARS:
+            return self._whole(text)
+        if text not in self._known:
+            if len(self._known) >= self.memo:
+                self._known.clear()
+            self._known[text] = self._whole(text)
+        return self._known[text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        run: list[int] = []
-        size = 0
-
-        def flush():
-            nonlocal size
-            if run:
-                for i, ids in zip(run, self._simple([texts[i] for i in run])):
-                    out[i] = ids
-                run.clear()
-                size = 0
-
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = np.zeros(0, np.uint32)
-            elif (t.isascii() or max(t) < chr(SIMPLE)) and not any(s in t for s in self.special):
-                run.append(i)
-                size += len(t)
-                if size >= BLOCK:
-                    flush()
-            else:
-                out[i] = self._whole(t)
-        flush()
-        return out
+        return [self.ids(t) for t in texts]
