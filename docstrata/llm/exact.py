@@ -12,9 +12,11 @@ stays. Should two texts share a digest, the odd ones are grouped by their
 full text, so that the result never rests on the digest alone.
 
 Scale. The stream shuffles fingerprints, pre-aggregated, never texts; state
-is disk-backed and bounded in memory. Only the fetch of hits moves text. A
-digest with very many documents is salted: the text that stays is copied
-once for every ``SALT_ROWS`` documents.
+is disk-backed and bounded in memory. Texts are shuffled only for hits: the
+scan that fetches them drops the other rows by the bits of the hits' locators
+(``bits``), and so does the scan that drops copies. A digest with very many
+documents is salted: the text that stays is copied once for every
+``SALT_ROWS`` documents.
 
 Edge rows: null text counts as empty, and empty texts are equal; a null id
 sorts last; rows that repeat are copies of each other, exactly one of which
@@ -25,9 +27,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.llm.bits import bits_of, may_hold, without
 from docstrata.llm.common import MAX_LONG, WS_CHARS, stage_path, written
 
 #: Documents of a digest that are compared by one copy of the text that stays.
@@ -35,7 +39,7 @@ SALT_ROWS = 4096
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # commits upload what changed, and a store is closed with its task: open stores hold preallocated files
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
@@ -65,6 +69,10 @@ def _locator() -> F.Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def _locator_hash(place: str) -> F.Column:
+    return F.xxhash64(f"{place}.file", f"{place}.row")
+
+
 def keyed_state(spark: SparkSession, prints_path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Streams the fingerprints into the state; returns it: key, n, best (rank, dk, at)."""
     at = stage_path(spark, "exact-state")
@@ -85,7 +93,13 @@ def keyed_state(spark: SparkSession, prints_path: str, schema, files_per_batch:
 
 def located(docs: DataFrame, file_backed: bool) -> DataFrame:
     """docs as a plain scan of files, whose rows have a place; written first unless it is one."""
-    return docs if file_backed else written(docs, "exact-input")
+    if file_backed:
+        try:
+            docs.select(_locator())
+            return docs
+        except AnalysisException:  # no scan after all: its rows have no place
+            pass
+    return written(docs, "exact-input")
 
 
 def exact_groups(docs: DataFrame, file_backed: bool = False, digest_bytes: int = 32,
@@ -117,8 +131,10 @@ def exact_groups(docs: DataFrame, file_backed: bool = False, digest_bytes: int =
     copies = F.ceil(F.col("n") / F.lit(salt_rows)).cast("int")
     hits = prints.join(state.where("n > 1").withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("at"), copies).cast("int")).withColumn("first", F.col("at") == F.col("best.at"))
-    texts = docs.select(_locator().alias("place"), norm.alias("norm"))
-    fetched = written(texts.join(hits.hint("shuffle_hash"), F.col("place") == F.col("at")).drop("place"), "exact-hits")
+    hits = written(hits, "exact-hits")
+    found = bits_of(hits.select(_locator_hash("at").alias("h")))
+    texts = docs.select(_locator().alias("place"), "text").where(may_hold(found, _locator_hash("place"))).select("place", norm.alias("norm"))
+    fetched = written(texts.join(hits, F.col("place") == F.col("at")).drop("place"), "exact-texts")
     stays = fetched.where("first").select(
         F.col("key").alias("k"), F.col("norm").alias("full"),
         F.explode(F.sequence(F.lit(0), copies - 1)).alias("s"))
@@ -136,9 +152,10 @@ def exact_groups(docs: DataFrame, file_backed: bool = False, digest_bytes: int =
 def without_copies(docs: DataFrame, file_backed: bool = False) -> DataFrame:
     """The rows of docs that stay, with their columns."""
     docs = located(docs, file_backed)
-    gone = exact_groups(docs, file_backed=True).where(~F.col("kept")).select(F.col("at").alias("gone_at"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _locator().alias("place"))
-    return rows.join(gone, F.col("place") == F.col("gone_at"), "left_anti").select("row.*")
+    gone = exact_groups(docs, file_backed=True).where(~F.col("kept")).select("at.file", F.col("at.row").alias("place"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.row_index").alias("place"))
+    return without(rows, ["file", "place"], gone).select("row.*")
 
 
 EXACT_SQL = r"""
