@@ -12,20 +12,25 @@ text: other columns of the input, whatever their names, cannot clash.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.plans.manifest import Store
 from docstrata.session import ensure_checkpoint_dir
 
 MAX_LONG = (1 << 63) - 1
 #: Text bytes that a kernel holds at a time; each needs about 60 bytes of arrays.
 CHUNK = 1 << 20
 U64 = np.uint64
+_libc = ctypes.CDLL(None)
 
 #: The white space of all word rules here (0x20 and 0x09-0x0D).
 WS = r"\x20\x09-\x0D"
@@ -47,9 +52,24 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of the session, one for each call."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/docstrata-llm/{name}-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/docstrata-llm/{_scratch.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Written tables made inside are removed at the end: for results that are written before."""
+    folder = f"scratch-{uuid.uuid4().hex}/"
+    before = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        Store(spark, ensure_checkpoint_dir(spark)).delete(f"{ensure_checkpoint_dir(spark).rstrip('/')}/docstrata-llm/{folder}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +83,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 # Arrow batches
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Whole texts go to Python in batches of so many rows at most from now on (a setting of the session):
+    a batch is held by the JVM and by the worker, on the way there and back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Gives memory that numpy and Arrow have freed back to the machine: workers live on after
+    their task, beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):  # glibc
+        _libc.malloc_trim(0)
+
+
 def text_pieces(batch: pa.RecordBatch, col: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of about ``limit`` text bytes (one row at least)."""
     if not batch.num_rows:
@@ -74,6 +111,7 @@ def text_pieces(batch: pa.RecordBatch, col: str = "text", limit: int = CHUNK) ->
         hi = min(max(hi, lo + 1), batch.num_rows)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
 
 
 def string_offsets(arr: pa.Array) -> np.ndarray:

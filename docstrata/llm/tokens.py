@@ -12,8 +12,10 @@ all where a vocabulary has no rank file or other ids there.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +35,7 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def _ranked(path: str, vocabulary: dict[str, int], special: tuple[str, ...]) -> tiktoken.Encoding | None:
+def _ranked(path: str, vocabulary: dict[str, int]) -> tiktoken.Encoding | None:
     """The encoder of the rank file beside a tokenizer's file, if there is one of the same ids."""
     ranks_path = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks_path):
@@ -41,8 +43,7 @@ def _ranked(path: str, vocabulary: dict[str, int], special: tuple[str, ...]) ->
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     letters = _byte_letters()
-    own = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
-    if own != ranks:
+    if len(ranks) != len(vocabulary) or any(ranks.get(bytes(letters[c] for c in t)) != i for t, i in vocabulary.items()):
         return None
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -52,12 +53,19 @@ class Encoder:
     the slower tokenizer has cut and that are remembered (short ones repeat)."""
 
     def __init__(self, path: str, memo: int = 1 << 12):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.ranked = _ranked(path, self.tokenizer.get_vocab(with_added_tokens=False), self.special)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = tuple(t["content"] for t in file["added_tokens"])
+        self.ranked = _ranked(path, {t: i for t, i in file["model"]["vocab"].items() if t not in self.special})
         self.memo = memo
         self._known: dict[str, np.ndarray] = {}
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The tokenizer itself, read when the first text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
