@@ -12,16 +12,17 @@ probabilities or back-off weights per language; texts are scored by vectorised
 binary search, each distinct word of a block once.
 
 The language of lowest cross-entropy per character wins (ties: smallest
-name). Rejection is calibrated on all learning rows: per language the mean
+name). Rejection is calibrated on the learning rows: per language the mean
 cross-entropy and its variance at a length; a text whose cross-entropy lies
 more than ``MAX_Z`` standard errors, and ``MIN_EXCESS``, above the mean is
 rejected, and one without letters.
 
-Scale. Every gram type of the learning rows is in the model, whatever its
-count. Nothing of its size is held in memory: the driver writes the arrays
-from one block of hashes after the other, executors get them as Spark files
-and memory-map them, so that the workers of a machine share one copy.
-Driver rows: one per order and language.
+Scale. The models are fitted on ``LEARN_ROWS`` labelled rows of a language at
+most (a hash sample; all rows where there are fewer), and every gram type of
+those is in them, whatever its count. So the size of the model is bounded by the
+parameter, not by the corpus; the driver puts its arrays together and broadcasts
+them. The rejection limits come from the same rows. All rows are scored, in
+slices of bounded size. Driver rows besides: one per order and language.
 
 Edge rows: null text, or text without letters, is ``und`` with score 0; a
 null language is not learned from; rows with a null id count as held out;
@@ -32,30 +33,30 @@ characters are cut there.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import U64, mix, prefix_sums, range_hash, written
+from docstrata.llm.common import U64, mix, prefix_sums, range_hash, release, written
 
 ORDER = 5
+#: Labelled rows of a language that the models learn from.
+LEARN_ROWS = 20_000
 MAX_Z = 8.0
 #: Nats per character that a rejected text lies above its language's mean at least.
 MIN_EXCESS = 0.75
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Marks of a word's start and end; no letter is one of them.
 START, END = "^", "$"
 _B = U64(0x9E3779B97F4A7C15)
 _TOP = U64(1 << 63)
 UNKNOWN = "und"
+#: Rows that are scored at a time.
+SCORED_ROWS = 1024
 
 _letters: np.ndarray | None = None
 
@@ -160,6 +161,7 @@ def _count_grams(order: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())],
                         names=["lang", "gram", "n"])
+            release()
 
     return run
 
@@ -188,22 +190,15 @@ def all_orders(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted gram hashes with log probabilities, context hashes with log back-off weights, by language.
-
-    The arrays are memory-mapped Spark files; a task gets their names."""
+    """Sorted gram hashes with log probabilities, context hashes with log back-off weights, by language."""
 
     langs: list[str]
     order: int
     floor: np.ndarray
-    token: str
-
-    def __post_init__(self):
-        width = len(self.langs)
-        self.grams, self.logp = _mapped(f"{self.token}-grams", width)
-        self.contexts, self.backoff = _mapped(f"{self.token}-contexts", width)
-
-    def __reduce__(self):
-        return Model, (self.langs, self.order, self.floor, self.token)
+    grams: np.ndarray
+    logp: np.ndarray
+    contexts: np.ndarray
+    backoff: np.ndarray
 
     @staticmethod
     def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,17 +236,6 @@ def _row_keys(codes: np.ndarray) -> np.ndarray:
     return mix(h + U64(codes.shape[1]))
 
 
-def _mapped(name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of a pair of files that _sorted_files wrote (none without languages)."""
-    if not width:
-        return np.zeros(0, U64), np.zeros((0, 0), np.float32)
-    arrays = []
-    for part, kind in (("keys", U64), ("values", np.float32)):
-        path = SparkFiles.get(f"{name}.{part}")
-        arrays.append(np.asarray(np.memmap(path, kind, "r")) if os.path.getsize(path) else np.zeros(0, kind))
-    return arrays[0], arrays[1].reshape(-1, width)
-
-
 def _codes(grams: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.int64)
 
@@ -300,26 +284,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             keys = np.asarray(b.column("key"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:1]), pa.array([b.num_rows], pa.int64()), pa.array([(keys.view(U64) ^ _TOP).tobytes()], pa.binary()),
-                 pa.array([np.log(_matrix(b, "p")).astype(np.float32).tobytes()], pa.binary())], names=["least", "n", "keys", "logs"])
-
-
-def _sorted_files(rows: DataFrame, width: int, folder: str, name: str) -> None:
-    """Rows (key, p) as files of keys and of logarithms in order of the keys, given to all executors."""
-    blocks = written(rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(
-        _packed, "least long, n long, keys binary, logs binary"), "lang-blocks")
-    place, at = {}, 0
-    for r in sorted(blocks.select("least", "n").collect()):  # one row for a batch of grams
-        place[r["least"]] = at
-        at += r["n"]
-    with open(f"{folder}/{name}.keys", "wb") as keys, open(f"{folder}/{name}.values", "wb") as values:
-        for r in blocks.select("least", "keys", "logs").toLocalIterator():  # a file at a time
-            keys.seek(8 * place[r["least"]])
-            keys.write(r["keys"])
-            values.seek(4 * width * place[r["least"]])
-            values.write(r["logs"])
-    for part in ("keys", "values"):
-        rows.sparkSession.sparkContext.addFile(f"{folder}/{name}.{part}")
+                [pa.array([(keys.view(U64) ^ _TOP).tobytes()], pa.binary()), pa.array([np.log(_matrix(b, "p")).astype(np.float32).tobytes()], pa.binary())],
+                names=["keys", "logs"])
+
+
+def _sorted_arrays(rows: DataFrame | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (key, p) as hashes in order and their logarithms; as many as the learning rows have grams."""
+    got = rows.mapInArrow(_packed, "keys binary, logs binary").collect() if rows is not None else []
+    keys = np.frombuffer(b"".join(r["keys"] for r in got), U64)
+    logs = np.frombuffer(b"".join(r["logs"] for r in got), np.float32).reshape(len(keys), width)
+    order = np.argsort(keys)
+    return keys[order], logs[order]
 
 
 def fit(counts: DataFrame, order: int = ORDER) -> Model:
@@ -329,7 +304,8 @@ def fit(counts: DataFrame, order: int = ORDER) -> Model:
     langs = sorted({r["lang"] for r in kinds})
     width = len(langs)
     if not langs:
-        return Model(langs, order, np.zeros(0), "")
+        none = np.zeros((0, 0), np.float32)
+        return Model(langs, order, np.zeros(0), np.zeros(0, U64), none, np.zeros(0, U64), none)
     discount = np.full((order + 1, width), 0.1)
     for r in kinds:
         discount[r["k"], langs.index(r["lang"])] = np.clip(r["ones"] / max(r["ones"] + 2 * r["twos"], 1), 0.1, 0.95)
@@ -358,15 +334,20 @@ def fit(counts: DataFrame, order: int = ORDER) -> Model:
         level = written(rows.select("gram", "n", "total", "weight", "lower").mapInArrow(
             _probabilities(k, discount[k]), "gram string, key long, p array<double>"), "lang-level")
         grams = level.select("key", "p") if grams is None else grams.unionByName(level.select("key", "p"))
-    token = f"lang-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(prefix="docstrata-lang-")  # the driver's copy; executors get theirs from Spark
-    _sorted_files(grams, width, folder, f"{token}-grams")
-    _sorted_files(contexts, width, folder, f"{token}-contexts")
-    return Model(langs, order, floor, token)
+    return Model(langs, order, floor, *_sorted_arrays(grams, width), *_sorted_arrays(contexts, width))
 
 
-def learning_rows(docs: DataFrame) -> DataFrame:
-    return docs.where(~held_out() & F.col("lang").isNotNull())
+def learning_rows(docs: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
+    """The labelled rows that are learned from: ``rows`` of a language or a few more, by a
+    hash of their id, so that it is the same on any partitioning."""
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull())
+    counts = labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()  # one row a language
+    many = {r["lang"]: rows / r["count"] for r in counts if r["count"] > rows}
+    share = F.pmod(F.xxhash64(F.lit("learn"), F.col("doc_id").cast("long")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = F.lit(True)
+    for lang, rate in sorted(many.items()):
+        chosen = F.when(F.col("lang").cast("string") == lang, share < rate).otherwise(chosen)
+    return labelled.where(chosen)
 
 
 def held_out() -> F.Column:
@@ -383,25 +364,31 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 # Scoring
 
 
+def losses_of(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(losses by language, characters) of each text."""
+    k = len(m.langs)
+    loss, n = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+    for rows, parts in _slices(texts):
+        cp, starts, ends, which, row = distinct_words(rows, parts)
+        if not len(row):
+            continue
+        symbols, word, place = events(cp, starts, ends)
+        logs = m.log_probs(symbols, place)
+        per_word = np.stack([np.bincount(word, weights=logs[:, j], minlength=len(starts)) for j in range(k)], axis=1) if k else np.zeros((len(starts), 0))
+        size = (ends - starts + 1)[which]
+        lo, hi = int(row.min()), int(row.max()) + 1
+        for j in range(k):
+            loss[lo:hi, j] -= np.bincount(row - lo, weights=per_word[which, j], minlength=hi - lo)
+        n[lo:hi] += np.bincount(row - lo, weights=size, minlength=hi - lo).astype(np.int64)
+    return loss, n
+
+
 def _scorer(m: Model):
     @F.arrow_udf("struct<loss:array<double>,n:long>")
     def score(texts: pa.Array) -> pa.Array:
-        k = len(m.langs)
-        loss, n = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
-        for rows, parts in _slices(texts):
-            cp, starts, ends, which, row = distinct_words(rows, parts)
-            if not len(row):
-                continue
-            symbols, word, place = events(cp, starts, ends)
-            logs = m.log_probs(symbols, place)
-            per_word = np.stack([np.bincount(word, weights=logs[:, j], minlength=len(starts)) for j in range(k)], axis=1) if k else np.zeros((len(starts), 0))
-            size = (ends - starts + 1)[which]
-            lo, hi = int(row.min()), int(row.max()) + 1
-            for j in range(k):
-                loss[lo:hi, j] -= np.bincount(row - lo, weights=per_word[which, j], minlength=hi - lo)
-            n[lo:hi] += np.bincount(row - lo, weights=size, minlength=hi - lo).astype(np.int64)
-        flat = pa.array(loss.ravel(), pa.float64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * k, pa.int32()), flat)
+        loss, n = losses_of(m, texts)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(m.langs), pa.int32()), pa.array(loss.ravel(), pa.float64()))
+        release()
         return pa.StructArray.from_arrays([lists, pa.array(n)], names=["loss", "n"])
 
     return score
@@ -416,6 +403,18 @@ class Judge:
     max_z: float = MAX_Z
     min_excess: float = MIN_EXCESS
 
+    def rejected(self, loss: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The verdict of ``columns`` on arrays."""
+        out = (n == 0) | (loss.shape[1] == 0)
+        if loss.shape[1]:
+            best = loss.argmin(1)
+            mean = loss[np.arange(len(n)), best] / np.maximum(n, 1)
+            for lang, (center, var) in self.limits.items():
+                over = mean - center
+                far = (over * np.sqrt(n / max(var, 1e-9)) > self.max_z) & (over > self.min_excess)
+                out |= far & (best == self.langs.index(lang))
+        return out
+
     def columns(self, s: F.Column) -> dict[str, F.Column]:
         names = F.array(*[F.lit(x) for x in self.langs]) if self.langs else F.lit(None).cast("array<string>")
         losses, n = s["loss"], s["n"]
@@ -444,9 +443,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def calibrated(rows: DataFrame, model: Model, max_z: float = MAX_Z, min_excess: float = MIN_EXCESS) -> Judge:
-    """The decision with its limits, from all learning rows that the models get right."""
+    """The decision with its limits, from the scored learning rows that the models get right."""
     first = Judge(model.langs, {}).columns(F.col("s"))
-    right = rows.where(~F.col("held_out") & (F.col("lang") == first["lang_pred"])).select("lang", first["loss"].alias("loss"), F.col("s.n").alias("n"))
+    right = rows.where(F.col("lang") == first["lang_pred"]).select("lang", first["loss"].alias("loss"), F.col("s.n").alias("n"))
     mean = right.groupBy("lang").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("mean")).collect()
     means = {r["lang"]: r["mean"] for r in mean}  # one row a language of the model
     center = F.lit(None).cast("double")
@@ -456,21 +455,37 @@ def calibrated(rows: DataFrame, model: Model, max_z: float = MAX_Z, min_excess:
     return Judge(model.langs, {r["lang"]: (means[r["lang"]], r["var"]) for r in var}, max_z, min_excess)
 
 
+def fitted(docs: DataFrame, model: Model | None = None) -> tuple[Model, Judge]:
+    """The models and the decision, both from the learning rows of docs."""
+    model = model or train(docs)
+    return model, calibrated(scored(learning_rows(docs), model), model)
+
+
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, loss, rejected of every row."""
-    model = model or train(docs)
-    rows = scored(docs, model)
-    judge = calibrated(rows, model)
-    return rows.select("doc_id", "held_out", *[c.alias(k) for k, c in judge.columns(F.col("s")).items()])
+    model, judge = fitted(docs, model)
+    return scored(docs, model).select("doc_id", "held_out", *[c.alias(k) for k, c in judge.columns(F.col("s")).items()])
 
 
-def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs that are not rejected, with their columns.
+def _kept(m: Model, judge: Judge, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                b = batch.slice(at, SCORED_ROWS)
+                keep = ~judge.rejected(*losses_of(m, b.column(text)))
+                yield b.filter(pa.array(keep))
+            release()
 
-    Texts are scored twice, for the limits and for the decision, so that no
-    copy of them is written and nothing is joined."""
-    model = model or train(docs)
-    judge = calibrated(scored(docs, model), model)
-    score = _scorer(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.col("text").cast("string")).alias("s"))
-    return rows.where(~judge.columns(F.col("s"))["rejected"]).select("row.*")
+    return run
+
+
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of docs that are not rejected, with their columns: one pass, no copy of a
+    text is written or shuffled."""
+    model, judge = fitted(docs, model)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names of the table may clash or hold dots
+    rows = docs.toDF(*names)
+    text = names[docs.columns.index("text")]
+    if dict(rows.dtypes)[text] != "string":
+        rows, text = rows.withColumn("text", F.col(text).cast("string")), "text"
+    return rows.mapInArrow(_kept(model, judge, text), rows.schema).select(*names).toDF(*docs.columns)
