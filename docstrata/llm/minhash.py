@@ -7,25 +7,28 @@ i - COORDS; a coordinate keeps its least value and rounds stop when all
 are filled. Coordinates of two documents agree with the probability of
 their Jaccard similarity, with the concentration of an independent sample,
 also for short documents. Bands of ``BAND`` coordinates give candidate
-buckets (a pair at 0.8 meets in none with probability 5e-8); links are
-confirmed on the full shingle sets of the texts.
+buckets (a pair at 0.8 meets in none with probability 5e-8; with ``LOW`` below
+6e-8 in all); links are confirmed on the full shingle sets of the texts.
 
 No pairs of a group are listed. Documents of equal sets are one class.
 Buckets of the same members count once. First a class is compared, by
 sketch, with the leaders of its buckets only, and its ``ASKED`` likeliest
 are confirmed. These links give components; then buckets whose members lie
 in more than one component are met again with the shingle sets: every pair
-across components whose estimate is not below ``LOW`` (four standard errors
-under the threshold) is judged inside the task, and the few that link are
-confirmed. So every pair that meets is inside a component or judged.
+across components whose estimate is not below ``LOW`` (six standard errors
+under the threshold: a pair at 0.8 falls below it with probability 1e-9) is
+judged inside the task on 64-bit hashes, with one shingle of slack, and the few
+that may link are confirmed. So every pair that meets is inside a component or
+judged, in the first band that its full keys share.
 
-Scale. Classes and copies are partial aggregations; a bucket of more than
-``BLOCK`` classes is dealt out: in the first step over blocks that share its
-first member, in the second over pairs of blocks.
+Scale. Classes, copies and buckets are partial aggregations; a bucket of more
+than ``BLOCK`` classes is dealt out: in the first step over blocks that share
+its first member; in the second the classes of its largest component stay in
+their block and only the others, which must meet all, go to every block.
 
 Edge rows: null or word-less text has an empty set and links with nothing;
 a text of fewer words than a shingle is one shingle; a null id sorts last
-and returns null; rows given twice come back twice; an empty table gives an
+and returns null, and of a group of null ids one document stays in the pipeline; rows given twice come back twice; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -40,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docstrata.llm.bits import without
 from docstrata.llm.common import (_LOWER, MAX_LONG, U64, keyed, mix, prefix_sums, range_hash, string_bytes, text_pieces, with_breaks,
                                   word_spans, written)
 from docstrata.llm.components import components
@@ -50,7 +54,7 @@ PERCENT = 80
 COORDS = 128
 BAND = 4
 HIGH = 0.9
-LOW = 0.66
+LOW = 0.58
 #: Leaders that a class is compared with in the first step.
 ASKED = 4
 BLOCK = 4096
@@ -108,7 +112,7 @@ def sketches(s: np.ndarray, offs: np.ndarray, coords: int) -> np.ndarray:
 def _sketch_rows(words: int, coords: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_pieces(batch, limit=1 << 22):
+            for b in text_pieces(batch):
                 s, offs = shingle_sets(*string_bytes(b.column("text")), words)
                 sk = sketches(s, offs, coords)
                 keys = np.zeros((len(sk), coords // band), U64)
@@ -134,18 +138,22 @@ def _sketch_rows(words: int, coords: int, band: int):
 
 @dataclass
 class Bucket:
-    """Rows of one bucket (or of a cell of it): classes with sizes, blocks, bands, components, sketches, sets."""
+    """Rows of one bucket (or of a cell of it): classes with sizes, blocks, sketches, and for
+    the second step whether they are of the largest component, components, band keys and sets."""
 
     sig: list
     n: np.ndarray
     part: np.ndarray
+    cell: int
     band: int
+    main: np.ndarray
     comp: list
     sketch: np.ndarray
+    bands: np.ndarray
     sets: list
 
 
-def _pairs(rule, percent: int, band: int, sized_by: str):
+def _pairs(rule, percent: int, sized_by: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "cell"], sized_by):
             change = np.ones(table.num_rows, bool)
@@ -153,13 +161,14 @@ def _pairs(rule, percent: int, band: int, sized_by: str):
             change[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
             cuts = np.append(np.flatnonzero(change), table.num_rows).tolist()
             sig, comp = table.column("sig").to_pylist(), table.column("comp").to_pylist()
-            n, part, no = (np.asarray(table.column(c)) for c in ("n", "part", "band"))
+            n, part, no, main = (np.asarray(table.column(c)) for c in ("n", "part", "band", "main"))
             sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(table.num_rows, -1)
             sets = table.column("shingles").to_pylist()
             a, b, est = [], [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                bucket = Bucket(sig[lo:hi], n[lo:hi], part[lo:hi], int(no[lo]), comp[lo:hi], sk[lo:hi], sets[lo:hi])
-                for i, j, e in rule(bucket, percent, band):
+                bucket = Bucket(sig[lo:hi], n[lo:hi], part[lo:hi], int(cell[lo]), int(no[lo]), main[lo:hi], comp[lo:hi], sk[lo:hi], bands[lo:hi], sets[lo:hi])
+                for i, j, e in rule(bucket, percent):
                     a.append(sig[lo + i])
                     b.append(sig[lo + j])
                     est.append(e)
@@ -176,7 +185,7 @@ def _alike(sk: np.ndarray, n: np.ndarray, i: int, rows: np.ndarray, percent: int
     return est
 
 
-def by_leaders(b: Bucket, percent: int, band: int) -> Iterator[tuple[int, int, float]]:
+def by_leaders(b: Bucket, percent: int) -> Iterator[tuple[int, int, float]]:
     """(leader, class): a class against the leaders of its bucket; one at HIGH
     settles it, else the two likeliest of different groups of leaders are
     asked. The second step sees to what these leave open."""
@@ -213,31 +222,27 @@ def by_leaders(b: Bucket, percent: int, band: int) -> Iterator[tuple[int, int, f
             count += 1
 
 
-def across(b: Bucket, percent: int, band: int) -> Iterator[tuple[int, int, float]]:
-    """Pairs of different components that link by their shingle sets (of different
-    blocks in a cell of two blocks); a pair is judged in the first band it shares."""
+def across(b: Bucket, percent: int) -> Iterator[tuple[int, int, float]]:
+    """Pairs of different components that may link by their shingle sets. Classes outside
+    the largest component are in all cells: two of them are judged in the cell of the
+    first one's block, and every pair in the first band it shares."""
     names = {c: k for k, c in enumerate(dict.fromkeys(b.comp))}
     if len(names) < 2:
         return
     label = np.array([names[c] for c in b.comp])
-    # rows outside the largest component against all others: no work inside a component
-    main = np.bincount(label).argmax()
-    two = b.part.min() != b.part.max()
-    bands = b.sketch.reshape(len(label), -1, band)
-    sets = [np.frombuffer(x, np.uint32) for x in b.sets]
+    sets = [np.frombuffer(x, U64) for x in b.sets]
     size = np.array([len(x) for x in sets])
-    for i in np.flatnonzero(label != main).tolist():
-        rows = np.flatnonzero((label != label[i]) & ((label == main) | (np.arange(len(label)) > i)))
-        if two:
-            rows = rows[b.part[rows] != b.part[i]]
+    for i in np.flatnonzero(~b.main).tolist():
+        later = np.arange(len(label)) > i
+        rows = np.flatnonzero((label != label[i]) & (b.main | (later if b.part[i] == b.cell else False)))
         rows = rows[_alike(b.sketch, b.n, i, rows, percent) >= LOW] if len(rows) else rows
-        rows = rows[~(bands[rows, : b.band] == bands[i, : b.band]).all(2).any(1)] if len(rows) and b.band else rows
+        rows = rows[~(b.bands[rows, : b.band] == b.bands[i, : b.band]).any(1)] if len(rows) and b.band else rows
         if not len(rows):
             continue
         flat = np.concatenate([sets[j] for j in rows.tolist()])
         at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
         both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(size[rows]) - size[rows])
-        for j in rows[100 * both >= percent * (size[i] + size[rows] - both)].tolist():
+        for j in rows[100 * (both + 1) >= percent * (size[i] + size[rows] - both - 1)].tolist():
             yield i, j, 1.0
 
 
@@ -247,15 +252,14 @@ def _shingles(text: str, words: int) -> set:
 
 
 def _set_rows(words: int):
-    """(sig, shingles): the sets as sorted 32-bit hashes."""
+    """(sig, shingles): the sets as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_pieces(batch):
                 s, offs = shingle_sets(*string_bytes(b.column("text")), words)
-                short = (s >> U64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("sig"), pa.array([np.unique(short[x:y]).tobytes() for x, y in zip(offs[:-1], offs[1:])], pa.binary())],
+                    [b.column("sig"), pa.array([s[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:])], pa.binary())],
                     names=["sig", "shingles"])
 
     return run
@@ -297,17 +301,15 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = written(classes.select("sig", "c.*"), "minhash-classes")
 
     # buckets of two classes or more; those of the same members once
-    bucket = Window.partitionBy("key")
     crowd = classes.select(F.posexplode("bands").alias("band", "key"), "sig")
-    crowd = written(crowd.withColumn("members", F.count(F.lit(1)).over(bucket)).where("members > 1")
-                    .withColumn("lead", F.min("sig").over(bucket))
-                    .withColumn("mark", F.sum(F.xxhash64("sig").cast("decimal(20,0)")).over(bucket).cast("string")), "minhash-buckets")
-    kept_keys = crowd.where(F.col("sig") == F.col("lead")).groupBy("members", "lead", "mark").agg(F.min_by("key", "band").alias("k"))
-    member = crowd.join(kept_keys.select("k"), F.col("key") == F.col("k"), "left_semi").select("key", "band", "sig", "members", "lead")
+    buckets = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("band").alias("band"), F.min("sig").alias("lead"),
+                                       F.sum(F.xxhash64("sig").cast("decimal(20,0)")).cast("string").alias("mark")).where("members > 1")
+    buckets = written(buckets.groupBy("members", "lead", "mark").agg(F.min_by("key", "band").alias("k")).drop("mark"), "minhash-buckets")
+    member = crowd.join(buckets, F.col("key") == F.col("k")).select("key", "band", "sig", "members", "lead")
     known = classes.select(F.col("sig").alias("s"), "n", "sketch", "dk", "rid")
     member = written(member.join(known, F.col("sig") == F.col("s")).drop("s"), "minhash-members")
     wanted = member.select("sig", F.col("dk").alias("d"), F.col("rid").alias("r")).distinct()
-    texts = rows.join(wanted.hint("shuffle_hash"), (F.col("dk") == F.col("d")) & (F.col("rid") == F.col("r")))
+    texts = rows.join(wanted, (F.col("dk") == F.col("d")) & (F.col("rid") == F.col("r")))
     texts = written(texts.select("sig", "text").dropDuplicates(["sig"]), "minhash-texts")
 
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
@@ -315,9 +317,9 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     member = member.drop("dk", "rid").withColumn("blocks", blocks).withColumn("part", part)
 
     def run(dealt: DataFrame, rule, sized_by: str) -> DataFrame:
-        cols = dealt.select("key", "cell", "band", "sig", "n", "part", "comp", "sketch", "shingles")
+        cols = dealt.select("key", "cell", "band", "sig", "n", "part", "main", "comp", "sketch", "keys", "shingles").withColumnRenamed("keys", "bands")
         pairs = cols.repartition("key", "cell").sortWithinPartitions("key", "cell", "sig").mapInArrow(
-            _pairs(rule, percent, band, sized_by), "a binary, b binary, est double")
+            _pairs(rule, percent, sized_by), "a binary, b binary, est double")
         return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
 
     def undirected(pairs: DataFrame) -> DataFrame:
@@ -326,7 +328,8 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # the first member of a dealt-out bucket is in all its blocks
     cells = F.when(F.col("sig") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("part"))
     empty = F.lit(None).cast("binary")
-    first = run(member.withColumn("cell", F.explode(cells)).withColumn("comp", empty).withColumn("shingles", empty), by_leaders, "sketch")
+    dealt = member.withColumn("cell", F.explode(cells)).withColumn("comp", empty).withColumn("shingles", empty)
+    first = run(dealt.withColumn("main", F.lit(False)).withColumn("keys", F.array().cast("array<bigint>")), by_leaders, "sketch")
     # the likeliest of a class's leaders over all its buckets; the second step needs no more to be exact
     likely = Window.partitionBy("b").orderBy(F.desc("est"), "a")
     first = first.withColumn("r", F.row_number().over(likely)).where(f"r <= {ASKED}")
@@ -335,31 +338,36 @@ def near_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     found = components(links.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     label = found.select(F.col("node").alias("s"), F.col("component").alias("c"))
     left = member.join(label, F.col("sig") == F.col("s"), "left").withColumn("comp", F.coalesce("c", "sig")).drop("s", "c")
-    mixed = left.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
-    left = left.join(mixed, F.col("key") == F.col("k"), "left_semi")
-    pairs_of_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                                  lambda j: F.least("part", j) * F.col("blocks") + F.greatest("part", j))
+    sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("largest"))
+    # written, so that the join below meets two plain exchanges, whose hot keys Spark can split
+    mixed = written(mixed.where("kinds > 1").drop("kinds"), "minhash-mixed")
+    left = left.join(mixed, F.col("key") == F.col("k")).withColumn("main", F.col("comp") == F.col("largest"))
     sets = texts.select("sig", "text").mapInArrow(_set_rows(words), "sig binary, shingles binary").withColumnRenamed("sig", "s")
-    left = left.join(sets, F.col("sig") == F.col("s")).drop("s")
-    rest = run(left.withColumn("cell", F.explode(pairs_of_blocks)), across, "shingles")
+    left = left.join(sets, F.col("sig") == F.col("s")).drop("s").join(
+        classes.select(F.col("sig").alias("s"), F.col("bands").alias("keys")), F.col("sig") == F.col("s")).drop("s")
+    cells = F.when(F.col("main"), F.array("part")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rest = run(left.withColumn("cell", F.explode(cells)), across, "shingles")
     more = confirmed(undirected(rest), texts, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # whole components are nodes now
     done = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
-    named = classes.select("sig", "dk").join(done.withColumnRenamed("node", "s"), F.col("sig") == F.col("s"), "left").drop("s")
+    named = classes.select("sig", "dk", "rid").join(done.withColumnRenamed("node", "s"), F.col("sig") == F.col("s"), "left").drop("s")
     named = named.withColumn("component", F.coalesce("component", "sig"))
-    least = named.groupBy(F.col("component").alias("c")).agg(F.min("dk").alias("least"))
+    least = named.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("dk", "rid")).alias("least"))
     named = named.join(least, F.col("component") == F.col("c")).select(F.col("sig").alias("s"), "least")
     out = base.select("doc_id", "dk", "rid", "n", "sig").join(named, F.col("sig") == F.col("s"), "left")
-    own = F.coalesce("least", "dk")
+    least = F.coalesce("least", F.struct("dk", "rid"))
+    own = least["dk"]
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own != MAX_LONG, own).alias("component_id"),
-                      (F.col("dk") == own).alias("kept"), "dk", "rid")
+                      (F.col("dk") == own).alias("kept"), "dk", "rid", (least == F.struct("dk", "rid")).alias("first"))
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with their columns."""
-    gone = near_documents(docs, **options).where(~F.col("kept")).select(F.col("dk").alias("d"), F.col("rid").alias("r"))
+    """The rows of docs that stay, one document of each group (that of the least id, of the
+    least hash of its text where ids are equal or null), with their columns."""
+    gone = near_documents(docs, **options).where(~F.col("first")).select("dk", "rid")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("dk"),
                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid"))
-    return rows.join(gone, (F.col("dk") == F.col("d")) & (F.col("rid") == F.col("r")), "left_anti").select("row.*")
+    return without(rows, ["dk", "rid"], gone).select("row.*")

@@ -11,7 +11,7 @@ from docstrata.llm.common import documents
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_documents(documents(spark, sf_dir)).drop("dk", "rid")
+    return minhash.near_documents(documents(spark, sf_dir)).drop("dk", "rid", "first")
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
