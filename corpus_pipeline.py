@@ -10,7 +10,8 @@
 5. ``pack``: token sequences of the mixed rows.
 
 A stage's result is written to the shared folder as Parquet and read again, so
-that lineage ends there and a lost executor costs one stage at most. Rows with
+that lineage ends there and a lost executor costs one stage at most. Stages set
+the session's Arrow batches to 1024 rows: whole texts are in them. Rows with
 a null id pass the first four stages like any other.
 """
 
@@ -19,28 +20,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm import common, exact, langid, minhash, mixing, packing
+from docstrata.plans.manifest import Store
 
 #: Shingle length of the near-duplicate stage.
 SHINGLE_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return langid.accepted(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return exact.without_copies(docs, file_backed=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return minhash.without_near_copies(docs, words=SHINGLE_WORDS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs, whole=True)
+    common.small_batches(spark)
+    return mixing.mixed_documents(docs, whole=True, file_backed=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return packing.packed(docs)
 
 
@@ -51,9 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's own tables and its input are removed when its result is written."""
     docs = common.documents(spark, sf_dir)
+    before = None
     for name, stage in STAGES:
         path = common.stage_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with common.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            Store(spark, before).delete(before)
+        docs, before = spark.read.parquet(path), path
     return docs
