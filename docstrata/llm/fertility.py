@@ -53,6 +53,8 @@ LONG_WORD = 1 << 14
 MEMO = 1 << 18
 BLOCK = 1 << 20
 MIN_DOCS = 100
+#: Parts over which the documents of a class are dealt out to meet its bands.
+SALTS = 64
 FENCE = 3.0
 
 
@@ -342,14 +344,18 @@ def bands(rows: DataFrame, vocabularies: int, min_docs: int = MIN_DOCS, fence: f
         band = F.struct("m", (low - room).alias("low"), (high + room).alias("high"))
         return quartiles.groupBy(*keys).agg(F.max("docs").alias("docs"), F.array_sort(F.collect_list(band)).alias("b"))
 
-    everything = fences().select(F.col("b").alias("b0"))
-    by_lang = fences("grp").select(F.col("grp").alias("g1"), F.when(F.col("docs") >= min_docs, F.col("b")).alias("b1"))
-    by_class = fences("grp", "size_class").select(
-        F.col("grp").alias("g2"), F.col("size_class").alias("s2"), F.when(F.col("docs") >= min_docs, F.col("b")).alias("b2"))
-    classes = counts.select("grp", "size_class").distinct()
-    out = classes.join(by_class, (F.col("grp") == F.col("g2")) & (F.col("size_class") == F.col("s2")))
-    out = out.join(by_lang, F.col("grp") == F.col("g1")).join(everything)  # one row: no groups
-    return out.select("grp", "size_class", F.coalesce("b2", "b1", "b0").alias("bands"))
+    # the bands of classes, languages and the table in one list; a class asks for its three
+    own = fences("grp", "size_class").where(F.col("docs") >= min_docs).select(F.lit(2).alias("level"), "grp", "size_class", "b")
+    by_lang = fences("grp").where(F.col("docs") >= min_docs).select(F.lit(1).alias("level"), "grp", F.lit(-1).alias("size_class"), "b")
+    everything = fences().select(F.lit(0).alias("level"), F.lit("").alias("grp"), F.lit(-1).alias("size_class"), "b")
+    known = own.unionByName(by_lang).unionByName(everything).select(
+        "level", F.col("grp").alias("g"), F.col("size_class").alias("s"), "b")
+    asked = F.array(F.struct(F.lit(2).alias("l"), F.col("grp").alias("ag"), F.col("size_class").alias("as")),
+                    F.struct(F.lit(1).alias("l"), F.col("grp").alias("ag"), F.lit(-1).alias("as")),
+                    F.struct(F.lit(0).alias("l"), F.lit("").alias("ag"), F.lit(-1).alias("as")))
+    classes = counts.select("grp", "size_class").distinct().select("grp", "size_class", F.explode(asked).alias("a"))
+    found = classes.join(known, (F.col("a.l") == F.col("level")) & (F.col("a.ag") == F.col("g")) & (F.col("a.as") == F.col("s")))
+    return found.groupBy("grp", "size_class").agg(F.max_by("b", "level").alias("bands"))
 
 
 def judged_rows(rows: DataFrame) -> DataFrame:
@@ -363,8 +369,11 @@ def quality(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, min_d
     """doc_id, the base counts, base_failed, kept, the measures and ``outside`` (measures beyond their band) of every row."""
     rows = judged_rows(measured(docs, vocabularies))
     limits = bands(rows, len(vocabularies), min_docs, fence).withColumnRenamed("grp", "g").withColumnRenamed("size_class", "s")
+    # few rows, one for each salt, so that the documents of a common class are dealt out
+    limits = limits.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS)).cast("int"))
     names = [f"{m.name}_{k + 1}" for k in range(len(vocabularies)) for m in MEASURES]
-    out = rows.join(limits, (F.col("grp") == F.col("g")) & (F.col("size_class") == F.col("s")), "left")
+    out = rows.join(limits, (F.col("grp") == F.col("g")) & (F.col("size_class") == F.col("s")) & (F.col("salt") == F.col("t")), "left")
     beyond = [F.when((F.col(c) < F.col("bands")[i]["low"]) | (F.col(c) > F.col("bands")[i]["high"]), F.lit(c)) for i, c in enumerate(names)]
     out = out.withColumn("outside", F.array_compact(F.array(*beyond)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
