@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,10 +214,13 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
     if m.starts is None:
         return out
     for kind, find in FINDERS.items():
+        plain = sorted(base[kind])  # they don't overlap: the last that begins before an end decides
+        begins = [x for x, _ in plain]
         for a, b in find(m.text):
             s, e = int(m.starts[a]), int(m.ends[b - 1])
             if m.touched[a:b].any() or e - s != b - a:  # or a character without width went
-                if not any(s < y and x < e for x, y in base[kind]):
+                k = bisect_left(begins, e)
+                if not (k and plain[k - 1][1] > s):
                     out[kind].append((s, e))
     return out
 
