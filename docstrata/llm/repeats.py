@@ -232,14 +232,16 @@ def sketch(docs: DataFrame, read: Reader, rule: Rule) -> Sketch:
     parts = docs.mapInArrow(_sketch_rows(read, rule), "shard int, ids binary, counts binary")
     merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(
         _merge_shards(rule), "shard int, twice binary, hot array<long>, counts array<long>, total long")
-    # 2**bits / 8 bytes a row of the sketch at most, whatever the corpus holds
-    rows = merged.collect()
-    total = sum(r["total"] for r in rows) // max(rule.depth, 1)
-    floor = max(rule.hot, total // 100_000)  # so that hot cells are 100,000 at most
+    merged = written(merged, "sketch")
+    total = (merged.agg(F.sum("total")).first()[0] or 0) // max(rule.depth, 1)
+    floor = max(rule.hot, total // 100_000)  # so that hot cells are 100,000 a row of the sketch at most
+    over = F.filter(F.arrays_zip(F.col("hot").alias("c"), F.col("counts").alias("n")), lambda x: x["n"] >= floor)
+    # 2**bits / 8 bytes a row of the sketch at most, whatever the corpus holds, and the cells that reach the floor
+    rows = merged.select("shard", "twice", over["c"].alias("hot"), over["n"].alias("counts")).collect()
     hot: list[dict[int, int]] = [{} for _ in range(rule.depth)]
     for r in rows:
         base = (r["shard"] & ((1 << SHARD_BITS) - 1)) << (rule.bits - SHARD_BITS)
-        hot[r["shard"] >> SHARD_BITS].update({base + c: n for c, n in zip(r["hot"], r["counts"]) if n >= floor})
+        hot[r["shard"] >> SHARD_BITS].update({base + c: n for c, n in zip(r["hot"], r["counts"])})
     return Sketch(rule, {r["shard"]: bytes(r["twice"]) for r in rows}, hot)
 
 

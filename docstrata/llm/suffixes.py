@@ -1,13 +1,18 @@
-"""Byte-level substring deduplication by a depth-limited radix sort.
-
-Suffixes are ordered only through their first ``DEPTH`` bytes, most
-significant digit first; suffixes that share all of them are exactly the
-repeated strings. The first digit is a suffix's anchor (see ``repeats``): a
-histogram of it over the corpus drops the suffixes that are alone, and the
-shuffle deals out the others by it. The next digits are quarters of the
-depth; each pass orders what is left and drops what has become single, and
-what agrees in all digits is compared by bytes. A byte goes when a string
-over it starts earlier elsewhere; strings are judged on the input.
+"""Byte-level substring deduplication, by anchors in place of a radix sort.
+
+The strings of ``DEPTH`` bytes that start earlier elsewhere are found as in
+``substrings``: a count-min sketch of the strings' anchors (the gram of least hash
+inside each, see ``repeats``) drops the strings that are alone, the shuffle deals
+out the others by anchor, one row for a run of strings with one anchor, and in
+a group strings are compared by the hashes of four quarters, then by their bytes.
+A byte goes when a string over it starts earlier elsewhere; strings are judged
+on the input.
+
+A depth-limited radix sort by most significant digits was to be used here. It
+deals out one row per suffix by its leading bytes; on the sf0.1 table 26% of all
+suffixes share their first 32 bytes with another one and 20% all 100, so that rows
+of 24 bytes are 6.3 and 4.9 times the input against the 4 times allowed on disk.
+Equal strings have equal anchors, so the result is the same.
 
 Edge rows: null text is empty; texts shorter than the depth keep all; a null
 id sorts last; rows that repeat are one document given twice and come back
@@ -29,7 +34,7 @@ from docstrata.llm import repeats
 from docstrata.llm.common import binary_array, keyed, prefix_sums, range_hash, string_bytes, text_pieces
 
 DEPTH = 100
-#: Digits after the anchor.
+#: Parts of a string that are compared by hash.
 PASSES = 4
 RULE = repeats.Rule(length=DEPTH, gram=32, bits=27, depth=2)
 
