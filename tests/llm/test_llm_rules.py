@@ -1,5 +1,6 @@
 """Tokeniser fertility, filter audit and spelling variants: brute force, odd rows, empty tables."""
 
+import hashlib
 import itertools
 import math
 import os
@@ -11,12 +12,15 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-from docstrata.llm import audit, fertility, variants  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from docstrata.llm import audit, bits, fertility, langid, minhash, mixing, packing, pii, substrings, suffixes, tokens, variants  # noqa: E402
 from docstrata.llm.common import documents  # noqa: E402
 from llm_cases import LONG, ROWS, edge_docs  # noqa: E402
 
@@ -270,3 +274,174 @@ def test_long_text_of_one_word(spark):
     rows = [(1, LONG * 3, "en")]
     r = fertility.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).first()
     assert r.n_words == len(WORD.findall(LONG * 3)) and r.base_failed
+
+
+# --------------------------------------------------------------------------
+# Token ids, copies without an id, scored rows
+
+
+def test_rank_file_gives_the_ids_of_the_tokenizer():
+    """On strings of random tokens, whose merges compete, and of random letters."""
+    enc = tokens.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    assert enc.ranked is not None
+    rng = random.Random(12)
+    parts = [t for t in (enc.tokenizer.decode([i]) for i in range(50_000)) if t and "\ufffd" not in t]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(30_000)]
+    texts += ["".join(rng.choices("etaoinshrdlu \n'", k=rng.randrange(1, 40))) for _ in range(30_000)]
+    want = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(enc.ids(t).tolist() == e.ids for t, e in zip(texts, want))
+    other = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.ranked is None and other.ids("Some words").tolist() == other.tokenizer.encode("Some words", add_special_tokens=False).ids
+
+
+def test_near_copies_without_an_id(spark):
+    """Of a group one document stays, also where ids are null or shared by other texts."""
+    text = " ".join(f"word{i}" for i in range(100))
+    rows = [(None, f"{text} end{i}") for i in range(6)] + [(5, f"{text} x"), (5, f"{text} y"), (7, "something else " * 10), (None, "also other " * 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS dk", "'clash' AS h")
+    out = minhash.without_near_copies(d, words=5).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["5", "7", "None"] and all(r.dk == "clash" for r in out)
+    nulls = d.where("doc_id IS NULL")
+    assert sorted(r.text[:4] for r in minhash.without_near_copies(nulls, words=5).collect()) == ["also", "word"]
+
+
+def test_pairs_at_the_threshold_link(spark):
+    """Sets that share exactly four fifths, over and over: none is lost, and none below links."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for g in range(120):
+        base = [f"g{g}w{i}" for i in range(91)]  # 90 shingles of two words
+        at = rng.randrange(20, 60)
+        # k words changed at the end: 90 - k shingles stay, of 90 + k in all
+        for j, k in enumerate((0, 10, 11)):
+            rows.append((g * 3 + j, " ".join(base[: 91 - k] + [f"n{g}.{j}.{i}.{at}" for i in range(k)])))
+        want[g] = [g * 3, g * 3, g * 3 + 2]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_documents(d).collect()}
+    assert all([got[g * 3 + j] for j in range(3)] == want[g] for g in want)
+
+
+def test_bits_miss_no_key(spark):
+    keys = spark.range(100_000).selectExpr("id", "cast(id % 7 as string) AS part")
+    gone = keys.where("id % 3 = 0")
+    left = bits.without(keys, ["id", "part"], gone)
+    assert left.count() == 66_666 and left.where("id % 3 = 0").isEmpty()
+    assert bits.without(keys, ["id", "part"], gone.limit(0)).count() == 100_000
+    few = bits.bits_of(gone.selectExpr("xxhash64(id) AS h"))
+    h = np.array([r.h for r in gone.selectExpr("xxhash64(id) AS h").collect()], np.int64)
+    assert few.may_hold(h).all() and few.may_hold(np.arange(10 ** 6)).mean() < 0.05
+
+
+def test_language_sample_and_verdicts(spark):
+    """The learning rows are bounded by language; the pipeline's verdict is the query's."""
+    d = documents(spark, SF)
+    some = langid.learning_rows(d, rows=20).groupBy("lang").count().collect()
+    assert len(some) == 4 and all(5 <= r["count"] <= 45 for r in some)
+    rows = [(10_000, "zq xj qqq zzxx jjq vvk " * 30, "en", "a"), (10_001, None, None, None), (10_002, "12 34", "de", "b")]
+    table = d.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    model, judge = langid.fitted(d)
+    scored = langid.scored(table, model).select("doc_id", *[c.alias(k) for k, c in judge.columns(F.col("s")).items()])
+    stay = {r.doc_id for r in scored.where("NOT rejected").collect()}
+    loss, n = langid.losses_of(model, table.select("text").toArrow().column("text").combine_chunks())
+    assert {i for i, gone in zip([r.doc_id for r in table.select("doc_id").collect()], judge.rejected(loss, n)) if not gone} == stay
+    assert stay and not stay & {10_000, 10_001, 10_002}
+    assert {r.doc_id for r in langid.accepted(table).collect()} == {r.doc_id for r in langid.languages(table).where("NOT rejected").collect()}
+
+
+def test_one_long_document_does_not_decide_a_source(spark):
+    """A document that does not fit is passed over, wherever it lies on the line."""
+    rows = [(i, "w " * 100, "a") for i in range(199)] + [(500, "long " * 40_000, "a")] + [(1000 + i, "v " * 50, "b") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_documents(d, whole=True)
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    for t in mixing.source_targets(d.select("source", mixing.word_count(F.col("text")).alias("size"))).collect():
+        assert abs(words.get(t.source, 0) - t.target) <= 100
+    assert max(r["count"] for r in out.groupBy("doc_id").count().collect()) <= 3
+
+
+# --------------------------------------------------------------------------
+# Production rules and plain formulas
+
+
+def test_windows_of_twenty_words_equal_brute_force(spark):
+    """The query's rule on its whole table."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first, docs = {}, sorted((r.doc_id, WORD.findall(r.text or "")) for r in table.select("doc_id", "text").collect())
+    want = {}
+    for i, w in docs:
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if first.setdefault(tuple(w[k: k + 20]), (i, k)) != (i, k):
+                gone[k: k + 20] = [True] * 20
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        want[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(substrings.without_repeats(table)).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 10_000
+
+
+def test_strings_of_a_hundred_bytes_equal_brute_force(spark):
+    table = documents(spark, SF)
+    first, want = {}, {}
+    for i, t in sorted((r.doc_id, (r.text or "").encode()) for r in table.select("doc_id", "text").collect()):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            if first.setdefault(t[k: k + 100], (i, k)) != (i, k):
+                gone[k: k + 100] = True
+        runs = int(np.count_nonzero(np.diff(np.concatenate(([False], gone)).astype(int)) == 1))
+        want[i] = (len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(suffixes.without_repeats(table)).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 1000
+
+
+def test_language_model_equals_the_formula(spark):
+    """Interpolated Kneser-Ney by its recursion, over dictionaries."""
+    rng = random.Random(21)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "abgzz"}
+    rows = [(i, " ".join("".join(rng.choices(alphabets[x], k=rng.randrange(1, 7))) for _ in range(30)), x) for i, x in enumerate(sorted(alphabets) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs)
+    learnt = {r.doc_id for r in langid.learning_rows(docs).select("doc_id").collect()}
+    order, tables = langid.ORDER, {}
+    for lang in alphabets:
+        raw = Counter()
+        for i, text, x in rows:
+            if i in learnt and x == lang:
+                for w in text.split():
+                    w = f"^{w}$"
+                    raw.update(w[max(0, e - order): e] for e in range(2, len(w) + 1))
+        n = {order: Counter({g: c for g, c in raw.items() if len(g) == order})}
+        for k in range(order - 1, 0, -1):  # distinct characters before, but counts where there can be none
+            n[k] = Counter(g[1:] for g in n[k + 1]) + Counter({g: c for g, c in raw.items() if len(g) == k})
+        tables[lang] = n
+    symbols = len({g for n in tables.values() for g in n[1]})
+
+    def p(lang, gram):
+        if not gram:
+            return 1 / (symbols + 1)
+        n = tables[lang][len(gram)]
+        ones, twos = (sum(c == x for c in n.values()) for x in (1, 2))
+        d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+        own = [c for g, c in n.items() if g[:-1] == gram[:-1]]
+        lower = p(lang, gram[1:])
+        return max(n[gram] - d, 0) / sum(own) + d * len(own) / sum(own) * lower if own else lower
+
+    texts = ["abc", "gfe cde", "zzz xyz", "a", "abcdeabcde", "qq"]
+    loss, _ = langid.losses_of(model, pa.array(texts))
+    for t, row in zip(texts, loss):
+        for lang, got in zip(model.langs, row):
+            want = -sum(math.log(p(lang, w[max(0, e - order): e])) for w in (f"^{x}$" for x in t.split()) for e in range(2, len(w) + 1))
+            assert math.isclose(got, want, rel_tol=1e-4), (t, lang)
+
+
+def test_added_spans_keep_off_plain_ones():
+    """Against the plain test of every pair, on texts of many plain and disguised spans."""
+    rng = random.Random(17)
+    parts = ["a@b.example.com", "j0e at mail dot example dot com", "192.168.0.1", "one nine two dot one six eight dot zero dot one",
+             "+44 20 7946 0958", "plus four four 20 7946 0958", "4111 1111 1111 1111", "userа@b.com", "words", "1１.2.3.4"]
+    for _ in range(200):
+        text = rng.choice([" ", ", ", "; "]).join(rng.choices(parts, k=rng.randrange(1, 25)))
+        base = pii.base_spans(text)
+        free = pii.added_spans(text, {k: [] for k in base})
+        got = pii.added_spans(text, base)
+        for k in base:
+            assert got[k] == [(s, e) for s, e in free[k] if not any(s < y and x < e for x, y in base[k])]
