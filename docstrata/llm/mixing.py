@@ -162,13 +162,32 @@ def _keys(docs: DataFrame) -> list[F.Column]:
 
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
             schedules: dict = SCHEDULES) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, position (of the first copy)."""
-    rows = written(docs.select(F.col("doc_id"), *_keys(docs)), "mix-sizes")
-    out = placed(rows, source_targets(rows, weights, max_epochs))
-    taken = sum((copy_words(k) for k in range(1, max_epochs)), copy_words(0))
-    share = F.col("at") / F.greatest(F.round("target"), F.lit(1.0))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"),
-                      F.when(taken > 0, position_of(share, F.col("weight"), schedules)).alias("position"))
+    """One row per row of docs: doc_id, size, source_size, target, taken, position (of the first copy).
+
+    Read off the mix: every copy gets its position and the copies are range-sorted by it,
+    as ``mixed_documents`` does with the rows themselves, and written."""
+    rows = written(docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row_id"), *_keys(docs)), "mix-sizes")
+    targets = source_targets(rows, weights, max_epochs)
+    # a document that is not taken stays as a row without a copy
+    mix = _positioned(placed(rows, targets), max_epochs, schedules, outer=True)
+    mix = written(mix.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(
+        "row_id", "doc_id", "size", "source_size", "target", "copy", "position"), "mix-copies")
+    out = mix.groupBy("row_id").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")],
+                                    F.coalesce(F.sum("copy.words"), F.lit(0)).alias("taken"), F.min_by("position", "copy.epoch").alias("position"))
+    return out.drop("row_id")
+
+
+#: Order of the copies in the mix.
+ORDER = ("position", "dk", "rid", "epoch")
+
+
+def _positioned(rows: DataFrame, max_epochs: int, schedules: dict, outer: bool = False) -> DataFrame:
+    """A row per copy of the placed rows: ``copy`` (epoch, words), epoch, and its training position."""
+    copies = F.filter(F.array(*[F.struct(F.lit(k).alias("epoch"), copy_words(k).alias("words")) for k in range(max_epochs)]),
+                      lambda c: c["words"] > 0)
+    out = rows.withColumn("copy", (F.explode_outer if outer else F.explode)(copies)).withColumn("epoch", F.col("copy.epoch"))
+    share = (F.col("at") + F.col("epoch") * F.col("source_size")) / F.greatest(F.round("target"), F.lit(1.0))
+    return out.withColumn("position", position_of(share, F.col("weight"), schedules))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
@@ -182,12 +201,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     sizes = written(docs.select(*_keys(docs)), "mix-sizes")
     targets = source_targets(sizes, weights, max_epochs)
     rows = docs.select(*_keys(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    copies = F.filter(F.array(*[F.struct(F.lit(k).alias("epoch"), copy_words(k).alias("words")) for k in range(max_epochs)]),
-                      lambda c: c["words"] > 0)
-    out = placed(rows, targets).withColumn("copy", F.explode(copies))
-    share = (F.col("at") + F.col("copy.epoch") * F.col("source_size")) / F.greatest(F.round("target"), F.lit(1.0))
-    out = out.withColumn("position", position_of(share, F.col("weight"), schedules)).withColumn("row", _cut())
-    return out.repartitionByRange("position", "dk", "rid").sortWithinPartitions("position", "dk", "rid").select("row.*")
+    out = _positioned(placed(rows, targets), max_epochs, schedules).withColumn("row", _cut())
+    return out.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("row.*")
 
 
 def _mixed_whole(docs: DataFrame, weights: Sequence[int], max_epochs: int, schedules: dict) -> DataFrame:
