@@ -32,3 +32,19 @@ def test_small_model_fit(spark):
     assert set(r["level"] for r in heads.select("level").distinct().collect()) <= {"H1", "H2", "H3", "H4"}
     top = M.top_features(model, 5).collect()
     assert len(top) == 5
+
+
+def test_rows_of_a_fit_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from docstrata.operators import model as M
+
+    # as the window of the sample leaves them: all in one partition
+    rows = spark.range(8000).select("id", (F.col("id") % 50).alias("doc_id"), (F.col("id") % 7).cast("int").alias("page"),
+                                    F.col("id").cast("double").alias("first_y0"), F.col("id").cast("int").alias("first_seq")).coalesce(1)
+    parts = spark.sparkContext.defaultParallelism
+    out = M.dealt(rows)
+    counts = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(counts) == parts and sum(counts) == 8000 and max(counts) < 1.2 * 8000 / parts
+    ids = [r["id"] for r in out.collect()]
+    assert ids == [r["id"] for r in M.dealt(rows.orderBy(F.desc("id")).coalesce(1)).collect()]
