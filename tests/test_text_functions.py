@@ -72,3 +72,12 @@ def test_readability_counts(spark):
 
 def test_collapse_ws(spark):
     assert one(spark, X.collapse_ws, "  a \n\n b\t c ") == "a b c"
+
+
+def test_strip_is_its_pattern(spark):
+    from docstrata.functions.text import STRIP_PATTERN, WS_CHARS, strip
+
+    texts = [None, "", " ", *[w + "a" + w + "b" + w for w in WS_CHARS], WS_CHARS, "a \x85", " \x85", "a\x85 ", "​a﻿"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~strip(F.col("t")).eqNullSafe(F.regexp_replace("t", STRIP_PATTERN, ""))).count() == 0
+    assert df.where(strip(F.col("t")).contains("a b")).count() == 1
