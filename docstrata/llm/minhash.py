@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.llm.bits import without
-from docstrata.llm.common import (_LOWER, MAX_LONG, U64, keyed, mix, prefix_sums, range_hash, string_bytes, text_pieces, with_breaks,
+from docstrata.llm.common import (_LOWER, MAX_LONG, U64, keyed, mix, prefix_sums, range_hash, release, string_bytes, text_pieces, with_breaks,
                                   word_spans, written)
 from docstrata.llm.components import components
 from docstrata.llm.repeats import whole_groups
@@ -163,7 +163,8 @@ def _pairs(rule, percent: int, sized_by: str):
             sig, comp = table.column("sig").to_pylist(), table.column("comp").to_pylist()
             n, part, no, main = (np.asarray(table.column(c)) for c in ("n", "part", "band", "main"))
             sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-            bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(table.num_rows, -1)
+            flat = pa.concat_arrays([c.flatten() for c in table.column("bands").chunks])  # no object for each key
+            bands = flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, len(flat) // table.num_rows)
             sets = table.column("shingles").to_pylist()
             a, b, est = [], [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -174,6 +175,8 @@ def _pairs(rule, percent: int, sized_by: str):
                     est.append(e)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(est, pa.float64())], names=["a", "b", "est"])
+            del sig, comp, sk, flat, bands, sets, a, b, est
+            release()
 
     return run
 
@@ -278,6 +281,8 @@ def _confirm(words: int, percent: int):
                 both = len(one & two)
                 ok.append(100 * both >= percent * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "linked"])
+            last, one = None, set()
+            release()
 
     return run
 
