@@ -39,8 +39,9 @@ def outline_stage(read: dict[str, DataFrame], model=None) -> dict[str, DataFrame
     failed = read["bad"].filter(F.col("block_seq").isNull()).select("doc_key").distinct()
     docs = read["keys"].join(failed, "doc_key", "left_anti")
     c = Corpus.from_blocks(read["blocks"], docs, model=model)
+    classified = c.classified  # written once; the headings are read off it
     outlines = c.outlines.join(docs, "doc_id").select("doc_key", "title", "outline")
-    return {"docs": docs, "outlines": outlines, "headings": c.headings, "classified": c.classified, "titles": c.titles}
+    return {"docs": docs, "outlines": outlines, "headings": c.headings, "classified": classified, "titles": c.titles}
 
 
 def answer_stage(spark: SparkSession, outline: dict[str, DataFrame], requests: DataFrame, timestamp: str) -> dict[str, DataFrame]:
